@@ -136,7 +136,7 @@ def tile_stats(tiles: DataFrame) -> DataFrame:
 
 def download_stats(requests: DataFrame) -> DataFrame:
     """Rows per status, with a zero row for `downloaded` when there is none."""
-    zero = requests.sparkSession.createDataFrame([("downloaded",)], "status string")
+    zero = requests.sparkSession.range(1).select(F.lit("downloaded").alias("status"))
     counted = requests.select("status", F.lit(1).alias("_n")).unionByName(zero.withColumn("_n", F.lit(0)))
     return counted.groupBy("status").agg(F.sum("_n").alias("requests"))
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tilewright.plans import state  # noqa: F401
+from tilewright.plans import state, datasets, geometry  # noqa: F401
 from tilewright.plans.registry import ORACLES, QUERIES  # noqa: F401
