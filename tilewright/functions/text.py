@@ -112,33 +112,6 @@ def stamp_version(stored, current) -> Column:
     return F.coalesce(as_col(stored), as_col(current))
 
 
-def keyword_spans(text, keyword) -> Column:
-    """array(struct(start, end, text, score)) of case-insensitive, non-overlapping hits.
-
-    The score is the share of characters whose case agrees with the keyword. The text
-    between hits gives the offsets, so each text is scanned once.
-    """
-    t, k = as_col(text), as_col(keyword)
-    n = F.length(k)
-    # split at the literal keyword keeps the gaps; each gap moves the next start on
-    quoted = F.concat(F.lit("\\Q"), F.lower(k), F.lit("\\E"))
-    gaps = F.split(F.lower(t), quoted)
-    lengths = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.length(g).cast("bigint"))
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("found")),
-        lambda acc, g: F.struct((acc["at"] + g + n).cast("bigint").alias("at"), F.concat(acc["found"], F.array(acc["at"] + g)).alias("found")),
-    )["found"]
-
-    def hit(s: Column) -> Column:
-        found = F.substring(t, (s + 1).cast("int"), n)
-        pairs = F.zip_with(F.split(found, ""), F.split(k, ""), lambda a, b: F.when(a == b, 1).otherwise(0))
-        same = F.aggregate(pairs, F.lit(0), lambda acc, p: acc + p)
-        return F.struct(s.alias("start"), (s + n).alias("end"), found.alias("found"), (same / n).alias("score"))
-
-    return F.transform(starts, hit)
-
-
 def similarity(a, b) -> Column:
     """1 - edit distance / longer length."""
     a, b = as_col(a), as_col(b)

@@ -203,9 +203,7 @@ def label_vocabulary(labels: DataFrame, form: str = "sorted", order: str | None
     spark = labels.sparkSession
     if form == "sorted":
         distinct = labels.select("label").distinct()
-        return number_rows(distinct.withColumn("_k", F.xxhash64(F.lit(0))), [], ["label"], "_rn", chunk=F.lit(0)).select(
-            "label", (F.col("_rn") - 1).alias("idx")
-        )
+        return number_rows(distinct, [], ["label"], "_rn").select("label", (F.col("_rn") - 1).alias("idx"))
     seen = labels.groupBy("label").agg(F.min(order).alias("_at"))
     ranked = number_rows(seen, [], ["_at", "label"], "_rn")
     if form == "background":

@@ -69,8 +69,18 @@ def hash_chunk(df: DataFrame, seed, *cols) -> Column:
     return F.floor(hash_int(seed, *cols) * n / F.lit(HASH_RANGE))
 
 
+def numeric_key(df: DataFrame, name: str) -> Column:
+    """Number that does not decrease along an order column of any plain type."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind == "string":  # the first six bytes; ties stay in one chunk
+        return F.conv(F.rpad(F.substring(F.hex(name), 1, 12), 12, "0"), 16, 10).cast("double")
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return F.col(name).cast("double")
+
+
 def _chunk(df: DataFrame, order: Sequence[str], chunk: Column | None) -> DataFrame:
-    return df.withColumn(CHUNK, quantile_chunk(df, order[0]) if chunk is None else chunk)
+    return df.withColumn(CHUNK, quantile_chunk(df, numeric_key(df, order[0])) if chunk is None else chunk)
 
 
 def _over(keys: Sequence[str]):
