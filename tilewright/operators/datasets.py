@@ -312,3 +312,11 @@ def cycle_to_n(df: DataFrame, n: int, seed: int, id_col: str = "image_id") -> Da
     copies = F.floor((F.lit(n) - F.col("_rn")) / F.col("_n"))
     repeated = ranked.filter(F.col("_rn") <= n).withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), copies)))
     return repeated.select(*df.columns, "cycle", (F.col("cycle") * F.col("_n") + F.col("_rn")).alias("pos"))
+
+
+def path_exists_kinds(files: DataFrame, keys: Sequence[str], kind: str, needed: Sequence[str]) -> DataFrame:
+    """Keys that have a file of every needed kind."""
+    seen = files.groupBy(*keys).agg(*[F.bool_or(F.col(kind) == k).alias(f"_{i}") for i, k in enumerate(needed)])
+    for i in range(len(needed)):
+        seen = seen.filter(F.col(f"_{i}"))
+    return seen.select(*keys)
