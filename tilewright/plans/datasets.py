@@ -397,3 +397,14 @@ def holdout_split(v):
 )
 def cycle_to_n(v):
     return ds.cycle_to_n(v.images.select("image_id"), 40_000, 9)
+
+
+@query(
+    "file_inventory",
+    """select cast(image_id as varchar) as stem, max(p) as path, arg_max(sf, p) as suffix, arg_max(d, p) as parent from (select image_id, d, sf, concat('set/', d, '/', image_id, sf) as p from v_images,
+    (values ('a','.jpg'),('b','.PNG'),('c','.txt')) k(d, sf) where not (image_id%3=0 and d='b')) q where lower(sf)<>'.txt' group by image_id""",
+)
+def file_inventory(v):
+    i = F.col("image_id")
+    paths = F.array(F.concat(F.lit("set/a/"), i, F.lit(".jpg")), F.when(i % 3 != 0, F.concat(F.lit("set/b/"), i, F.lit(".PNG"))), F.concat(F.lit("set/c/"), i, F.lit(".txt")))
+    return files.filter_suffixes(v.images.select(F.explode(paths).alias("path")).filter("path is not null"), ["jpg", "png"])

@@ -41,8 +41,8 @@ def boxes_clear_of(v):
     return ob.boxes_clear_of(cands, v.boxes, ["image_id", "k"]).select("image_id", "k", "x", "y")
 
 
-@query("merge_boxes_greedy")
-def merge_boxes_greedy(v):
+@query("merge_boxes")
+def merge_boxes(v):
     return ob.merge_boxes(v.boxes, "greedy")
 
 

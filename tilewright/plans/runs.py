@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import text as tf
 from tilewright.operators import runs as rn
+from tilewright.operators.scoring import pipe
+from tilewright.operators.state import tile_stats
 from tilewright.plans.registry import query
 from tilewright.session import shared_dir
 from tilewright.sources import runs as sr
@@ -200,3 +202,17 @@ def model_version(v):
     rows = v.table("part").select("p_partkey", text.alias("v"))
     parts = rows.select("p_partkey", "v", tf.model_version("v").alias("m"))
     return parts.select("p_partkey", "m.name", "m.major", F.col("m.minor").cast("bigint").alias("minor"), "m.patch", tf.bump_version("v").alias("bumped"), tf.stamp_version(F.lit(None).cast("string"), "v").alias("stamped"))
+
+
+@query("materialize", "select status, count(*) as tiles, cast(coalesce(sum(image_count),0) as bigint) as images from v_tiles group by status")
+def materialize(v):
+    root = shared_dir(v.spark, "cache")
+    build = lambda zoom, note: tile_stats(v.tiles.filter(F.col("z") == zoom))
+    sr.materialize(v.spark, root, "tile_stats", {"zoom": 8, "note": "first"}, ["zoom"], build)
+    return sr.materialize(v.spark, root, "tile_stats", {"zoom": 8, "note": "second call reads the first one's output"}, ["zoom"], build)
+
+
+@query("pipe", "select user_id, count(*) as n from events where value>10 group by user_id")
+def pipe_query(v):
+    busy = pipe(lambda df: df.filter("value > 10"), lambda df: df.groupBy("user_id").agg(F.count("*").alias("n")))
+    return busy(v.table("events"))

@@ -236,8 +236,8 @@ def prob_map(v):
     return k.select(F.col("label").alias("model_label"), F.concat(F.lit("ui "), "label").alias("ui_label"))
 
 
-@query("pick_choice_single", "select video_id, frame, concat('ui ',label) as choices, round(prob,9) as score from (select *, row_number() over(partition by video_id, frame order by prob desc, label_idx) rn from v_probs where label<>'L1') q where rn=1 and prob>=0.5e0")
-def pick_choice_single(v):
+@query("pick_choice", "select video_id, frame, concat('ui ',label) as choices, round(prob,9) as score from (select *, row_number() over(partition by video_id, frame order by prob desc, label_idx) rn from v_probs where label<>'L1') q where rn=1 and prob>=0.5e0")
+def pick_choice(v):
     return rg.pick_choice(v.probs, prob_map(v), 0.5).withColumn("choices", F.array_join("choices", ",")).withColumn("score", F.round("score", 9))
 
 

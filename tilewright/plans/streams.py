@@ -81,7 +81,7 @@ def stream_annotations(v):
     _, state, checkpoint = folders(v, "annotations")
     t = F.col("event_type")
     action = F.when(t == "click", jobs.CREATED).when(t == "purchase", jobs.UPDATED).when(t == "signup", jobs.UPDATED).when(t == "error", jobs.DELETED[1]).otherwise("OTHER")
-    events = event_stream(v).select((F.col("event_id") % 700).alias("ID"), action.alias("action"), F.col("event_id").alias("at"), F.col("event_id").alias("id"), "value")
+    events = event_stream(v).select((F.col("event_id") % 700).alias("ID"), action.alias("action"), F.col("event_id").alias("at"), F.col("event_id").alias("seq"), "value")
     return jobs.stream_annotations(events, state, checkpoint)
 
 
@@ -116,8 +116,8 @@ def stream_retry(v):
 
 @query(
     "stream_timeouts",
-    """with l as (select user_id as item, arg_max(event_type, event_id) as kind, epoch_ms(arg_max(ts, event_id)) + 3600000 as expired_ms from events group by user_id)
-    select item, 'pending' as status, expired_ms from l where kind='click' and expired_ms <= (select epoch_ms(max(ts)) - 600000 from events)""",
+    """with l as (select user_id as item, arg_max(event_type, event_id) as kind, epoch_us(arg_max(ts, event_id))//1000 + 3600000 as expired_ms from events group by user_id)
+    select item, 'pending' as status, expired_ms from l where kind='click' and expired_ms <= (select epoch_us(max(ts))//1000 - 600000 from events)""",
 )
 def stream_timeouts(v):
     out, _, checkpoint = folders(v, "timeouts")

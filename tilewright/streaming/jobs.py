@@ -96,14 +96,14 @@ def stream_status(changes: DataFrame, base: DataFrame, keys: Sequence[str], path
 
 
 def stream_annotations(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Annotation events (ID, action, at, id, values) to a table: insert, replace, remove."""
+    """Annotation events (ID, action, at, seq, values) to a table: insert, replace, remove."""
     spark = events.sparkSession
     table = VersionedTable(spark, path)
-    columns = [c for c in events.columns if c not in ("action", "at", "id")]
+    columns = [c for c in events.columns if c not in ("action", "at", "seq")]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         known = batch.filter(F.col("action").isin(CREATED, UPDATED, *DELETED))
-        last = st.latest_per_key(known, ["ID"], [F.desc("at"), F.desc("id")])
+        last = st.latest_per_key(known, ["ID"], [F.desc("at"), F.desc("seq")])
         live = last.filter(~F.col("action").isin(*DELETED)).select(*columns)
         before = table.read(batch_id)
         kept = live if before is None else before.join(last.select("ID"), "ID", "left_anti").select(*columns).unionByName(live)
