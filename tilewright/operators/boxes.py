@@ -58,11 +58,14 @@ def boxes_clear_of(cands: DataFrame, boxes: DataFrame, id_cols: Sequence[str], c
 # ---- streaming over sorted keys -----------------------------------------
 
 
-def per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply `fn` to each key's ordered rows without one Python call set-up per key.
-
-    Partitions are sorted by key and streamed; memory holds one key at a time, so the
-    caller must know that keys are small.
+def per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str
+) -> DataFrame:
+    """Apply `fn` to the ordered rows of many keys at a time.
+
+    Partitions are sorted by key and streamed. `fn` gets a frame of whole keys and the row
+    bounds between them, so it may work on all of them at once. Memory holds one batch and
+    one key, so the caller must know that keys are small.
     """
     keys = list(keys)
 
@@ -73,14 +76,12 @@ def per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callab
                 frame = pd.concat([held, frame], ignore_index=True)
             if frame.empty:
                 continue
-            codes = frame[keys].ne(frame[keys].shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(codes)
+            starts = np.flatnonzero(frame[keys].ne(frame[keys].shift()).any(axis=1).to_numpy())
             held = frame.iloc[starts[-1]:].reset_index(drop=True)
-            outs = [fn(frame.iloc[s:e]) for s, e in zip(starts[:-1], starts[1:])]
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+            if len(starts) > 1:
+                yield fn(frame.iloc[: starts[-1]], starts)
         if held is not None and len(held):
-            yield fn(held)
+            yield fn(held, np.array([0, len(held)]))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
@@ -179,12 +180,19 @@ def merge_closure(boxes: DataFrame, cell: int = CELL) -> DataFrame:
         active = moved.select("image_id", *CORNERS).join(busy, "image_id", "left_semi")
 
 
-def _greedy_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    merged, first = greedy_merge(rows[CORNERS].to_numpy())
-    out = pd.DataFrame(merged, columns=CORNERS)
-    for column in [c for c in rows.columns if c not in CORNERS]:
-        out[column] = rows[column].to_numpy()[first]
-    return out[list(rows.columns)]
+def _greedy_rows(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+    corners, merged, first = rows[CORNERS].to_numpy(), [], []
+    for start, stop in zip(bounds[:-1], bounds[1:]):
+        if stop - start == 1:
+            merged.append(corners[start:stop])
+            first.append(np.array([start]))
+        else:
+            boxes, at = greedy_merge(corners[start:stop])
+            merged.append(boxes)
+            first.append(at + start)
+    out = rows.iloc[np.concatenate(first)].copy()
+    out[CORNERS] = np.concatenate(merged)
+    return out
 
 
 def merge_greedy(boxes: DataFrame, order: str = "ann_id", group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -178,15 +178,19 @@ def spaced_points(mask: DataFrame, images: DataFrame, frag_w: int, frag_h: int,
     fitting = box_fits(tried, mask, images, frag_w, frag_h)
     gap = max(frag_w, frag_h)
 
-    def accept(rows: pd.DataFrame) -> pd.DataFrame:
-        xy, kept = rows[["x", "y"]].to_numpy(), []
-        for i in range(len(xy)):
-            if len(kept) == n:
-                break
-            if not kept or (((xy[kept] - xy[i]) ** 2).sum(axis=1) >= gap * gap).all():
-                kept.append(i)
+    def accept(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        xy, kept, pos = rows[["x", "y"]].to_numpy(), [], []
+        for start, stop in zip(bounds[:-1], bounds[1:]):
+            mine: list[int] = []
+            for i in range(start, stop):
+                if len(mine) == n:
+                    break
+                if not mine or (((xy[mine] - xy[i]) ** 2).sum(axis=1) >= gap * gap).all():
+                    mine.append(i)
+            kept += mine
+            pos += range(1, len(mine) + 1)
         out = rows.iloc[kept][["image_id", "y", "x"]].copy()
-        out.insert(1, "pos", np.arange(1, len(out) + 1))
+        out.insert(1, "pos", pos)
         return out
 
     kind = fitting.schema["image_id"].dataType.simpleString()

@@ -58,18 +58,11 @@ def score_sequences(
     long = sliding_windows(rows.select("seq_id", "t", *values), size, overlap).select("seq_id", "start", "pos", *values)
     short = pad_sequences(rows, size, "zero", values).select("seq_id", F.lit(0).cast("bigint").alias("start"), "pos", *values)
 
-    def score(window: pd.DataFrame) -> pd.DataFrame:
-        probs = _load(key, factory)(window[values].to_numpy(dtype=float))
-        n = len(window)
-        return pd.DataFrame(
-            {
-                "seq_id": np.repeat(window["seq_id"].to_numpy(), classes),
-                "start": np.repeat(window["start"].to_numpy(), classes),
-                "pos": np.repeat(window["pos"].to_numpy(), classes),
-                "label_idx": np.tile(np.arange(classes), n),
-                "prob": np.asarray(probs, dtype=float).reshape(-1),
-            }
-        )
+    def score(windows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        model, data = _load(key, factory), windows[values].to_numpy(dtype=float)
+        probs = [np.asarray(model(data[a:b]), dtype=float).reshape(-1) for a, b in zip(bounds[:-1], bounds[1:])]
+        out = {c: np.repeat(windows[c].to_numpy(), classes) for c in ("seq_id", "start", "pos")}
+        return pd.DataFrame({**out, "label_idx": np.tile(np.arange(classes), len(windows)), "prob": np.concatenate(probs)})
 
     kind = rows.schema["seq_id"].dataType.simpleString()
     schema = f"seq_id {kind}, start bigint, pos bigint, label_idx bigint, prob double"
@@ -160,33 +153,37 @@ def kmeans_table(rows: DataFrame, features: Sequence[str], k: int, seed: int = 1
 # ---- texts ---------------------------------------------------------------
 
 
-def text_classifier(train: DataFrame, test: DataFrame, c: float = 10.0, max_ngram: int = 3, vocab: int = 1 << 18, max_iter: int = 50):
+def text_classifier(train: DataFrame, test: DataFrame, c: float = 10.0, max_ngram: int = 3, features: int = 1 << 18, max_iter: int = 50):
     """TF-IDF of word 1..3-grams and logistic regression; returns predictions and the model.
 
     `train` has text, label; `test` has text. Without training rows, pass the label names
-    themselves as texts (cold start).
+    themselves as texts (cold start). Grams are hashed, so no vocabulary passes the driver.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, RegexTokenizer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
 
     stages = [RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True)]
-    outs = []
-    for n in range(1, max_ngram + 1):
-        grams = "_w" if n == 1 else f"_g{n}"
-        if n > 1:
-            stages.append(NGram(n=n, inputCol="_w", outputCol=grams))
-        stages.append(CountVectorizer(inputCol=grams, outputCol=f"_c{n}", vocabSize=vocab))
-        outs.append(f"_c{n}")
-    stages += [VectorAssembler(inputCols=outs, outputCol="_tf"), IDF(inputCol="_tf", outputCol="_x")]
+    grams = ["_w"]
+    for n in range(2, max_ngram + 1):
+        stages.append(NGram(n=n, inputCol="_w", outputCol=f"_g{n}"))
+        grams.append(f"_g{n}")
+    stages.append(SQLTransformer(statement=f"select *, concat({', '.join(grams)}) as _grams from __THIS__"))
+    stages.append(HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features))
+    vectors = Pipeline(stages=stages).fit(train)
     indexer = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
-    n_rows = max(1, train.count())
-    stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_k", regParam=1.0 / (c * n_rows), maxIter=max_iter))
-    stages.append(IndexToString(inputCol="_k", outputCol="prediction", labels=indexer.labels))
-    model = Pipeline(stages=stages).fit(indexer.transform(train))
+    counted = indexer.transform(vectors.transform(train)).select("_tf", "_y").persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = max(1, counted.count())
+    learn = Pipeline(stages=[
+        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x"),
+        LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_k", regParam=1.0 / (c * n_rows), maxIter=max_iter),
+        IndexToString(inputCol="_k", outputCol="prediction", labels=indexer.labels),
+    ])
+    fitted = learn.fit(counted)
+    counted.unpersist()
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(test).withColumn("score", F.array_max(vector_to_array("_p")))
-    return scored.select(*test.columns, "prediction", "score"), model
+    scored = fitted.transform(vectors.transform(test)).withColumn("score", F.array_max(vector_to_array("_p")))
+    return scored.select(*test.columns, "prediction", "score"), (vectors, fitted)
 
 

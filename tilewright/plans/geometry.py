@@ -164,9 +164,9 @@ def ground_scale(v):
     return sized(v).select(*KEY, F.round(fb.ground_scale("y", "ih"), 9).alias("scale"))
 
 
-@query("image_tiles", "select image_id, gy.y//60*cast(ceil(w/60e0) as bigint)+gx.x//60 as tile, gy.y as y, gx.x as x, least(60,w-gx.x) as tile_w, least(60,h-gy.y) as tile_h from v_images, lateral (select unnest(range(0,h,60)) as y) gy, lateral (select unnest(range(0,w,60)) as x) gx")
+@query("image_tiles", "select image_id, gy.y//200*cast(ceil(w/200e0) as bigint)+gx.x//200 as tile, gy.y as y, gx.x as x, least(200,w-gx.x) as tile_w, least(200,h-gy.y) as tile_h from v_images, lateral (select unnest(range(0,h,200)) as y) gy, lateral (select unnest(range(0,w,200)) as x) gx")
 def image_tiles(v):
-    return pl.image_tiles(v.images, 60)
+    return pl.image_tiles(v.images, 200)
 
 
 @query("gate_tiles", "select t.image_id, t.y, t.x, coalesce(p.cls in (0,1,2,3,4,5),false) as scored from (select image_id, gy.y, gx.x from (select distinct image_id from v_pixels) i, (select unnest(range(0,10,2)) as y) gy, (select unnest(range(0,10,2)) as x) gx) t left join v_pixels p on p.image_id=t.image_id and p.y=t.y and p.x=t.x")
@@ -197,9 +197,8 @@ def plan_positive_crops_single(v):
     f"""with p as (select n.image_id, g.draw, n.wanted, i.w as iw, i.h as ih from (select image_id, count(*) as wanted from v_boxes group by image_id) n join v_images i on n.image_id=i.image_id,
       lateral (select unnest(range(1, wanted*4+1)) as draw) g),
     q as (select *, {sql_rand('8x', 'image_id', 'draw', lo=0, hi='iw-1')} as x, {sql_rand('8y', 'image_id', 'draw', lo=0, hi='ih-1')} as y from p),
-    s as (select q.image_id, q.draw, any_value(wanted) as wanted, any_value(q.x) as x, any_value(q.y) as y,
-      least(300, any_value(iw)-any_value(q.x), any_value(ih)-any_value(q.y), min(greatest(b.x-q.x, b.y-q.y))) as size
-      from q left join v_boxes b on b.image_id=q.image_id and q.x<b.x+b.w and q.y<b.y+b.h group by q.image_id, q.draw),
+    l as (select q.image_id, q.draw, min(case when q.x<b.x+b.w and q.y<b.y+b.h then greatest(b.x-q.x, b.y-q.y) else 300 end) as lim from q join v_boxes b on b.image_id=q.image_id group by q.image_id, q.draw),
+    s as (select q.*, least(300, iw-x, ih-y, lim) as size from q join l on l.image_id=q.image_id and l.draw=q.draw),
     n as (select *, row_number() over(partition by image_id order by draw) as n from s where size>0)
     select image_id, n, x, y, size from n where n<=wanted""",
 )

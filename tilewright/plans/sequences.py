@@ -41,18 +41,18 @@ RUN_SQL = """(select *, sum(chg) over(partition by seq_id order by t) as run fro
 
 @query(
     "segments",
-    f"select seq_id, label, min(t) as start, max(t) as \"end\", round(avg(score),6) as score, min(t)=max(t) as instant from {RUN_SQL.format(s='label', src='v_rows')} r where label<>'view' group by seq_id, run, label",
+    f"select seq_id, label, min(t) as start, max(t) as \"end\", round(avg(score),9) as score, min(t)=max(t) as instant from {RUN_SQL.format(s='label', src='v_rows')} r where label<>'view' group by seq_id, run, label",
 )
 def segments(v):
-    return sq.segments(v.rows, "view").withColumn("score", F.round("score", 6))
+    return sq.segments(v.rows, "view").withColumn("score", F.round("score", 9))
 
 
 @query(
     "sequence_score",
-    f"select seq_id, round(avg(score),5) as score from (select seq_id, avg(score) as score from {RUN_SQL.format(s='label', src='v_rows')} r where label<>'view' group by seq_id, run) s group by seq_id",
+    f"select seq_id, round(avg(score),9) as score from (select seq_id, avg(score) as score from {RUN_SQL.format(s='label', src='v_rows')} r where label<>'view' group by seq_id, run) s group by seq_id",
 )
 def sequence_score(v):
-    return sq.sequence_score(sq.segments(v.rows, "view")).withColumn("score", F.round("score", 5))
+    return sq.sequence_score(sq.segments(v.rows, "view")).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -79,19 +79,19 @@ STRIPPED = f"(select seq_id, t, score, label, regexp_replace(label,'^[BI]-','')
 
 @query(
     "entity_spans",
-    f"select seq_id, entity, min(t) as start, max(t) as \"end\", round(avg(score),6) as score from {RUN_SQL.format(s='entity', src=STRIPPED)} r where entity<>'O' group by seq_id, run, entity",
+    f"select seq_id, entity, min(t) as start, max(t) as \"end\", round(avg(score),9) as score from {RUN_SQL.format(s='entity', src=STRIPPED)} r where entity<>'O' group by seq_id, run, entity",
 )
 def entity_spans(v):
-    return sq.entity_spans(bio(v)).withColumn("score", F.round("score", 6))
+    return sq.entity_spans(bio(v)).withColumn("score", F.round("score", 9))
 
 
 @query(
     "entity_spans_split",
     f"""with b as (select *, case when entity='O' then '' else concat(entity,'/',sum(case when label like 'B-%' then 1 else 0 end) over(partition by seq_id order by t)) end as st from {STRIPPED} s)
-    select seq_id, entity, min(t) as start, max(t) as "end", round(avg(score),6) as score from {RUN_SQL.format(s='st', src='b')} r where entity<>'O' group by seq_id, run, entity""",
+    select seq_id, entity, min(t) as start, max(t) as "end", round(avg(score),9) as score from {RUN_SQL.format(s='st', src='b')} r where entity<>'O' group by seq_id, run, entity""",
 )
 def entity_spans_split(v):
-    return sq.entity_spans(bio(v), split_on_b=True).withColumn("score", F.round("score", 6))
+    return sq.entity_spans(bio(v), split_on_b=True).withColumn("score", F.round("score", 9))
 
 
 @query(

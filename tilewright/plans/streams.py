@@ -130,9 +130,9 @@ def stream_timeouts(v):
     "stream_segments",
     """with r as (select user_id as seq_id, event_id as t, event_type as label, value from events), c as (select *, case when label is distinct from lag(label) over(partition by seq_id order by t) then 1 else 0 end as chg from r),
     g as (select *, sum(chg) over(partition by seq_id order by t) as run from c)
-    select seq_id, label, min(t) as start, max(t) as "end", round(avg(value),6) as score from g group by seq_id, run, label""",
+    select seq_id, label, min(t) as start, max(t) as "end", round(avg(value),9) as score from g group by seq_id, run, label""",
 )
 def stream_segments(v):
     out, state, checkpoint = folders(v, "segments")
     rows = event_stream(v).select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("t"), F.col("event_type").alias("label"), F.col("value").alias("score"))
-    return jobs.stream_segments(rows, out, state, checkpoint).withColumn("score", F.round("score", 6))
+    return jobs.stream_segments(rows, out, state, checkpoint).withColumn("score", F.round("score", 9))
