@@ -87,14 +87,19 @@ def test_greedy(spark, images):
     assert result(ob.merge_greedy(df)) == want
 
 
-@pytest.mark.parametrize("limit", [50, 4])
-def test_greedy_of_large_images(spark, images, limit):
+@pytest.mark.parametrize("limit", [20, 4])
+def test_greedy_of_large_images(spark, limit):
     """A low limit sends images through components, and components through joins."""
-    chosen = {i: images[i] for i in (0, 1, 2, 3, 4, 5)}
-    if limit == 4:
-        chosen[0] = chosen[0][:60]
-    df = make(spark, chosen)
-    assert result(ob.merge_greedy(df, group_rows=limit)) == {i: brute_greedy(b) for i, b in chosen.items()}
+    rng = random.Random(8)
+
+    def box(span, size):
+        x, y = rng.randrange(0, span), rng.randrange(0, span)
+        return (x, y, x + rng.randrange(1, size), y + rng.randrange(1, size))
+
+    # one picture is a dense heap with copies, one is loose, one is small
+    heap = [box(120, 50) for _ in range(40)]
+    made = {0: heap + heap[:10], 1: [box(400, 40) for _ in range(22)], 2: [box(50, 20) for _ in range(3)]}
+    assert result(ob.merge_greedy(make(spark, made), group_rows=limit)) == {i: brute_greedy(b) for i, b in made.items()}
 
 
 def test_closure(spark, images):

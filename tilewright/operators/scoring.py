@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import digest
 from tilewright.operators.boxes import per_key
-from tilewright.operators.ordered import top_per_group
 from tilewright.operators.sequences import overlap_average, pad_sequences, sequence_lengths, sliding_windows
 from tilewright.session import cut_lineage
 
@@ -96,18 +95,14 @@ def kmeans_rows(rows: DataFrame, features: Sequence[str], k: int, seed: int = 1,
     """K-means of each image's rows; adds `cluster`.
 
     All images take Lloyd's steps together: a step joins the k centres of each image and
-    averages by (image, cluster), combined before the shuffle. The first centres are k
-    distinct colours in seeded hash order.
+    averages by (image, cluster), combined before the shuffle. The first centre is a seeded
+    hash pick, each further one the row farthest from the centres so far.
     """
     features = list(features)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    colors = rows.select("image_id", *features).distinct().withColumn("_d", digest(seed, "image_id", *features))
-    first = top_per_group(colors, ["image_id"], ["_d", *features], k)
-
-    def pack(df: DataFrame, order: Sequence[str]) -> DataFrame:
-        point = F.array(*[F.col(f).cast("double") for f in features])
-        listed = F.array_sort(F.collect_list(F.struct(*order, point.alias("p"))))  # k entries per image
-        return df.groupBy("image_id").agg(listed.alias("l")).select("image_id", F.col("l.p").alias("_centers"))
+    point = F.array(*[F.col(f).cast("double") for f in features])
+    first = rows.groupBy("image_id").agg(F.min_by(point, F.struct(digest(seed, "image_id", *features), point)).alias("p"))
+    centers = cut_lineage(first.select("image_id", F.array("p").alias("_centers")))
 
     def nearest(df: DataFrame, centers: DataFrame) -> DataFrame:
         joined = df.join(centers, "image_id")
@@ -115,7 +110,10 @@ def kmeans_rows(rows: DataFrame, features: Sequence[str], k: int, seed: int = 1,
         costs = F.transform("_centers", lambda c, i: F.struct(distance(c).alias("cost"), i.alias("i")))
         return joined.withColumn("_best", F.array_min(costs)).withColumn("cluster", F.col("_best.i"))
 
-    centers = cut_lineage(pack(first, ["_d"]))
+    for _ in range(k - 1):
+        far = nearest(rows, centers).groupBy("image_id").agg(F.max(F.struct(F.col("_best.cost"), point.alias("p"))).alias("f"))
+        more = F.when(F.col("f.cost") > 0, F.concat("_centers", F.array("f.p"))).otherwise(F.col("_centers"))
+        centers = cut_lineage(centers.join(far, "image_id").select("image_id", more.alias("_centers")))
     for _ in range(iterations):
         moved = nearest(rows, centers).groupBy("image_id", "cluster").agg(*[F.avg(f).alias(f) for f in features])
         fresh = moved.withColumn("_n", F.array(*[F.col(f).cast("double") for f in features])).groupBy("image_id").agg(
