@@ -155,7 +155,7 @@ def text_classifier(train: DataFrame, test: DataFrame, c: float = 10.0, max_ngra
     """TF-IDF of word 1..3-grams and logistic regression; returns predictions and the model.
 
     `train` has text, label; `test` has text. Without training rows, pass the label names
-    themselves as texts (cold start). Grams are hashed, so no vocabulary passes the driver.
+    themselves as texts (cold start). Grams are hashed, so no vocabulary passes the driver; grams unseen in training weigh nothing.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -173,7 +173,7 @@ def text_classifier(train: DataFrame, test: DataFrame, c: float = 10.0, max_ngra
     counted = indexer.transform(vectors.transform(train)).select("_tf", "_y").persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = max(1, counted.count())
     learn = Pipeline(stages=[
-        IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_x"),
+        IDF(inputCol="_tf", outputCol="_idf", minDocFreq=1), Normalizer(inputCol="_idf", outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_k", regParam=1.0 / (c * n_rows), maxIter=max_iter),
         IndexToString(inputCol="_k", outputCol="prediction", labels=indexer.labels),
     ])
