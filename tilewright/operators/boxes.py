@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.boxes import overlaps
-from tilewright.session import cut_lineage
+from tilewright.session import cut_lineage, ship_package
 
 CELL = 128
 GROUP_ROWS = 10_000  # larger images are merged by joins instead of in one task
@@ -83,6 +83,7 @@ def per_key(
         if held is not None and len(held):
             yield fn(held, np.array([0, len(held)]))
 
+    ship_package(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
@@ -160,6 +161,7 @@ def merge_closure(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     """
     image_type = boxes.schema["image_id"].dataType.simpleString()
     schema = f"image_id {image_type}, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
+    ship_package(boxes.sparkSession)
     active = _corners(boxes).distinct().mapInPandas(_premerge, schema).distinct()
     done = None
     while True:

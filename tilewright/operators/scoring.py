@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.hashing import digest
 from tilewright.operators.boxes import per_key
 from tilewright.operators.sequences import overlap_average, pad_sequences, sequence_lengths, sliding_windows
-from tilewright.session import cut_lineage
+from tilewright.session import cut_lineage, ship_package
 
 _MODELS: dict = {}
 
@@ -41,6 +41,7 @@ def score_rows(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.
                 part = frame.iloc[at: at + batch].reset_index(drop=True)
                 yield pd.concat([part[keep], model(part).reset_index(drop=True)], axis=1)
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, full)
 
 

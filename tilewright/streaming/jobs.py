@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tilewright.operators import state as st
 from tilewright.operators.ordered import islands, number_rows, running
-from tilewright.session import STATE_STORE
+from tilewright.session import STATE_STORE, ship_package
 from tilewright.streaming.tables import BatchOutput, VersionedTable
 
 # fixed values: event names of the annotation backend (both spellings of the delete event)
@@ -223,6 +223,7 @@ def stream_timeouts(changes: DataFrame, timeout_ms: int, delay: str, flying: str
 
     `changes` has item (bigint), status, ts, id.
     """
+    ship_package(changes.sparkSession)
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     schema = T.StructType([T.StructField("item", T.LongType()), T.StructField("status", T.StringType()), T.StructField("expired_ms", T.LongType())])
     return changes.withWatermark("ts", delay).groupBy("item").transformWithStateInPandas(
