@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import text as tf
 from tilewright.operators import runs as rn
-from tilewright.operators.scoring import pipe
+from tilewright.operators.scoring import compose, pipe
 from tilewright.operators.state import tile_stats
 from tilewright.plans.registry import query
 from tilewright.session import shared_dir
@@ -216,3 +216,15 @@ def materialize(v):
 def pipe_query(v):
     busy = pipe(lambda df: df.filter("value > 10"), lambda df: df.groupBy("user_id").agg(F.count("*").alias("n")))
     return busy(v.table("events"))
+
+
+@query("parse_run_name", "select run_id, 'model' as key, model as value from v_params union all select run_id, 'tile', tile from v_params")
+def parse_run_name(v):
+    names = rn.params_map(v.params, KEYS).select("run_id", tf.run_name("params", ["n"]).alias("name"))
+    return names.select("run_id", F.explode(tf.parse_run_name("name")).alias("key", "value"))
+
+
+@query("compose", "select event_type, count(*) as n from events where value>20 group by event_type")
+def compose_query(v):
+    busy = compose(lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")), lambda df: df.filter("value > 20"))
+    return busy(v.table("events"))
