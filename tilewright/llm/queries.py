@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.llm import quality_rules as rules
+from tilewright.llm.byte_bpe import encode_decode
+from tilewright.llm.dart_minhash import near_duplicates
 from tilewright.llm.registry import ORACLES, QUERIES, query
 from tilewright.llm.textops import table
 
@@ -14,3 +17,13 @@ __all__ = ["ORACLES", "QUERIES"]
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op10_dart_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
