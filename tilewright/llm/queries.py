@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tilewright.llm import quality_rules as rules
 from tilewright.llm.byte_bpe import encode_decode
 from tilewright.llm.dart_minhash import near_duplicates
+from tilewright.llm.decontaminate import contaminated
+from tilewright.llm.licenses import scan_licenses
+from tilewright.llm.maxent_lm import score_texts
+from tilewright.llm.quality_classifier import quality_scores
 from tilewright.llm.registry import ORACLES, QUERIES, query
 from tilewright.llm.textops import table
 
@@ -27,3 +31,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_dart_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_license_notices")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_maxent_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
