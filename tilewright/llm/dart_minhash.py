@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm import blocks
 from tilewright.llm.components import components
 from tilewright.llm.textops import BASE, LOWER, SpanHash, byte_slices, id_and_text, mix, ngrams, ranked, ready, words
 from tilewright.session import cut_lineage, shared_dir
@@ -17,8 +18,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with probability 1.5e-5
 K = BANDS * ROWS
-ESTIMATE_FLOOR = 0.62  # about five standard deviations of the signature's estimate below 0.8
 BLOCK = 512  # texts of a bucket compared at once
+SKETCH_BYTES = 1 << 19  # text whose darts are thrown at once
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -114,7 +115,7 @@ def bands_of(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return out
 
 
-SKETCH = "_id bigint, node bigint, n_shingles bigint, bands array<bigint>, sig binary, shingles binary"
+SKETCH = "_id bigint, node bigint, n_shingles bigint, bands array<bigint>, shingles binary"
 
 
 def sketch(docs: DataFrame, weighted: bool) -> DataFrame:
@@ -122,7 +123,7 @@ def sketch(docs: DataFrame, weighted: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in byte_slices(batch.column(1)):
+            for a, b, data, offsets in byte_slices(batch.column(1), SKETCH_BYTES):
                 grams, count, first = shingle_sets(data, offsets)
                 size = np.diff(first)
                 signed = dart_signatures(grams, count.astype(float) if weighted else np.ones(len(grams)), first)
@@ -132,12 +133,10 @@ def sketch(docs: DataFrame, weighted: bool) -> DataFrame:
                 key = mix(key + size.astype(np.uint64)).view(np.int64)
                 low = (grams >> np.uint64(32)).astype("<u4")
                 banded = bands_of(signed).view(np.int64)
-                small = (signed >> np.uint64(48)).astype("<u2")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(banded.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), pa.array(key, mask=size == 0), pa.array(size), lists,
-                        pa.array([r.tobytes() for r in small], pa.binary()),
                         pa.array([np.unique(low[i:j]).tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary()),
                     ],
                     [c.split()[0] for c in SKETCH.split(", ")],
@@ -168,54 +167,105 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def remaining_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different components inside a bucket whose signatures agree enough to be checked.
+def _links(node: np.ndarray, comp: np.ndarray, left: np.ndarray, same_block: bool, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int, float]]:
+    """Links that join components of one block, or of two blocks; a pair that is joined by now is not compared."""
+    size = np.array([len(s) for s in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    bits = np.zeros((len(sets), (int(column.max()) >> 6) + 1), np.uint64)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), size), column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    comp, out = comp.copy(), []
+    for i in range(len(sets)) if same_block else np.flatnonzero(left):
+        others = np.arange(i + 1, len(sets)) if same_block else np.flatnonzero(~left)
+        others = others[(comp[others] != comp[i]) & (np.minimum(size[others], size[i]) >= similarity * np.maximum(size[others], size[i]))]
+        if not len(others):
+            continue
+        both = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
+        score = both / (size[others] + size[i] - both)
+        for j, value in zip(others[score >= similarity - 1e-12], score[score >= similarity - 1e-12]):
+            if comp[j] != comp[i]:
+                out.append((int(node[i]), int(node[j]), float(value)))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def links_inside(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b, similarity) between different components inside a bucket.
 
-    `members` (h, node, comp) are the texts that no leader's comparison has settled. A bucket
-    is dealt into blocks of about BLOCK texts and each pair of blocks is a unit of work for
-    some task, so a large bucket is spread; only pairs over the estimate's floor come out.
+    `members` (h, node, comp) are the texts that the comparison with the leader has not put
+    into one component. A bucket is dealt into blocks of about BLOCK texts, and each pair of
+    blocks is a unit of work for some task, so a large bucket is spread. Tasks stream their
+    units; sets are compared there, and only links that join two components come out.
     """
     sizes = members.groupBy("h").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("bigint")
-    own = F.pmod(F.xxhash64("node"), F.col("n"))
-    dealt = members.join(sizes, "h").join(sigs, "node").withColumn("n", blocks).withColumn("own", own)
+    dealt = members.join(sizes, "h").join(sets, "node").withColumn("n", F.ceil(F.col("m") / BLOCK).cast("bigint")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") == F.least("own", "other")).alias("left"), "node", "comp", "sig")
-    parts = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-
-    def compare(group: pa.Table):
-        node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, K)
-        same_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        left = np.asarray(group.column("left").to_numpy(zero_copy_only=False), bool)
-        lefts, rights = (np.arange(len(node)),) * 2 if same_block else (np.flatnonzero(left), np.flatnonzero(~left))
-        a, b = [], []
-        for i in lefts:
-            others = rights[(rights > i) if same_block else slice(None)]
-            others = others[comp[others] != comp[i]]
-            good = others[(sig[others] == sig[i]).sum(1) >= ESTIMATE_FLOOR * K]
-            a.append(np.full(len(good), node[i]))
-            b.append(node[good])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "node", "comp", "shingles")
+    parts = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "node")
+
+    def compare(unit: pa.Table) -> pa.RecordBatch:
+        i, j = unit.column("i")[0].as_py(), unit.column("j")[0].as_py()
+        left = np.asarray(unit.column("left").to_numpy(zero_copy_only=False), bool)
+        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in unit.column("shingles")]
+        found = _links(unit.column("node").to_numpy(), unit.column("comp").to_numpy(), left, i == j, sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []  # the unit that may go on in the next batch
+        last = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            keys = np.stack([rows.column(c).to_numpy() for c in ("h", "i", "j")], 1)
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            if last is not None and (keys[0] != last).any():
+                yield compare(pa.Table.from_batches(held))
+                held = []
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for lo, hi in zip([0, *cuts[:-1]], cuts):
-                a, b = compare(rows.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            held = rows.slice(cuts[-1] if len(cuts) else 0).combine_chunks()
-        if held is not None and len(held):
-            a, b = compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+                held.append(batch.slice(lo, hi - lo))
+                if hi < len(keys):
+                    yield compare(pa.Table.from_batches(held))
+                    held = []
+            last = keys[-1]
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return parts.mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
+FILTER_BITS = 1 << 24
+
+
+def _filter_places(node: np.ndarray) -> np.ndarray:
+    x = node.view(np.uint64)
+    return np.concatenate([mix(x ^ seed) % np.uint64(FILTER_BITS) for seed in (_C1, _C2)]).astype(np.int64)
+
+
+def possible_nodes(nodes: DataFrame) -> np.ndarray:
+    """Bloom filter of the nodes, of a fixed 2^24 bits: too many nodes only make it let more through."""
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_filter_places(batch.column(0).to_numpy())] = True
+        yield from blocks.emit(bits.reshape(-1, 64))
+
+    return blocks.add_up(nodes.select("node").mapInArrow(run, blocks.SCHEMA), (FILTER_BITS // 64, 64), "bool").ravel()
+
+
+def sets_of(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, one row each; the filter keeps other sets from being shuffled."""
+    bits = known.sparkSession.sparkContext.broadcast(np.packbits(possible_nodes(nodes)))
+
+    def run(batches):
+        seen = np.unpackbits(bits.value).view(bool)
+        for batch in batches:
+            a, b = np.split(_filter_places(batch.column(0).to_numpy()), 2)
+            yield batch.filter(pa.array(seen[a] & seen[b]))
 
-    found = parts.mapInArrow(run, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ids = known.select("node", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), "shingles").mapInArrow(run, "node bigint, _id bigint, shingles binary")
+    one = known.select("node", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id")).groupBy("node").agg(F.min("_id").alias("_id"))
+    wanted = one.join(nodes, "node", "left_semi")
+    return ids.join(wanted, ["node", "_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
@@ -226,7 +276,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shingle as often as it occurs. Texts with equal sets are one node from the start, so
     copies are never expanded. Candidates share a band; each bucket first compares its texts
     with its most popular one, then only texts that are still in different components, block
-    by block; every link is checked on the sets. No bucket, pair or candidate is capped.
+    by block; every link is an exact comparison of sets. No bucket, pair or candidate is capped.
 
     One row per input row. Null, empty and white texts are classes of their own (class_id is
     their key); repeated rows and repeated keys share the class of their text; null keys are
@@ -246,19 +296,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     leaders = members.join(popular, "node").groupBy("h").agg(F.max_by("node", F.struct("popular", "node")).alias("leader"))
     led = cut_lineage(members.join(leaders, "h").select("h", "node", "leader").filter("node != leader"))
 
-    # signatures and sets of the texts that share a band with another one, once for each node
-    ids = known.select("node", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"))
-    one = ids.groupBy("node").agg(F.min("_id").alias("_id"))
-    wanted = one.join(members.select("node").distinct(), "node", "left_semi")
-    full = known.select("node", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), "sig", "shingles")
-    full.join(wanted, ["node", "_id"], "left_semi").dropDuplicates(["node"]).write.parquet(f"{folder}/sets")
+    # sets of the texts that share a band with another one, once for each node
+    sets_of(known, members.select("node").distinct()).write.parquet(f"{folder}/sets")
     sets = spark.read.parquet(f"{folder}/sets")
 
     links = cut_lineage(verify(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, similarity))
     found = components(links)
     placed = led.join(found, "node", "left").select("h", "node", F.coalesce("root", "node").alias("comp"))
     apart = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("h")
-    more = verify(remaining_pairs(placed.join(apart, "h", "left_semi"), sets.select("node", "sig")), sets, similarity)
+    more = links_inside(placed.join(apart, "h", "left_semi"), sets, similarity)
     found = components(links.union(more))
 
     placed = drawn.select("_id", "node", "n_shingles").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
