@@ -1,22 +1,84 @@
-"""Corpus pipeline over `documents`: every stage keeps rows and columns of the documents it passes on."""
+"""Corpus pipeline over `documents`: rules, classifier, near duplicates, decontamination, token ids.
+
+Every stage but the last returns the columns of the documents that it keeps. Decisions that
+come from the text alone filter rows in place; those that need other documents are joined by
+a hash of (doc_id, text), so null or repeated ids do no harm, and a filter of fixed size lets
+only rows that may have to go be shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.quality_rules import quality_rules
-from tilewright.session import shared_dir
+from tilewright.llm.byte_bpe import encode_decode
+from tilewright.llm.dart_minhash import near_duplicates
+from tilewright.llm.decontaminate import contaminated
+from tilewright.llm.key_filter import may_be_among
+from tilewright.llm.quality_classifier import THRESHOLD, scorer, train
+from tilewright.llm.quality_rules import keeps
+from tilewright.session import cut_lineage, shared_dir
+
+def key() -> Column:
+    """What tells rows apart: id and text; also where the id is null."""
+    return F.xxhash64("doc_id", "text")
+
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is not in `gone` (_k); of rows with a key in `repeated` one stays."""
+    doubtful = gone if repeated is None else gone.unionByName(repeated)
+    maybe = may_be_among(doubtful, "_k")(key())
+    sure = docs.filter(~maybe)
+    asked = docs.filter(maybe).withColumn("_k", key()).join(gone, "_k", "left_anti")
+    if repeated is not None:
+        asked = asked.dropDuplicates(["_k"])
+    return sure.unionByName(asked.drop("_k"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the rules reject go."""
+    return docs.filter(keeps(spark)(F.coalesce("text", F.lit(""))))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that score below the threshold go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(scorer(docs, model)(F.coalesce("text", F.lit(""))) >= THRESHOLD)
+
+
+def near_duplicate_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: of each class the document with the smallest doc_id stays."""
+    classes = cut_lineage(near_duplicates(docs.select(key().alias("_k"), "text"), key="_k").filter("class_size > 1").select("_k", "class_id"))
+    ids = docs.select(key().alias("_k"), "doc_id").join(classes, "_k")
+    first = ids.groupBy("class_id").agg(F.min_by("_k", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_k")).alias("_k")).select("_k")
+    members = classes.groupBy("_k").agg(F.count("*").alias("n"))
+    gone = cut_lineage(members.select("_k").join(first, "_k", "left_anti"))
+    repeated = cut_lineage(members.filter("n > 1").select("_k").join(first, "_k", "left_semi"))
+    return without(docs, gone, repeated)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents with a copy of a test item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contaminated(docs.select(key().alias("_k"), "text"), items, key="_k")
+    return without(docs, cut_lineage(found.select("_k").distinct()))
 
 
-def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: token ids of every document, and digests of the ids and of the decoded text."""
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 
-STAGES = [("quality_rules", keep_by_rules)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicate_classes),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
+ORACLE_SQL = None  # a trained classifier has no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ def emit(table: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["block", "part", "cells"])
 
 
-def add_up(parts: DataFrame, shape: tuple[int, int], kind: str) -> np.ndarray:
-    """Sum over all tasks, as one array on the driver; its size is `shape`, whatever the input.
+def add_up(parts: DataFrame, shape: tuple[int, int], kind: str, add: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or another ufunc) over all tasks, as one array on the driver; its size is `shape`, whatever the input.
 
     Blocks are dealt by number and streamed in order of (block, part) through each task, which
     holds one block at a time; the order makes sums of floats repeatable.
@@ -39,7 +39,7 @@ def add_up(parts: DataFrame, shape: tuple[int, int], kind: str) -> np.ndarray:
                     if held is not None:
                         yield out()
                     held, number = np.zeros(len(value), kind), block
-                held += value
+                add(held, value, out=held)
         if held is not None:
             yield out()
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm import blocks
 from tilewright.llm.components import components
+from tilewright.llm.key_filter import may_be_among
 from tilewright.llm.textops import BASE, LOWER, SpanHash, byte_slices, id_and_text, mix, ngrams, ranked, ready, words
 from tilewright.session import cut_lineage, shared_dir
 
@@ -232,37 +232,9 @@ def links_inside(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     return parts.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-FILTER_BITS = 1 << 24
-
-
-def _filter_places(node: np.ndarray) -> np.ndarray:
-    x = node.view(np.uint64)
-    return np.concatenate([mix(x ^ seed) % np.uint64(FILTER_BITS) for seed in (_C1, _C2)]).astype(np.int64)
-
-
-def possible_nodes(nodes: DataFrame) -> np.ndarray:
-    """Bloom filter of the nodes, of a fixed 2^24 bits: too many nodes only make it let more through."""
-
-    def run(batches):
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_filter_places(batch.column(0).to_numpy())] = True
-        yield from blocks.emit(bits.reshape(-1, 64))
-
-    return blocks.add_up(nodes.select("node").mapInArrow(run, blocks.SCHEMA), (FILTER_BITS // 64, 64), "bool").ravel()
-
-
 def sets_of(known: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes, one row each; the filter keeps other sets from being shuffled."""
-    bits = known.sparkSession.sparkContext.broadcast(np.packbits(possible_nodes(nodes)))
-
-    def run(batches):
-        seen = np.unpackbits(bits.value).view(bool)
-        for batch in batches:
-            a, b = np.split(_filter_places(batch.column(0).to_numpy()), 2)
-            yield batch.filter(pa.array(seen[a] & seen[b]))
-
-    ids = known.select("node", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), "shingles").mapInArrow(run, "node bigint, _id bigint, shingles binary")
+    ids = known.select("node", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), "shingles").filter(may_be_among(nodes, "node")("node"))
     one = known.select("node", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id")).groupBy("node").agg(F.min("_id").alias("_id"))
     wanted = one.join(nodes, "node", "left_semi")
     return ids.join(wanted, ["node", "_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewright.llm.textops import SpanHash, as_int64, byte_slices, code_points, covered, id_and_text, ngrams, ranked, ready, sums, words
 
@@ -69,6 +71,18 @@ def judge(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return base, reason == "", np.where(reason == "", None, reason)
 
 
+def keeps(spark: SparkSession):
+    """A pandas UDF from text to the rules' verdict, to filter documents without a join."""
+    ready(spark)
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        found = [judge(measure(data, offsets))[1] for _, _, data, offsets in byte_slices(pa.array(texts, pa.large_string()))]
+        return pd.Series(np.concatenate([np.zeros(0, bool), *found]))
+
+    return kept
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts and verdict for each document, one row per input row.
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tilewright.llm import chat_rotation
 from tilewright.llm import quality_rules as rules
 from tilewright.llm.byte_bpe import encode_decode
 from tilewright.llm.dart_minhash import near_duplicates
 from tilewright.llm.decontaminate import contaminated
+from tilewright.llm.html_text import extract_text
 from tilewright.llm.licenses import scan_licenses
 from tilewright.llm.maxent_lm import score_texts
 from tilewright.llm.quality_classifier import quality_scores
 from tilewright.llm.registry import ORACLES, QUERIES, query
 from tilewright.llm.textops import table
+from tilewright.llm.url_filter import filter_urls
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -51,3 +55,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_maxent_lm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op2_chat_rotation", sql=chat_rotation.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return found.withColumn("masks", F.array_join(spans, ","))
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
