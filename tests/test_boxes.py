@@ -182,3 +182,25 @@ def test_mask_runs(spark):
     mask = grid_mask(spark, 5, 9, lambda y, x: (x * 7 + y * 3) % 4 != 0)
     cells = {(r["y"], x) for r in om.mask_runs(mask).collect() for x in range(r["x0"], r["x1"] + 1)}
     assert cells == {(r["y"], r["x"]) for r in mask.filter("mask").collect()}
+
+
+def test_boxes_without_area_are_kept_on_every_path(spark):
+    made = {
+        1: [(5, 5, 5, 9), (0, 0, 3, 3), (2, 2, 6, 4)],  # a line beside two boxes
+        2: [(4, 1, 4, 4), (0, 0, 8, 8), (20, 20, 20, 20)],  # a line inside a box, a point far away
+        3: [(7, 7, 7, 7), (7, 7, 7, 7)],  # equal points never overlap
+    }
+    small = result(ob.merge_greedy(make(spark, made)))
+    assert small[1] == [(0, 0, 6, 4), (5, 5, 5, 9)] and small[2] == [(0, 0, 8, 8), (20, 20, 20, 20)]
+    for limit in (2, 1):
+        large = result(ob.merge_greedy(make(spark, made), group_rows=limit))
+        assert {i: sorted(set(b)) for i, b in large.items()} == {i: sorted(set(b)) for i, b in small.items()}
+    assert result(ob.merge_closure(make(spark, made))) == {i: sorted(set(b)) for i, b in small.items()}
+
+
+def test_fractional_boxes_keep_their_size(spark):
+    df = spark.createDataFrame([(1, 0, 0.2, 0.2, 0.3, 0.3), (1, 1, 127.5, 0.0, 1.0, 1.0), (1, 2, 128.2, 0.0, 1.0, 1.0)], "image_id bigint, ann_id bigint, x double, y double, w double, h double")
+    want = [(0.2, 0.2, 0.3, 0.3), (127.5, 0.0, 1.7, 1.0)]
+    for merged in (ob.merge_greedy(df), ob.merge_greedy(df, group_rows=1), ob.merge_closure(df)):
+        got = sorted((r["x"], r["y"], round(r["w"], 9), round(r["h"], 9)) for r in merged.collect())
+        assert got == want

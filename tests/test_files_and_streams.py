@@ -86,7 +86,7 @@ def test_series_without_time_column(spark, tmp_path):
         got = timeseries.read_timeseries(spark, str(tmp_path), ["value", "value2"]).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert len(got) == 253 and all(r["t"] == r["value2"] for r in got)
+    assert len(got) == 253 and all(r["t"] == r["value2"] + 1 for r in got)
 
 
 LOG = """
@@ -231,6 +231,31 @@ def test_stream_discover_once(spark, log, tmp_path):
     assert jobs.run_to_files(jobs.stream_discover(twice), str(tmp_path / "o"), str(tmp_path / "c")).count() == 300
 
 
+def test_stream_discover_forgets_nothing_and_loses_nothing(spark, tmp_path):
+    """Ids of files that arrive hours late and out of order come out once each."""
+    source = str(tmp_path / "in")
+    for k, (ids, hour) in enumerate([((1, 2), 12), ((1, 3), 20), ((4, 2), 1), ((1,), 23), ((5,), 0)]):
+        rows = [(i, f"2024-01-01 {hour:02d}:00:00") for i in ids]
+        spark.createDataFrame(rows, "image_id bigint, ts string").select("image_id", F.to_timestamp("ts").alias("ts")).coalesce(1).write.mode("append").parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema("image_id bigint, ts timestamp, part int").option("maxFilesPerTrigger", 1).parquet(source)
+    out = jobs.run_to_files(jobs.stream_discover(stream.select("image_id", "ts")), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted(r["image_id"] for r in out.collect()) == ["1", "2", "3", "4", "5"]
+
+
+def test_clock_and_long_numbers(spark):
+    from tilewright.operators import datasets, documents, runs as runs_ops
+
+    clocks = spark.createDataFrame([("1:02:03",), ("02:03",), ("x",), (None,)], "c string").select(runs_ops.clock_seconds(F.col("c")).alias("s"))
+    assert [r["s"] for r in clocks.collect()] == [3723, 123, None, None]
+    folders = spark.createDataFrame([("007",), ("1" * 25,)], "run_dir string")
+    assert datasets.next_run_id(folders).first()[0] == "008"
+    tasks = spark.createDataFrame([(1, 1, 1)], "task_id bigint, completed_by bigint, updated_by bigint")
+    regions = spark.createDataFrame([(1, 1, "size", "9" * 30), (1, 2, "n", "12")], "task_id bigint, ord bigint, from_name string, value string")
+    users = spark.createDataFrame([(1, "a@b")], "user_id bigint, email string")
+    row = documents.flatten_annotations(tasks, regions, users).first()
+    assert row["size"] == "9" * 30 and row["n"] == 12
+
+
 def test_stream_timeouts(spark, log, tmp_path):
     stream, batch = stream_of(spark, log)
     changes = stream.select(F.col("id").alias("item"), F.when(F.col("e") == 0, "in_progress").otherwise("completed").alias("status"), "ts", "id")

@@ -73,3 +73,19 @@ def test_same_seed_same_rows_on_any_partitioning(spark):
     many = o.shuffle_rank(rows.repartition(8), "image_id", 3).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
     assert sorted(r["rn"] for r in one) == list(range(1, 501))
+
+
+def test_text_with_a_common_prefix_has_many_chunks(spark):
+    names = spark.range(10_000).select(F.format_string("image_%08d", "id").alias("name"), F.lit(1).alias("k"))
+    chunked = names.withColumn("c", o.text_chunk(names, "name"))
+    sizes = [r["count"] for r in chunked.groupBy("c").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 4000
+    got = o.number_rows(names, ["k"], ["name"]).orderBy("name").limit(5).collect()
+    assert [r["rn"] for r in got] == [1, 2, 3, 4, 5]
+    assert o.number_rows(names, ["k"], ["name"]).agg(F.sum("rn")).first()[0] == 10_000 * 10_001 // 2
+
+
+def test_text_order_with_nulls_and_ties_of_prefixes(spark):
+    rows = spark.createDataFrame([(n,) for n in ["b", "", "ab", "a", None, "é", "aa", "Z"]], "name string")
+    got = {r["name"]: r["rn"] for r in o.number_rows(rows, [], ["name"]).collect()}
+    assert got == {None: 1, "": 2, "Z": 3, "a": 4, "aa": 5, "ab": 6, "b": 7, "é": 8}

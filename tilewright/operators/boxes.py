@@ -17,9 +17,16 @@ GROUP_ROWS = 10_000  # larger images are merged by joins instead of in one task
 BATCH_MERGE = 64  # rows of one image in one batch from which a local merge pays
 
 
+def _fractional(df: DataFrame) -> bool:
+    return any(df.schema[c].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint") for c in ("x", "y", "w", "h"))
+
+
 def _cells(df: DataFrame, cell: int) -> DataFrame:
+    whole = not _fractional(df)
+
     def span(start: str, size: str):
-        last = F.greatest(F.col(start), F.col(start) + F.col(size) - 1)
+        end = F.col(start) + F.col(size)
+        last = F.greatest(F.col(start), end - 1 if whole else end)
         return F.sequence(F.floor(F.col(start) / cell), F.floor(last / cell))
 
     return df.withColumn("_cx", F.explode(span("x", "w"))).withColumn("_cy", F.explode(span("y", "h")))
@@ -129,9 +136,10 @@ CORNERS = ["x1", "y1", "x2", "y2"]
 
 
 def _corners(boxes: DataFrame, *extra: str) -> DataFrame:
+    kind = "double" if _fractional(boxes) else "bigint"
     return boxes.select(
-        "image_id", *extra, F.col("x").cast("bigint").alias("x1"), F.col("y").cast("bigint").alias("y1"),
-        (F.col("x") + F.col("w")).cast("bigint").alias("x2"), (F.col("y") + F.col("h")).cast("bigint").alias("y2"),
+        "image_id", *extra, F.col("x").cast(kind).alias("x1"), F.col("y").cast(kind).alias("y1"),
+        (F.col("x") + F.col("w")).cast(kind).alias("x2"), (F.col("y") + F.col("h")).cast(kind).alias("y2"),
     )
 
 
@@ -157,20 +165,23 @@ def merge_closure(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     """Bounding boxes of merged groups, repeated until no two results of an image overlap.
 
     Each round replaces every box by the bounding box of all boxes it overlaps and drops
-    duplicates. Images without a change are final and leave the loop.
+    duplicates. Images without a change are final and leave the loop. A box of zero width or
+    height overlaps no copy of itself; it stays as it is unless it lies inside another box.
     """
-    image_type = boxes.schema["image_id"].dataType.simpleString()
-    schema = f"image_id {image_type}, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
+    cornered = _corners(boxes)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cornered.schema.fields)
     ship_package(boxes.sparkSession)
-    active = _corners(boxes).distinct().mapInPandas(_premerge, schema).distinct()
+    active = cornered.distinct().mapInPandas(_premerge, schema).distinct()
     done = None
     while True:
         rows = _as_boxes(active)
-        pairs = overlap_join(rows, rows, cell=cell)  # a box always meets itself
-        ends = lambda n, s: F.col(f"b.{n}") + F.col(f"b.{s}")
-        grown = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in ("image_id", "x", "y", "w", "h")]).agg(
-            F.min("b.x").alias("x1"), F.min("b.y").alias("y1"), F.max(ends("x", "w")).alias("x2"), F.max(ends("y", "h")).alias("y2")
+        key = ["image_id", "x", "y", "w", "h"]
+        ends = lambda n, s: (F.col(f"b.{n}") + F.col(f"b.{s}"))
+        met = overlap_join(rows, rows, cell=cell).select(
+            *[F.col(f"a.{c}").alias(c) for c in key], F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), ends("x", "w").alias("x2"), ends("y", "h").alias("y2")
         )
+        alone = rows.select(*key, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+        grown = met.unionByName(alone).groupBy(*key).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
         same = (F.col("x") == F.col("x1")) & (F.col("y") == F.col("y1")) & (F.col("x") + F.col("w") == F.col("x2")) & (F.col("y") + F.col("h") == F.col("y2"))
         moved = grown.groupBy("image_id", *CORNERS).agg(F.bool_or(~same).alias("_m"))
         moved = cut_lineage(moved)
@@ -227,11 +238,14 @@ def _merge_large(rows: DataFrame, order: str, group_rows: int, schema: str) -> D
         c("a.image_id").alias("image_id"), c(f"a.{order}").alias(order), c("a.x").alias("x1"), c("a.y").alias("y1"),
         (c("a.x") + c("a.w")).alias("x2"), (c("a.y") + c("a.h")).alias("y2"), c("b.x").alias("_gx"), c("b.y").alias("_gy"),
     )
+    # a box of zero width or height that meets no merged box is one itself
+    alone = rows.filter("x1 = x2 or y1 = y2").join(placed, ["image_id", order], "left_anti")
+    placed = placed.unionByName(alone.select("image_id", order, *CORNERS, c("x1").alias("_gx"), c("y1").alias("_gy")))
     placed = cut_lineage(placed)
     group = ["image_id", "_gx", "_gy"]
     big = placed.groupBy(*group).agg(F.count("*").alias("_n")).filter(c("_n") > group_rows).select(*group)
     fits = placed.join(big, group, "left_anti")
-    out = per_key(fits, group, [order], _greedy_rows, f"{schema}, _gx bigint, _gy bigint").select("image_id", order, *CORNERS)
+    out = per_key(fits, group, [order], _greedy_rows, f"{schema}, _gx {placed.schema['_gx'].dataType.simpleString()}, _gy {placed.schema['_gy'].dataType.simpleString()}").select("image_id", order, *CORNERS)
     rest = placed.join(big, group, "left_semi")
     return out.unionByName(_grow_by_joins(rest, group, order)) if big.take(1) else out
 
@@ -247,7 +261,8 @@ def _grow_by_joins(free: DataFrame, group: Sequence[str], order: str) -> DataFra
     hit = (F.col("x1") < F.col("_x2")) & (F.col("_x1") < F.col("x2")) & (F.col("y1") < F.col("_y2")) & (F.col("_y1") < F.col("y2"))
     while current.take(1):
         joined = free.join(current, group)
-        grown = joined.filter(hit).groupBy(*group, f"_{order}", *[f"_{n}" for n in CORNERS]).agg(
+        own = F.col(order) == F.col(f"_{order}")  # the box it started from, also where that has no area
+        grown = joined.filter(hit | own).groupBy(*group, f"_{order}", *[f"_{n}" for n in CORNERS]).agg(
             F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
         )
         pick = [F.least(F.col(n), F.col(f"_{n}")) if n in ("x1", "y1") else F.greatest(F.col(n), F.col(f"_{n}")) for n in CORNERS]
@@ -258,7 +273,8 @@ def _grow_by_joins(free: DataFrame, group: Sequence[str], order: str) -> DataFra
         ready = closed.select("image_id", F.col(f"_{order}").alias(order), *[F.col(f"_{n}").alias(n) for n in CORNERS])
         done = ready if done is None else done.unionByName(ready)
         open_groups = grown.filter("_m").drop("_m")
-        used = free.join(closed, group, "left").filter(~F.coalesce(hit, F.lit(False))).select(*free.columns)
+        gone = hit | (F.col(order) == F.col(f"_{order}"))
+        used = free.join(closed, group, "left").filter(~F.coalesce(gone, F.lit(False))).select(*free.columns)
         free = cut_lineage(used)
         fresh = free.join(open_groups.select(*group), group, "left_anti").groupBy(*group).agg(F.min(at).alias("s"))
         fresh = fresh.select(*group, *[F.col(f"s.{n}").alias(f"_{n}") for n in (order, *CORNERS)])

@@ -264,7 +264,7 @@ def batch_stats(boxes: DataFrame) -> DataFrame:
 
 def next_run_id(runs: DataFrame, col: str = "run_dir") -> DataFrame:
     """Greatest numeric folder name (1 if none) plus one, three digits."""
-    number = F.when(F.col(col).rlike("^[0-9]+$"), F.col(col).cast("bigint"))
+    number = F.when(F.col(col).rlike("^[0-9]+$"), F.col(col).try_cast("bigint"))
     return runs.agg((F.coalesce(F.max(number), F.lit(1)) + 1).alias("_n")).select(F.format_string("%03d", "_n").alias("run_id"))
 
 
@@ -306,11 +306,11 @@ def holdout_split(files: DataFrame, pct: float = 0.2, seed: int = 42) -> DataFra
     return ranked.select(*files.columns, label.alias("label"), valid.alias("is_valid"))
 
 
-def cycle_to_n(df: DataFrame, n: int, seed: int, id_col: str = "image_id") -> DataFrame:
-    """A shuffled list repeated until it has n rows; `pos` runs from 1 to n."""
-    ranked = shuffle_rank(df, id_col, seed, name="_rn").withColumn("_n", total_rows(df))
-    copies = F.floor((F.lit(n) - F.col("_rn")) / F.col("_n"))
-    repeated = ranked.filter(F.col("_rn") <= n).withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), copies)))
+def cycle_to_n(df: DataFrame, n: int | Column, seed: int, id_col: str = "image_id") -> DataFrame:
+    """A shuffled list repeated until it has n rows; `pos` runs from 1 to n (a number or a scalar column)."""
+    ranked = shuffle_rank(df, id_col, seed, name="_rn").withColumn("_n", total_rows(df)).withColumn("_to", n if isinstance(n, Column) else F.lit(n))
+    copies = F.floor((F.col("_to") - F.col("_rn")) / F.col("_n"))
+    repeated = ranked.filter(F.col("_rn") <= F.col("_to")).withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), copies)))
     return repeated.select(*df.columns, "cycle", (F.col("cycle") * F.col("_n") + F.col("_rn")).alias("pos"))
 
 

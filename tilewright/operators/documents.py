@@ -48,7 +48,7 @@ def flatten_annotations(
     """One wide row per task: ID, emails and one column per control, columns sorted after ID.
 
     The last value of a control wins. Text loses outer quotes; a column whose values are
-    all whole numbers is bigint, any other varchar.
+    all whole numbers within bigint is bigint, any other varchar.
     """
     if names is None:  # the set of controls is the label configuration, a handful of names
         names = [r[0] for r in regions.select("from_name").distinct().orderBy("from_name").collect()]
@@ -57,7 +57,7 @@ def flatten_annotations(
     wide = who.join(values, "task_id", "left").withColumnRenamed("task_id", "ID")
     wide = wide.select(*[coerce_text(c).alias(c) if c in names else F.col(c) for c in wide.columns])
     if infer_types:
-        whole = wide.agg(*[F.bool_and(F.col(n).isNull() | F.col(n).rlike("^[0-9]+$")).alias(n) for n in names]).first()
+        whole = wide.agg(*[F.bool_and(F.col(n).isNull() | (F.col(n).rlike("^[0-9]+$") & F.col(n).try_cast("bigint").isNotNull())).alias(n) for n in names]).first()
         for n in names:
             if whole is not None and whole[n]:
                 wide = wide.withColumn(n, F.col(n).cast("bigint"))

@@ -19,6 +19,7 @@ from tilewright.session import parallelism
 
 CHUNK = "_chunk"
 MAX_SEGMENTS = 64
+SAMPLE = 10_000  # values that place the chunk borders of a text column
 GROUP_LIMIT = 1000  # Spark limits rows per group before the shuffle up to this k
 
 
@@ -72,14 +73,34 @@ def hash_chunk(df: DataFrame, seed, *cols) -> Column:
 def numeric_key(df: DataFrame, name: str) -> Column:
     """Number that does not decrease along an order column of any plain type."""
     kind = df.schema[name].dataType.simpleString()
-    if kind == "string":  # the first six bytes; ties stay in one chunk
-        return F.conv(F.rpad(F.substring(F.hex(name), 1, 12), 12, "0"), 16, 10).cast("double")
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     return F.col(name).cast("double")
 
 
+def text_chunk(df: DataFrame, name: str) -> Column:
+    """Monotone chunk number along a text column: borders are quantiles of at most SAMPLE random values.
+
+    The sample places the borders only; whatever they are, the order and the results stay.
+    """
+    rows = df.select(name).filter(F.col(name).isNotNull()).orderBy(F.rand(17)).limit(SAMPLE).collect()
+    values = sorted({r[0].encode() for r in rows})
+    segments = min(4 * MAX_SEGMENTS, 4 * parallelism(df.sparkSession), len(values))
+    borders = sorted({values[len(values) * i // segments] for i in range(1, segments)}) if segments else []
+    borders = [b.decode() for b in borders]
+
+    def tree(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(F.col(name) < borders[middle], tree(first, middle)).otherwise(tree(middle + 1, last))
+
+    return F.when(F.col(name).isNull(), -1).otherwise(tree(0, len(borders))).cast("bigint")
+
+
 def _chunk(df: DataFrame, order: Sequence[str], chunk: Column | None) -> DataFrame:
+    if chunk is None and df.schema[order[0]].dataType.simpleString() == "string":
+        return df.withColumn(CHUNK, text_chunk(df, order[0]))
     return df.withColumn(CHUNK, quantile_chunk(df, numeric_key(df, order[0])) if chunk is None else chunk)
 
 

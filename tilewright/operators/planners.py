@@ -15,6 +15,7 @@ from tilewright.operators import boxes as ob
 from tilewright.operators.datasets import pair_by_position, total_rows
 from tilewright.operators.masks import box_fits
 from tilewright.operators.ordered import hash_chunk, number_rows, top_per_group
+from tilewright.session import cut_lineage
 
 JITTER = 20  # fixed value: paddings vary by up to this many pixels
 CORNERS = ["x1", "y1", "x2", "y2"]
@@ -66,24 +67,41 @@ def plan_negative_crops(boxes: DataFrame, images: DataFrame, seed: int, ratio: i
     The largest square at a point needs no search: a box that reaches right of and below
     the point limits it to the larger of the two distances. Only boxes overlapping the
     largest allowed square can matter, so points and boxes meet in grid cells.
-    `attempts` points are tried per wanted square.
+    `attempts` points are tried per wanted square, in rounds of 2, 4, 8, ... points; only
+    images that are still short of squares take part in the next round.
     """
-    wanted = boxes.groupBy("image_id").agg((F.count("*") * ratio).alias("wanted"))
-    points = wanted.join(_sizes(images), "image_id").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("wanted") * attempts)))
-    points = points.select(
-        "image_id", "draw", "wanted",
+    missing = cut_lineage(boxes.groupBy("image_id").agg((F.count("*") * ratio).alias("wanted")).join(_sizes(images), "image_id").withColumn("have", F.lit(0).cast("bigint")))
+    distinct = boxes.select("image_id", "x", "y", "w", "h").distinct()
+    found, begin, size = None, 0, 2
+    while begin < attempts:
+        end = min(attempts, begin + size)
+        good = cut_lineage(_free_squares(missing, distinct, seed, max_size, begin, end))
+        found = good if found is None else found.unionByName(good)
+        counted = good.groupBy("image_id").agg(F.max("n").alias("_have"))
+        missing = cut_lineage(missing.join(counted, "image_id", "left").withColumn("have", F.coalesce("_have", "have")).drop("_have").filter("have < wanted"))
+        if missing.isEmpty():
+            break
+        begin, size = end, 2 * size
+    return found
+
+
+def _free_squares(missing: DataFrame, boxes: DataFrame, seed: int, max_size: int, begin: int, end: int) -> DataFrame:
+    """Squares at the draws begin * wanted + 1 .. end * wanted of each image, numbered on from those it has."""
+    draws = F.sequence(F.col("wanted") * begin + 1, F.col("wanted") * end)
+    points = missing.withColumn("draw", F.explode(draws)).select(
+        "image_id", "draw", "wanted", "have",
         hashrand(f"{seed}x", "image_id", "draw", lo=F.lit(0), hi=F.col("iw") - 1).alias("x"),
         hashrand(f"{seed}y", "image_id", "draw", lo=F.lit(0), hi=F.col("ih") - 1).alias("y"),
         "iw", "ih",
     )
     room = F.least(F.lit(max_size), F.col("iw") - F.col("x"), F.col("ih") - F.col("y")).cast("bigint")
-    squares = points.select("image_id", "draw", "wanted", "x", "y", room.alias("w"), room.alias("h"))
-    pairs = ob.overlap_join(squares, boxes.select("image_id", "x", "y", "w", "h").distinct(), cell=256)
+    squares = points.select("image_id", "draw", "wanted", "have", "x", "y", room.alias("w"), room.alias("h"))
+    pairs = ob.overlap_join(squares, boxes, cell=256)
     limit = F.greatest(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
     limits = pairs.groupBy(F.col("a.image_id").alias("image_id"), F.col("a.draw").alias("draw")).agg(F.min(limit).alias("_limit"))
     sized = squares.join(limits, ["image_id", "draw"], "left").withColumn("size", F.least("w", F.col("_limit"))).filter("size > 0")
-    good = number_rows(sized.select("image_id", "draw", "wanted", "x", "y", "size"), ["image_id"], ["draw"], "n", F.floor(F.col("draw") / 65_536))
-    return good.filter(F.col("n") <= F.col("wanted")).select("image_id", "n", "x", "y", "size")
+    good = number_rows(sized.select("image_id", "draw", "wanted", "have", "x", "y", "size"), ["image_id"], ["draw"], "n", F.floor(F.col("draw") / 65_536))
+    return good.withColumn("n", F.col("n") + F.col("have")).filter(F.col("n") <= F.col("wanted")).select("image_id", "n", "x", "y", "size")
 
 
 def _pick_annotation(draws: DataFrame, anns: DataFrame, counts: DataFrame, seed: str) -> DataFrame:

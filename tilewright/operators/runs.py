@@ -85,7 +85,7 @@ def run_attempts_grid(grid: DataFrame, keys: Sequence[str], root: str, retries:
 
 def select_runs(files: DataFrame, least: int, prefix: str = "", needed: Sequence[str] = ("export", "history", "result")) -> DataFrame:
     """Numeric run folders from `least` on whose name starts with `prefix` and that hold all needed files."""
-    number = F.when(F.col("run_dir").rlike("^[0-9]+$"), F.col("run_dir").cast("bigint"))
+    number = F.when(F.col("run_dir").rlike("^[0-9]+$"), F.col("run_dir").try_cast("bigint"))
     rows = files.withColumn("run_id", number).filter((F.col("run_id") >= least) & F.col("name").startswith(prefix))
     return path_exists_kinds(rows, ["run_id", "run_dir", "name"], "kind", needed)
 
@@ -98,6 +98,13 @@ EPOCH_LINE = r"^\[(\d+), ([0-9.eE+-]+|nan|inf), ([0-9.eE+-]+|nan|inf), '(?:(\d+)
 OUTCOME_LINE = r"^=== (SUCCESS|FAILED) \| attempt_time: (?:(\d+) days?, )?(\d+):(\d+):([0-9.]+) ===$"
 
 
+def clock_seconds(text: Column) -> Column:
+    """Seconds of a clock text `m:s` or `h:m:s`; null for anything else."""
+    clock = r"^(?:(\d+):)?(\d+):(\d+)$"
+    part = lambda i: F.regexp_extract(text, clock, i).try_cast("bigint")
+    return F.coalesce(part(1), F.lit(0)) * 3600 + part(2) * 60 + part(3)
+
+
 def parse_log_lines(lines: DataFrame, keys: Sequence[str] = ("run",), order: Sequence[str] = ("pos",), chunk: Column | None = None) -> DataFrame:
     """Start, epoch and outcome rows of log lines, each with the attempt it belongs to."""
     text = F.trim("line")

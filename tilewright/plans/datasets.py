@@ -392,11 +392,12 @@ def holdout_split(v):
 @query(
     "cycle_to_n",
     f"""with r as (select image_id, row_number() over(order by {sql_hash(9, 'image_id')}, image_id) rn, count(*) over() n from v_images),
-    c as (select r.*, unnest(range(0, cast(40000/n as bigint)+1)) as cycle from r)
-    select image_id, cycle, cycle*n+rn as pos from c where cycle*n+rn<=40000""",
+    c as (select r.*, unnest(range(0, 3)) as cycle from r)
+    select image_id, cycle, cycle*n+rn as pos from c where cycle*n+rn<=n*5//2""",
 )
 def cycle_to_n(v):
-    return ds.cycle_to_n(v.images.select("image_id"), 40_000, 9)
+    images = v.images.select("image_id")
+    return ds.cycle_to_n(images, F.floor(ds.total_rows(images) * F.lit(2.5)), 9)
 
 
 @query(

@@ -195,7 +195,7 @@ def plan_positive_crops_single(v):
 @query(
     "plan_negative_crops",
     f"""with p as (select n.image_id, g.draw, n.wanted, i.w as iw, i.h as ih from (select image_id, count(*) as wanted from v_boxes group by image_id) n join v_images i on n.image_id=i.image_id,
-      lateral (select unnest(range(1, wanted*4+1)) as draw) g),
+      lateral (select unnest(range(1, wanted*100+1)) as draw) g),
     q as (select *, {sql_rand('8x', 'image_id', 'draw', lo=0, hi='iw-1')} as x, {sql_rand('8y', 'image_id', 'draw', lo=0, hi='ih-1')} as y from p),
     l as (select q.image_id, q.draw, min(case when q.x<b.x+b.w and q.y<b.y+b.h then greatest(b.x-q.x, b.y-q.y) else 300 end) as lim from q join v_boxes b on b.image_id=q.image_id group by q.image_id, q.draw),
     s as (select q.*, least(300, iw-x, ih-y, lim) as size from q join l on l.image_id=q.image_id and l.draw=q.draw),
@@ -203,7 +203,7 @@ def plan_positive_crops_single(v):
     select image_id, n, x, y, size from n where n<=wanted""",
 )
 def plan_negative_crops(v):
-    return pl.plan_negative_crops(v.boxes, v.images, 8, max_size=300, attempts=4)
+    return pl.plan_negative_crops(v.boxes, v.images, 8, max_size=300)
 
 
 K2 = ("image_id", "draw")

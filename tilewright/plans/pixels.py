@@ -112,13 +112,14 @@ def class_centroids(v):
 
 @query(
     "mean_cov",
-    """with e as (select embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings)
-    select round(avg(a),9) as mean_a, round(avg(b),9) as mean_b, round(avg(c),9) as mean_c, round(covar_samp(a,a)+1e-6,9) as cov_a_a, round(covar_samp(a,b),9) as cov_a_b, round(covar_samp(a,c),9) as cov_a_c,
-    round(covar_samp(b,b)+1e-6,9) as cov_b_b, round(covar_samp(b,c),9) as cov_b_c, round(covar_samp(c,c)+1e-6,9) as cov_c_c from e""",
+    "select "
+    + ", ".join(f"round(avg(embedding[{i + 1}]::double),9) as mean_e{i}" for i in range(64))
+    + "".join(f", round(covar_samp(embedding[{i + 1}]::double,embedding[{j + 1}]::double)+{1e-6 if i == j else 0},9) as cov_e{i}_e{j}" for i in range(64) for j in range(i, 64))
+    + " from embeddings",
 )
 def mean_cov(v):
-    e = v.table("embeddings").select(*[F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate("abc")])
-    out = px.mean_cov(e, ["a", "b", "c"])
+    names = [f"e{i}" for i in range(64)]
+    out = px.mean_cov(v.table("embeddings").select(*[F.element_at("embedding", i + 1).cast("double").alias(n) for i, n in enumerate(names)]), names)
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
@@ -240,19 +241,19 @@ def score_groups(v):
 
 @query("kmeans_rows")
 def kmeans_rows(v):
-    return sc.kmeans_rows(bgr(v).select("image_id", "y", "x", "b", "g", "r"), ["b", "g", "r"], 3, iterations=8)
+    return sc.kmeans_rows(bgr(v).select("image_id", "y", "x", "b", "g", "r"), ["b", "g", "r"], 3)
 
 
 @query("kmeans_spatial")
 def kmeans_spatial(v):
     rows = sc.spatial_features(bgr(v), grids(v))
-    return sc.kmeans_rows(rows, ["b", "g", "r", "fx", "fy"], 3, iterations=5)
+    return sc.kmeans_rows(rows, ["b", "g", "r", "fx", "fy"], 3, iterations=10, starts=5)
 
 
 @query("kmeans_table")
 def kmeans_table(v):
-    rows = v.table("embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(8)])
-    return sc.kmeans_table(rows, [f"e{i}" for i in range(8)], 5).select("vec_id", "cluster")
+    rows = v.table("embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(64)])
+    return sc.kmeans_table(rows, [f"e{i}" for i in range(64)], 5).select("vec_id", "cluster")
 
 
 @query("background_segment")

@@ -110,7 +110,17 @@ def orphan_requests(v):
 @query("points_in_tiles", f"select p.z, p.x, p.y, image_id from (select 8 as z, {X8} as x, {Y8} as y, image_id from v_points) p join (select x,y from v_tiles where status='pending') t on p.x=t.x and p.y=t.y")
 def points_in_tiles(v):
     wanted = v.tiles.filter(F.col("status") == "pending")
-    return tiles.points_in_tiles(v.points, wanted, 8, cap=2000).select("z", "x", "y", "image_id")
+    return tiles.points_in_tiles(v.points, wanted, 8).select("z", "x", "y", "image_id")
+
+
+@query(
+    "points_in_tiles_capped",
+    f"""select z, x, y, image_id from (select 8 as z, p.x, p.y, image_id, row_number() over(partition by p.x, p.y order by image_id) as rn
+    from (select {X8} as x, {Y8} as y, image_id from v_points) p join (select x,y from v_tiles where status='pending') t on p.x=t.x and p.y=t.y) q where rn<=20""",
+)
+def points_in_tiles_capped(v):
+    wanted = v.tiles.filter(F.col("status") == "pending")
+    return tiles.points_in_tiles(v.points, wanted, 8, cap=20).select("z", "x", "y", "image_id")
 
 
 @query("tile_stats", "select status, count(*) as tiles, cast(coalesce(sum(image_count),0) as bigint) as images from v_tiles group by status")

@@ -34,10 +34,13 @@ def get_session(app: str = "tilewright", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only a session that names no ``spark.checkpoint.dir`` (a test) falls back to /tmp.
+    Only a local session that names no ``spark.checkpoint.dir`` (a test) falls back to /tmp;
+    on a cluster that would be another folder on every machine, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators.runs import parse_log_lines
+from tilewright.operators.runs import clock_seconds, parse_log_lines
 
 
 def read_run_history(spark: SparkSession, path: str) -> DataFrame:
@@ -17,9 +17,7 @@ def read_run_history(spark: SparkSession, path: str) -> DataFrame:
     schema = "epoch bigint, train_loss double, valid_loss double, time string"
     raw = spark.read.csv(path, header=True, schema=schema, recursiveFileLookup=True, pathGlobFilter="*.csv")
     folder = F.try_element_at(F.split("_metadata.file_path", "/"), F.lit(-2))
-    clock = F.split("time", ":")
-    seconds = F.get(clock, F.lit(0)).cast("bigint") * 60 + F.get(clock, F.lit(1)).cast("bigint")
-    return raw.select(folder.alias("run_dir"), "epoch", "train_loss", "valid_loss", seconds.alias("seconds"))
+    return raw.select(folder.alias("run_dir"), "epoch", "train_loss", "valid_loss", clock_seconds(F.trim("time")).alias("seconds"))
 
 
 def parse_run_log(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tilewright.operators.ordered import number_rows
 def read_timeseries(spark: SparkSession, path: str, channels: Sequence[str], time_col: str | None = None, extra: str = "") -> DataFrame:
     """(seq_id, t, channels...) with one sequence per CSV file.
 
-    Without a time column, t is the row's place in its file, from 0. Rows of a file are
+    Without a time column, t is the row's place in its file, from 1, as the sequence operators count. Rows of a file are
     numbered block by block, so one large file is not read by one task.
     """
     sample = spark.read.csv(path, header=True, recursiveFileLookup=True)
@@ -24,4 +24,4 @@ def read_timeseries(spark: SparkSession, path: str, channels: Sequence[str], tim
         return raw.select(seq, F.col(time_col).cast("bigint").alias("t"), *values)
     placed = raw.select(seq, "file_path", F.col("file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), *values)
     numbered = number_rows(placed, ["file_path"], ["_block", "_at"], "_rn", chunk=F.col("_block"))
-    return numbered.select("seq_id", (F.col("_rn") - 1).alias("t"), *channels)
+    return numbered.select("seq_id", F.col("_rn").alias("t"), *channels)

@@ -59,10 +59,13 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], check
 # ---- discovery and progress ---------------------------------------------
 
 
-def stream_discover(images: DataFrame, delay: str = "1 hour", time_col: str = "ts") -> DataFrame:
-    """Image rows of many sub-boxes, each id once."""
-    keyed = images.withColumn("image_id", F.col("image_id").cast("string"))
-    return keyed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["image_id"])
+def stream_discover(images: DataFrame) -> DataFrame:
+    """Image rows of many sub-boxes, each id once for ever: the first row that arrives is inserted, later ones are ignored.
+
+    There is no watermark, so no id is forgotten and no late row is lost; the ids are kept in
+    the RocksDB state store, dealt by key, which grows with them as the table of ids does.
+    """
+    return images.withColumn("image_id", F.col("image_id").cast("string")).dropDuplicates(["image_id"])
 
 
 def stream_progress(changes: DataFrame, window: str, delay: str, time_col: str = "ts") -> DataFrame:
