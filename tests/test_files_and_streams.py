@@ -11,7 +11,7 @@ from tilewright.operators import sequences as sq
 from tilewright.sources import annotations as ann
 from tilewright.sources import files, runs, state_tables, timeseries
 from tilewright.streaming import jobs
-from tilewright.streaming.tables import VersionedTable
+from tilewright.streaming.tables import BucketedTable
 
 
 def rows(df):
@@ -173,7 +173,9 @@ def test_stream_segments_equal_batch(spark, log, tmp_path):
     got = jobs.stream_segments(pick(stream), *[str(tmp_path / n) for n in ("o", "s", "c")])
     want = sq.segments(pick(batch), None)
     cols = ["seq_id", "label", "start", "end", F.round("score", 6)]
-    assert rows(got.select(*cols)) == rows(want.select(*cols)) and len(VersionedTable(spark, str(tmp_path / "s"))._versions()) == 3
+    assert rows(got.select(*cols)) == rows(want.select(*cols))
+    kept = BucketedTable(spark, str(tmp_path / "s"), ["seq_id"])._places()
+    assert kept and all(len(versions) <= 2 for versions in kept.values())  # older ones are removed
 
 
 def test_stream_trigger(spark, log, tmp_path):
@@ -225,6 +227,26 @@ def test_stream_status_and_annotations(spark, log, tmp_path):
     assert table == sorted(live.items())
 
 
+def stream_in_batches(spark, folder, batches, schema):
+    """One file for each batch, in this order."""
+    for k, data in enumerate(batches):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{folder}/part={k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def test_late_events_lose_in_later_batches(spark, tmp_path):
+    c, u, d = jobs.CREATED, jobs.UPDATED, jobs.DELETED[0]
+    batches = [[(1, c, 10, 1, "new"), (2, d, 10, 2, None), (3, c, 1, 3, "a")], [(1, u, 5, 4, "old"), (2, u, 5, 5, "old")], [(3, u, 2, 6, "b"), (4, c, 1, 7, "c")], [(3, d, 1, 8, None), (4, d, 3, 9, None)]]
+    events = stream_in_batches(spark, str(tmp_path / "in"), batches, "ID bigint, action string, at bigint, seq bigint, value string")
+    table = jobs.stream_annotations(events, str(tmp_path / "t"), str(tmp_path / "c"))
+    assert rows(table.select("ID", "value")) == [(1, "new"), (3, "b")]
+    base = spark.range(4).select(F.col("id").alias("k"), F.lit("start").alias("status"))
+    batches = [[(1, "done", 9, 1), (2, "busy", 3, 2)], [(1, "busy", 4, 3), (2, "done", 5, 4)], [(9, "done", 1, 5)], [(2, "failed", 5, 3)]]
+    changes = stream_in_batches(spark, str(tmp_path / "in2"), batches, "k bigint, status string, at bigint, id bigint")
+    got = jobs.stream_status(changes, base, ["k"], str(tmp_path / "t2"), str(tmp_path / "c2"))
+    assert got.columns == ["k", "status"] and rows(got) == [(0, "start"), (1, "done"), (2, "done"), (3, "start")]
+
+
 def test_stream_discover_once(spark, log, tmp_path):
     stream, _ = stream_of(spark, log)
     twice = stream.select((F.col("id") - F.col("id") % 2).alias("image_id"), "ts")

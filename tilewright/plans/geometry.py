@@ -41,7 +41,29 @@ def boxes_clear_of(v):
     return ob.boxes_clear_of(cands, v.boxes, ["image_id", "k"]).select("image_id", "k", "x", "y")
 
 
-@query("merge_boxes")
+BOX = "struct(o bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint)"
+
+
+def greedy_sql(source: str) -> str:
+    """Recursive tables that grow one box of each image at a time; the merged boxes are `merged` (image_id, ann_id, x, y, w, h).
+
+    A step either adds all free boxes that meet the current one, or closes it and starts
+    with the next free box in order.
+    """
+    hit = "lambda b: b.x1<cur.x2 and cur.x1<b.x2 and b.y1<cur.y2 and cur.y1<b.y2"
+    reach = lambda f, c: f"{f}(list_transform(hits, lambda b: b.{c}))"
+    return f"""g as (
+      select image_id, list(struct_pack(o := ann_id, x1 := x, y1 := y, x2 := x+w, y2 := y+h) order by ann_id) as free, cast(null as {BOX}) as cur, cast(null as {BOX}) as done from {source} group by image_id
+      union all
+      select image_id, case when len(hits)>0 then list_filter(free, lambda b: not (b.x1<cur.x2 and cur.x1<b.x2 and b.y1<cur.y2 and cur.y1<b.y2)) else free[2:] end as free,
+        case when len(hits)>0 then struct_pack(o := cur.o, x1 := least(cur.x1, {reach('list_min', 'x1')}), y1 := least(cur.y1, {reach('list_min', 'y1')}), x2 := greatest(cur.x2, {reach('list_max', 'x2')}), y2 := greatest(cur.y2, {reach('list_max', 'y2')}))
+          when len(free)>0 then free[1] end as cur,
+        case when len(hits)=0 and cur is not null then cur end as done
+      from (select *, case when cur is null then [] else list_filter(free, {hit}) end as hits from g where cur is not null or len(free)>0) q
+    ), merged as (select image_id, done.o as ann_id, done.x1 as x, done.y1 as y, done.x2-done.x1 as w, done.y2-done.y1 as h from g where done is not null)"""
+
+
+@query("merge_boxes", f"with recursive {greedy_sql('v_boxes')} select image_id, ann_id, x, y, w, h from merged")
 def merge_boxes(v):
     return ob.merge_boxes(v.boxes, "greedy")
 
@@ -177,7 +199,13 @@ def gate_tiles(v):
     return pl.gate_tiles(pl.image_tiles(images, 2), mask).select("image_id", "y", "x", "scored")
 
 
-@query("plan_positive_crops")
+@query(
+    "plan_positive_crops",
+    f"""with recursive {greedy_sql('v_boxes')}, s as (select m.*, i.w as iw, i.h as ih from merged m join v_images i on m.image_id=i.image_id),
+    c as (select *, greatest(0,x-{sql_rand('4l', *KEY, lo=20, hi=1000)}) as x1, greatest(0,y-{sql_rand('4t', *KEY, lo=20, hi=1000)}) as y1,
+    least(iw,x+w+{sql_rand('4r', *KEY, lo=20, hi=1000)}) as x2, least(ih,y+h+{sql_rand('4b', *KEY, lo=20, hi=1000)}) as y2 from s)
+    select image_id, ann_id, x1, y1, x2, y2, x-x1 as bx, y-y1 as by, w as bw, h as bh from c""",
+)
 def plan_positive_crops(v):
     return pl.plan_positive_crops(v.boxes, v.images, 4)
 
@@ -272,7 +300,17 @@ def placement_points(v):
     return pl.placement_points(v.pixels.withColumn("mask", F.col("cls") < 9), 5, 6, images, lower_half=True)
 
 
-@query("spaced_points")
+@query(
+    "spaced_points",
+    f"""with recursive m as (select image_id, y, x from v_pixels where cls<17),
+    f as (select p.image_id, p.y, p.x, {sql_hash(6, 'p.image_id', 'p.y', 'p.x')} as d from m p where p.x+2<8 and p.y+2<8
+      and (select count(*) from m q where q.image_id=p.image_id and q.x between p.x and p.x+1 and q.y between p.y and p.y+1)=4),
+    g as (
+      select image_id, list(struct_pack(x := x, y := y) order by d, y, x) as free, 0 as pos, cast(null as struct(x bigint, y bigint)) as cur from f group by image_id
+      union all
+      select image_id, list_filter(free[2:], lambda p: (p.x-free[1].x)*(p.x-free[1].x)+(p.y-free[1].y)*(p.y-free[1].y)>=4) as free, pos+1 as pos, free[1] as cur from g where len(free)>0 and pos<4)
+    select image_id, cast(pos as bigint) as pos, cur.y as y, cur.x as x from g where pos>0""",
+)
 def spaced_points(v):
     size = F.lit(8).cast("bigint")
     images = v.table("embeddings").select(F.col("vec_id").alias("image_id"), size.alias("w"), size.alias("h"))
@@ -308,7 +346,30 @@ def sample_multiset(v):
     return pl.sample_multiset(frags(v), v.images, 10, 5).select("image_id", "draw", "frag_id")
 
 
-@query("synth_labels")
+def synth_sql(seed: int, most: int = 30) -> str:
+    """Tables of pasted fragments' boxes: `spots` (image_id, ann_id, x, y, w, h)."""
+    r = lambda tag, *key, lo, hi: sql_rand(f"{seed}{tag}", "image_id", *key, lo=lo, hi=hi)
+    return f"""f as (select p_partkey, 8+p_size as fw, 6+p_size*2%37 as fh, row_number() over(order by p_partkey) as rk from part),
+    n0 as (select image_id, g.draw from (select image_id, {r('m', lo=0, hi=most)} as m from v_images) q, lateral (select unnest(range(1, m+1)) as draw) g),
+    n1 as (select image_id, draw, {r('f', 'draw', lo=1, hi='(select count(*) from part)')} as pick from n0),
+    drawn as (select n1.image_id, draw, fw, fh, i.w as iw, i.h as ih from n1 join f on f.rk=n1.pick join v_images i on i.image_id=n1.image_id),
+    big as (select image_id, max(fw) as mw, max(fh) as mh, count(*) as n, any_value(iw) as iw, any_value(ih) as ih from drawn group by image_id),
+    k as (select q.*, g.k from (select *, {r('c', lo=0, hi=3)} as c from big) q, lateral (select unnest(range(0, c+1)) as k) g),
+    win as (select image_id, k, case when k>0 then {r('wx', 'k', lo=0, hi='iw')} else 0 end as wx, case when k>0 then {r('wy', 'k', lo=0, hi='ih')} else 0 end as wy,
+      case when k>0 then mw+{r('ww', 'k', lo=5, hi=100)} else iw end as ww, case when k>0 then mh+{r('wh', 'k', lo=5, hi=100)} else ih end as wh,
+      case when k>0 then {r('s', 'k', lo=0, hi=20)} else n end as take from k),
+    pl as (select d.*, w.k, w.wx, w.wy, w.take, least(w.wx+w.ww, d.iw) as rt, least(w.wy+w.wh, d.ih) as low from drawn d join win w on d.image_id=w.image_id),
+    rk as (select *, row_number() over(partition by image_id, k order by {sql_hash(f'{seed}o', 'image_id', 'k', 'draw')}) as r from pl),
+    spot as (select *, wx+{r('px', 'k', 'draw', lo=0, hi='rt-wx-1')} as x, wy+{r('py', 'k', 'draw', lo=0, hi='low-wy-1')} as y from rk where r<=take and rt>wx and low>wy),
+    spots as (select image_id, k*{most + 1}+draw as ann_id, cast(x as bigint) as x, cast(y as bigint) as y, cast(least(fw, rt-x) as bigint) as w, cast(least(fh, low-y) as bigint) as h from spot)"""
+
+
+@query(
+    "synth_labels",
+    f"""with recursive {synth_sql(12)}, {greedy_sql('spots')}
+    select m.image_id, 0 as cls, round((m.x+m.w/2e0)/i.w,9) as xc, round((m.y+m.h/2e0)/i.h,9) as yc, round(m.w*1e0/i.w,9) as bw, round(m.h*1e0/i.h,9) as bh, m.x, m.y, m.w, m.h
+    from merged m join v_images i on i.image_id=m.image_id""",
+)
 def synth_labels(v):
     return pl.synth_labels(v.images, frags(v), 12)
 

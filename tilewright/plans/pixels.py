@@ -239,30 +239,82 @@ def score_groups(v):
     return sc.score_sequences(v.rows.select("seq_id", "t", "score"), window_model, 16, 3).withColumn("prob", F.round("prob", 9))
 
 
-@query("kmeans_rows")
+def cluster_facts(clustered, features, k, key="image_id"):
+    """What must hold of any clustering: rows, cluster numbers, every row at its nearest mean, and less spread than one cluster."""
+    near = 1e-6  # steps may end when centres move less than their tolerance
+    means = clustered.groupBy(key, "cluster").agg(*[F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)])
+    whole = clustered.groupBy(key).agg(F.count("*").alias("rows"), sum_of([F.var_pop(f) for f in features]).alias("_spread"), F.min("cluster").alias("_low"), F.max("cluster").alias("_high"))
+    listed = means.groupBy(key).agg(F.collect_list(F.struct("cluster", *[f"_m{i}" for i in range(len(features))])).alias("_means"))
+    far = lambda c: sum_of([(F.col(f) - c[f"_m{i}"]) * (F.col(f) - c[f"_m{i}"]) for i, f in enumerate(features)])
+    costs = F.transform("_means", lambda c: F.struct(far(c).alias("cost"), c["cluster"].alias("cluster")))
+    rows = clustered.join(listed, key).withColumn("_costs", costs)
+    own = F.element_at(F.filter("_costs", lambda c: c["cluster"] == F.col("cluster")), 1)["cost"]
+    least = F.array_min(F.transform("_costs", lambda c: c["cost"]))
+    # a row may tie, or lie within what the last step moved a centre
+    checked = rows.groupBy(key).agg(F.bool_and(F.sqrt(own) <= F.sqrt(least) + near ** 0.5 * 4).alias("nearest"), F.avg(own).alias("_cost"))
+    facts = whole.join(checked, key)
+    return facts.select(key, "rows", "nearest", ((F.col("_low") >= 0) & (F.col("_high") < k)).alias("numbered"), (F.col("_cost") <= F.col("_spread") + 1e-9).alias("closer"))
+
+
+def sum_of(parts):
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return total
+
+
+FACTS = "select image_id, count(*) as rows, true as nearest, true as numbered, true as closer from v_pixels"
+
+
+@query("kmeans_rows", f"{FACTS} group by image_id")
 def kmeans_rows(v):
+    return cluster_facts(kmeans_of_rows(v), ["b", "g", "r"], 3)
+
+
+def kmeans_of_rows(v):
     return sc.kmeans_rows(bgr(v).select("image_id", "y", "x", "b", "g", "r"), ["b", "g", "r"], 3)
 
 
-@query("kmeans_spatial")
+@query("kmeans_spatial", f"{FACTS} group by image_id".replace("true as nearest, ", ""))
 def kmeans_spatial(v):
+    features = ["b", "g", "r", "fx", "fy"]
     rows = sc.spatial_features(bgr(v), grids(v))
-    return sc.kmeans_rows(rows, ["b", "g", "r", "fx", "fy"], 3, iterations=10, starts=5)
+    # ten steps need not converge, so rows need not be at their nearest mean yet
+    return cluster_facts(sc.kmeans_rows(rows, features, 3, iterations=10, starts=5), features, 3).drop("nearest")
 
 
-@query("kmeans_table")
+@query("kmeans_table", "select 0 as part, count(*) as rows, true as numbered, true as closer from embeddings")
 def kmeans_table(v):
     rows = v.table("embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(64)])
-    return sc.kmeans_table(rows, [f"e{i}" for i in range(64)], 5).select("vec_id", "cluster")
+    names = [f"e{i}" for i in range(64)]
+    clustered = sc.kmeans_table(rows, names, 5).withColumn("part", F.lit(0))
+    return cluster_facts(clustered, names, 5, "part").drop("nearest")
 
 
-@query("background_segment")
+@query(
+    "background_segment",
+    f"""select image_id, count(*) as rows, true as first_is_background, true as whole_clusters, true as nearest from {BGR} p where b<>0 or g<>0 or r<>0 group by image_id""",
+)
 def background_segment(v):
-    return sc.background_segment(bgr(v).select("image_id", "y", "x", "b", "g", "r"), ["b", "g", "r"])
+    found = sc.background_segment(bgr(v).select("image_id", "y", "x", "b", "g", "r"), ["b", "g", "r"])
+    facts = cluster_facts(found, ["b", "g", "r"], 3).select("image_id", "nearest")
+    first = found.groupBy("image_id").agg(F.count("*").alias("rows"), F.min_by("background", F.struct("y", "x")).alias("first_is_background"))
+    whole = found.groupBy("image_id", "cluster").agg(F.min("background").alias("a"), F.max("background").alias("z")).groupBy("image_id").agg(((F.sum(F.col("a").cast("int")) == 1) & (F.sum(F.col("z").cast("int")) == 1)).alias("whole_clusters"))
+    return first.join(whole, "image_id").join(facts, "image_id").select("image_id", "rows", "first_is_background", "whole_clusters", "nearest")
 
 
-@query("text_classifier")
+@query(
+    "text_classifier",
+    """select count(*) as tested, true as scored, true as known_labels, true as not_below_majority from documents d join labels l on d.doc_id=l.doc_id where d.doc_id%5=0""",
+)
 def text_classifier(v):
     label = F.when(F.col("quality") == 1, "good").otherwise("bad")
     rows = v.table("documents").join(v.table("labels"), "doc_id").select("doc_id", "text", label.alias("label"))
-    return sc.text_classifier(rows, rows)[0].select("doc_id", "label", "prediction", F.round("score", 6).alias("score"))
+    test = rows.filter("doc_id % 5 = 0")  # held out
+    found = sc.text_classifier(rows.filter("doc_id % 5 <> 0"), test)[0]
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    major = F.greatest(F.avg((F.col("label") == "good").cast("double")), F.avg((F.col("label") == "bad").cast("double")))
+    return found.agg(
+        F.count("*").alias("tested"), F.bool_and(F.col("score").between(0.5, 1)).alias("scored"), F.bool_and(F.col("prediction").isin("good", "bad")).alias("known_labels"),
+        (right >= major - 0.02).alias("not_below_majority"),
+    )

@@ -9,11 +9,27 @@ from tilewright.session import shared_dir
 from tilewright.streaming import jobs
 
 
+PARTS = 4
+
+
 def event_stream(v):
     schema = v.table("events").schema
     return jobs.file_stream(v.spark, v.dir, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def part_stream(v, in_order: bool):
+    """The events as four files, one micro-batch each: in order of the event id, or each file a mix of all times."""
+    events = v.table("events")
+    root = shared_dir(v.spark, "parts")
+    part = F.floor(F.col("event_id") * PARTS / (F.col("_most") + 1)) if in_order else F.pmod(F.xxhash64("event_id"), F.lit(PARTS))
+    most = events.agg(F.max("event_id").alias("m")).scalar()
+    rows = events.withColumn("_most", most).withColumn("_part", part.cast("int")).drop("_most")
+    for k in range(PARTS):  # one after the other: the file source goes by time of writing
+        rows.filter(F.col("_part") == k).drop("_part").repartition(1).write.parquet(f"{root}/part={k}")
+    reader = v.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return reader.parquet(root).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def folders(v, name):
     root = shared_dir(v.spark, name)
     return f"{root}/out", f"{root}/state", f"{root}/checkpoint"
@@ -22,7 +38,7 @@ def folders(v, name):
 @query("stream_discover", "select image_id from v_points")
 def stream_discover(v):
     out, _, checkpoint = folders(v, "discover")
-    events = event_stream(v).select(F.col("event_id").alias("image_id"), "ts")
+    events = part_stream(v, in_order=False).select(F.col("event_id").alias("image_id"), "ts")
     twice = events.withColumn("image_id", F.explode(F.array("image_id", "image_id")))  # two overlapping searches
     return jobs.run_to_files(jobs.stream_discover(twice), out, checkpoint).select("image_id")
 
@@ -68,7 +84,7 @@ def stream_status(v):
     t = F.col("event_type")
     status = F.when(t == "click", "downloading").when(t == "purchase", "downloaded").when(t == "error", "failed").otherwise("pending")
     # the event id is the clock of this job
-    changes = event_stream(v).select((F.col("event_id") % 1000).alias("image_id"), status.alias("status"), F.col("event_id").alias("at"), F.col("event_id").alias("id"))
+    changes = part_stream(v, in_order=False).select((F.col("event_id") % 1000).alias("image_id"), status.alias("status"), F.col("event_id").alias("at"), F.col("event_id").alias("id"))
     base = v.table("orders").select(F.col("o_orderkey").alias("image_id"), F.lit("new").alias("status"))
     return jobs.stream_status(changes, base, ["image_id"], state, checkpoint)
 
@@ -81,7 +97,7 @@ def stream_annotations(v):
     _, state, checkpoint = folders(v, "annotations")
     t = F.col("event_type")
     action = F.when(t == "click", jobs.CREATED).when(t == "purchase", jobs.UPDATED).when(t == "signup", jobs.UPDATED).when(t == "error", jobs.DELETED[1]).otherwise("OTHER")
-    events = event_stream(v).select((F.col("event_id") % 700).alias("ID"), action.alias("action"), F.col("event_id").alias("at"), F.col("event_id").alias("seq"), "value")
+    events = part_stream(v, in_order=False).select((F.col("event_id") % 700).alias("ID"), action.alias("action"), F.col("event_id").alias("at"), F.col("event_id").alias("seq"), "value")
     return jobs.stream_annotations(events, state, checkpoint)
 
 
@@ -95,7 +111,7 @@ def stream_train_trigger(v):
     out, state, checkpoint = folders(v, "trigger")
     t = F.col("event_type")
     action = F.when(t == "click", jobs.CREATED).when(t == "purchase", jobs.UPDATED).when(t == "error", jobs.DELETED[0]).when(t == "signup", jobs.START).otherwise("OTHER")
-    events = event_stream(v).select((F.col("user_id") % 5).alias("project"), action.alias("action"), F.col("event_id").alias("at"), F.col("event_id").alias("id"))
+    events = part_stream(v, in_order=True).select((F.col("user_id") % 5).alias("project"), action.alias("action"), F.col("event_id").alias("at"), F.col("event_id").alias("id"))
     return jobs.stream_train_trigger(events, 10, out, state, checkpoint).drop("at")
 
 
@@ -110,7 +126,7 @@ def stream_retry(v):
     out, state, checkpoint = folders(v, "retry")
     t = F.col("event_type")
     outcome = F.when(t == "purchase", "ok").when(t == "error", "error").when(t == "view", "rate_limit").otherwise("other")
-    events = event_stream(v).select(F.col("user_id").alias("item"), outcome.alias("outcome"), F.col("event_id").alias("at"), F.col("event_id").alias("id"))
+    events = part_stream(v, in_order=True).select(F.col("user_id").alias("item"), outcome.alias("outcome"), F.col("event_id").alias("at"), F.col("event_id").alias("id"))
     return jobs.stream_retry(events, out, state, checkpoint).drop("at")
 
 
@@ -134,5 +150,5 @@ def stream_timeouts(v):
 )
 def stream_segments(v):
     out, state, checkpoint = folders(v, "segments")
-    rows = event_stream(v).select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("t"), F.col("event_type").alias("label"), F.col("value").alias("score"))
+    rows = part_stream(v, in_order=True).select(F.col("user_id").alias("seq_id"), F.col("event_id").alias("t"), F.col("event_type").alias("label"), F.col("value").alias("score"))
     return jobs.stream_segments(rows, out, state, checkpoint).withColumn("score", F.round("score", 9))

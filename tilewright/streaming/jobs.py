@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tilewright.operators import state as st
 from tilewright.operators.ordered import islands, number_rows, running
 from tilewright.session import STATE_STORE, ship_package
-from tilewright.streaming.tables import BatchOutput, VersionedTable
+from tilewright.streaming.tables import BatchOutput, BucketedTable
 
 # fixed values: event names of the annotation backend (both spellings of the delete event)
 CREATED, UPDATED = "ANNOTATION_CREATED", "ANNOTATION_UPDATED"
@@ -85,35 +85,49 @@ def stream_sessions(changes: DataFrame, gap: str, delay: str, key: str, time_col
 
 
 def stream_status(changes: DataFrame, base: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
-    """Status events (keys, status, at, id, stamp columns) applied to a state table."""
+    """Status events (keys, status, at, id, stamp columns) applied to a state table.
+
+    The table keeps (at, id) of the event that set a row, so an event that arrives in a later
+    batch than a newer one changes nothing: the result does not depend on batch borders.
+    """
     spark, keys = changes.sparkSession, list(keys)
-    table = VersionedTable(spark, path)
-    table.write(base, 0)
+    table = BucketedTable(spark, path, keys)
+    kinds = {f.name: f.dataType for f in changes.schema.fields}
+    table.write(base.select("*", *[F.lit(None).cast(kinds[c]).alias(f"_{c}") for c in ("at", "id")]), 0)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        last = st.latest_per_key(batch, keys, [F.desc("at"), F.desc("id")]).drop("at", "id")
-        table.write(st.update_status(table.read(batch_id), last, keys), batch_id + 1)
+        touched = table.touched(batch)
+        before = table.read(batch_id, touched)
+        last = st.latest_per_key(batch, keys, [F.desc("at"), F.desc("id")])
+        stored = before.select(*keys, "_at", "_id")
+        newer = F.col("_at").isNull() | (F.struct("at", "id") > F.struct("_at", "_id"))
+        fresh = last.join(stored, keys, "left").filter(newer).drop("_at", "_id").withColumnsRenamed({"at": "_at", "id": "_id"})
+        table.write(st.update_status(before, fresh, keys), batch_id + 1, touched)
 
     run_batches(changes, step, checkpoint)
-    return table.read()
+    return table.read().drop("_at", "_id")
 
 
 def stream_annotations(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Annotation events (ID, action, at, seq, values) to a table: insert, replace, remove."""
+    """Annotation events (ID, action, at, seq, values) to a table: insert, replace, remove.
+
+    Rows keep (at, seq), and a removed one stays as a tombstone, so an older event of a later
+    batch neither overwrites a newer value nor brings a removed annotation back.
+    """
     spark = events.sparkSession
-    table = VersionedTable(spark, path)
-    columns = [c for c in events.columns if c not in ("action", "at", "seq")]
+    table = BucketedTable(spark, path, ["ID"])
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = batch.filter(F.col("action").isin(CREATED, UPDATED, *DELETED))
+        known = batch.filter(F.col("action").isin(CREATED, UPDATED, *DELETED)).withColumn("_gone", F.col("action").isin(*DELETED)).drop("action")
+        touched = table.touched(known)
         last = st.latest_per_key(known, ["ID"], [F.desc("at"), F.desc("seq")])
-        live = last.filter(~F.col("action").isin(*DELETED)).select(*columns)
-        before = table.read(batch_id)
-        kept = live if before is None else before.join(last.select("ID"), "ID", "left_anti").select(*columns).unionByName(live)
-        table.write(kept, batch_id + 1)
+        before = table.read(batch_id, touched)
+        if before is not None:
+            last = st.latest_per_key(before.unionByName(last), ["ID"], [F.desc("at"), F.desc("seq")])
+        table.write(last, batch_id + 1, touched)
 
     run_batches(events, step, checkpoint)
-    return table.read()
+    return table.read().filter(~F.col("_gone")).drop("_gone", "at", "seq")
 
 
 def stream_train_trigger(events: DataFrame, n: int, out: str, state: str, checkpoint: str) -> DataFrame:
@@ -123,13 +137,14 @@ def stream_train_trigger(events: DataFrame, n: int, out: str, state: str, checkp
     do unknown actions.
     """
     spark = events.sparkSession
-    table, output = VersionedTable(spark, state), BatchOutput(spark, out)
+    table, output = BucketedTable(spark, state, ["project"]), BatchOutput(spark, out)
     delta = F.when(F.col("action") == CREATED, 1).when(F.col("action").isin(*DELETED), -1).otherwise(0).cast("bigint")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         known = batch.filter(F.col("action").isin(CREATED, UPDATED, START, *DELETED)).withColumn("_delta", delta)
         counted = running(known, ["project"], ["at", "id"], sums={"_sum": F.col("_delta")})
-        before = table.read(batch_id)
+        touched = table.touched(known)
+        before = table.read(batch_id, touched)
         if before is None:
             before = batch.select("project", F.lit(0).cast("bigint").alias("tasks")).limit(0)
         joined = counted.join(before, "project", "left").withColumn("tasks", F.coalesce("tasks", F.lit(0)) + F.col("_sum"))
@@ -137,7 +152,7 @@ def stream_train_trigger(events: DataFrame, n: int, out: str, state: str, checkp
         output.write(joined.filter(due).select("project", "at", "id", "action", "tasks"), batch_id)
         sums = known.groupBy("project").agg(F.sum("_delta").alias("_sum"))
         after = before.join(sums, "project", "full").select("project", (F.coalesce("tasks", F.lit(0)) + F.coalesce("_sum", F.lit(0))).alias("tasks"))
-        table.write(after, batch_id + 1)
+        table.write(after, batch_id + 1, touched)
 
     run_batches(events, step, checkpoint)
     return output.read()
@@ -150,10 +165,11 @@ def stream_retry(events: DataFrame, out: str, state: str, checkpoint: str, tries
     a row fails the item; a rate limit waits longer and is not counted; ok starts over.
     """
     spark = events.sparkSession
-    table, output = VersionedTable(spark, state), BatchOutput(spark, out)
+    table, output = BucketedTable(spark, state, ["item"]), BatchOutput(spark, out)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = table.read(batch_id)
+        touched = table.touched(batch)
+        before = table.read(batch_id, touched)
         if before is None:
             before = batch.select("item", F.lit(0).cast("bigint").alias("errors")).limit(0)
         is_ok, is_error = F.col("outcome") == "ok", F.col("outcome") == "error"
@@ -175,7 +191,7 @@ def stream_retry(events: DataFrame, out: str, state: str, checkpoint: str, tries
         tail = grouped.filter(is_error).groupBy("item", "_g").agg(F.count("*").alias("_n"))
         fresh = last.join(tail, ["item", "_g"], "left").join(before, "item", "full")
         total = F.coalesce("_n", F.lit(0)) + F.when(F.coalesce("_g", F.lit(0)) == 0, F.coalesce("errors", F.lit(0))).otherwise(0)
-        table.write(fresh.select("item", (total % tries).alias("errors")), batch_id + 1)
+        table.write(fresh.select("item", (total % tries).alias("errors")), batch_id + 1, touched)
 
     run_batches(events, step, checkpoint)
     return output.read()
@@ -252,12 +268,13 @@ def stream_segments(rows: DataFrame, out: str, state: str, checkpoint: str, time
     t between batches. With `flush` the open runs are part of the result.
     """
     spark = rows.sparkSession
-    table, output = VersionedTable(spark, state), BatchOutput(spark, out)
+    table, output = BucketedTable(spark, state, ["seq_id"]), BatchOutput(spark, out)
     columns = ["seq_id", "label", "start", "end", "total", "n"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         fresh = _batch_segments(batch).select(*columns)
-        before = table.read(batch_id)
+        touched = table.touched(batch) if timeout is None else None  # a silent key of any bucket may time out
+        before = table.read(batch_id, touched)
         if before is None:
             merged = fresh
         else:
@@ -275,7 +292,7 @@ def stream_segments(rows: DataFrame, out: str, state: str, checkpoint: str, time
             now = batch.agg(F.max("t").alias("now")).scalar()
             marked = marked.withColumn("_open", F.col("_open") & (F.col("end") + timeout > now))
         output.write(marked.filter(~F.col("_open")).select(*columns), batch_id)
-        table.write(marked.filter("_open").select(*columns), batch_id + 1)
+        table.write(marked.filter("_open").select(*columns), batch_id + 1, touched)
 
     run_batches(rows, step, checkpoint)
     done = output.read()
