@@ -278,6 +278,31 @@ def test_clock_and_long_numbers(spark):
     assert row["size"] == "9" * 30 and row["n"] == 12
 
 
+def test_label_files_round_trip(spark, tmp_path):
+    from tilewright.sources import annotations
+
+    boxes = spark.createDataFrame([(i, a, a % 3, 10 * a, 5, 20, 10) for i in (1, 2, 30) for a in range(1, 8)], "image_id bigint, ann_id bigint, category_id bigint, x bigint, y bigint, w bigint, h bigint")
+    images = spark.createDataFrame([(i, 200, 100) for i in (1, 2, 30)], "image_id bigint, w bigint, h bigint")
+    texts = annotations.write_yolo_labels(boxes, images, part_size=3)
+    annotations.save_yolo_labels(texts, str(tmp_path / "labels"))
+    written = list((tmp_path / "labels").glob("stem=*/*.txt"))
+    assert len(written) == 3
+    lines = (next((tmp_path / "labels" / "stem=30").glob("*.txt"))).read_text().split("\n")
+    assert [x.split()[0] for x in lines if x] == [str(a % 3) for a in range(1, 8)]  # parts in order
+    back = annotations.read_yolo_labels(spark, str(tmp_path / "labels"))
+    assert back.count() == 21 and {r["stem"] for r in back.select("stem").collect()} == {"1", "2", "30"}
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tilewright import session
+
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(remote, "x")
+
+
 def test_stream_timeouts(spark, log, tmp_path):
     stream, batch = stream_of(spark, log)
     changes = stream.select(F.col("id").alias("item"), F.when(F.col("e") == 0, "in_progress").otherwise("completed").alias("status"), "ts", "id")

@@ -271,3 +271,17 @@ def test_text_classifier_learns(spark):
     test = spark.createDataFrame([("one red apple", "fruit"), ("my fast car", "vehicle")], "text string, want string")
     out = sc.text_classifier(train, test, features=1 << 12)[0].collect()
     assert [(r["prediction"], r["score"] > 0.5) for r in out] == [(r["want"], True) for r in out]
+
+
+def test_clock_in_milliseconds_to_windows_and_segments(spark):
+    """A clock in ms becomes dense places for windows; segments take the clock as it is."""
+    clock = [1_700_000_000_000 + 250 * i + (i % 3) for i in range(20)]
+    series = spark.createDataFrame([(7, t, "on" if 5 <= i < 9 else "off", float(i)) for i, t in enumerate(clock)], "seq_id int, t bigint, label string, score double")
+    placed = sq.dense_positions(series.withColumnRenamed("t", "at"), "at")
+    assert [r["t"] for r in placed.orderBy("at").collect()] == list(range(1, 21))
+    same = sq.dense_positions(series, "t")
+    assert [r["t"] for r in same.orderBy("score").collect()] == list(range(1, 21))
+    windows = sq.sliding_windows(placed, 8, 0.0)
+    assert {r["score"] for r in windows.select("score").collect()} == {float(i) for i in range(20)}
+    got = [(r["start"], r["end"], r["score"]) for r in sq.segments(series, "off").collect()]
+    assert got == [(clock[5], clock[8], 6.5)]

@@ -63,9 +63,23 @@ def first_of_region(regions: DataFrame) -> DataFrame:
 # ---- runs ----------------------------------------------------------------
 
 
-def segments(rows: DataFrame, background: str | None = BACKGROUND, label: str = "label") -> DataFrame:
-    """Runs of equal consecutive labels: start, end, mean score, instant."""
-    runs = islands(rows.select("seq_id", "t", label, "score"), ["seq_id"], ["t"], [label], "_run", position_chunk("t"))
+def dense_positions(rows: DataFrame, clock: str, keys: Sequence[str] = ("seq_id",), name: str = "t") -> DataFrame:
+    """Add the place 1, 2, ... of each row in its sequence's order of `clock`, which may be any time or number.
+
+    Windows, padding and chunks count by such places; times of equal value are an error of the input.
+    """
+    source = rows if clock != name else rows.withColumnRenamed(name, "_clock")
+    out = number_rows(source, list(keys), [clock if clock != name else "_clock"], name if clock != name else "_place")
+    return out if clock != name else out.drop("_clock").withColumnRenamed("_place", name)
+
+
+def segments(rows: DataFrame, background: str | None = BACKGROUND, label: str = "label", chunk: Column | None = None) -> DataFrame:
+    """Runs of equal consecutive labels: start, end, mean score, instant.
+
+    `t` may be any clock: without `chunk` sequences are cut at quantiles of it, so chunks hold
+    many rows whatever its unit; `position_chunk("t")` saves that pass for dense positions.
+    """
+    runs = islands(rows.select("seq_id", "t", label, "score"), ["seq_id"], ["t"], [label], "_run", chunk)
     out = runs.groupBy("seq_id", "_run").agg(
         F.first(label).alias("label"), F.min("t").alias("start"), F.max("t").alias("end"), F.avg("score").alias("score")
     ).drop("_run")
@@ -78,7 +92,7 @@ def sequence_score(found: DataFrame) -> DataFrame:
 
 
 def threshold_segments(probs: DataFrame, thr: float) -> DataFrame:
-    """Per label the maximal frame runs with prob >= thr; `id` is idx_start_end, idx in order of opening."""
+    """Frames are dense numbers from 1. Per label the maximal frame runs with prob >= thr; `id` is idx_start_end, idx in order of opening."""
     state = probs.withColumn("_on", F.col("prob") >= thr)
     runs = islands(state, ["video_id", "label_idx"], ["frame"], ["_on"], "_run", position_chunk("frame"))
     found = runs.filter("_on").groupBy("video_id", "label_idx", "label", "_run").agg(

@@ -52,11 +52,12 @@ def read_label_export(v):
     )
 
 
-@query("read_yolo_labels", "select cast(b.image_id as varchar) as stem, cast(category_id as integer) as cls, " + ", ".join(f"{micro(n, d)} as {a}" for n, d, a in (("2*b.x+b.w", "2*i.w", "xc"), ("2*b.y+b.h", "2*i.h", "yc"), ("b.w", "i.w", "w"), ("b.h", "i.h", "h"))) + " from " + SIZED)
+@query("read_yolo_labels", "select cast(b.image_id%200 as varchar) as stem, cast(category_id as integer) as cls, " + ", ".join(f"{micro(n, d)} as {a}" for n, d, a in (("2*b.x+b.w", "2*i.w", "xc"), ("2*b.y+b.h", "2*i.h", "yc"), ("b.w", "i.w", "w"), ("b.h", "i.h", "h"))) + " from " + SIZED)
 def read_yolo_labels(v):
     texts = ann.write_yolo_labels(v.boxes, v.images, chunk=F.floor(F.col("ann_id") / 10_000))
-    lines = texts.select(F.col("image_id").cast("string").alias("stem"), F.explode(F.split("text", "\n")).alias("line"))
-    return ann.parse_yolo_lines(lines)
+    path = shared_dir(v.spark, "labels")
+    ann.save_yolo_labels(texts.withColumn("sheet", F.col("image_id") % 200), path, "sheet")  # one file for the labels of many pictures
+    return ann.read_yolo_labels(v.spark, path)
 
 
 @query("write_yolo_labels", f"select b.image_id, cast(floor((ann_id-1)/10000) as bigint) as part, string_agg({LINE}, chr(10) order by ann_id) as text from {SIZED} group by all")
@@ -99,9 +100,21 @@ def write_metadata_json(v):
     return files.write_metadata_json(v.points.select("image_id", "event_id"))
 
 
-@query("tiles_report", "select cast(floor((rn-1)/10000) as bigint) as part, count(*) as tiles from (select row_number() over(order by x,y,z) rn from v_tiles) q group by 1")
+@query(
+    "tiles_report",
+    """select part, count(*) as tiles, concat('somewhere 68.0 8.0 98.0 36.0 8') as head, string_agg(concat_ws('/', z, x, y), ' ' order by x, y, z) as listed,
+    round(min(x/256e0*360-180),6) as west, round(max((x+1)/256e0*360-180),6) as east from (select *, cast(floor((row_number() over(order by x,y,z)-1)/10000) as bigint) as part from v_tiles) q group by part""",
+)
 def tiles_report(v):
-    return documents.tiles_report(v.tiles, "somewhere", (68.0, 8.0, 98.0, 36.0), 8).select("part", "tiles")
+    """The report's JSON text, read again as a whole."""
+    report = documents.tiles_report(v.tiles, "somewhere", (68.0, 8.0, 98.0, 36.0), 8)
+    text = "city string, bbox array<double>, zoom int, tiles array<struct<z:int,x:bigint,y:bigint,bounds:struct<west:double,south:double,east:double,north:double>>>"
+    read = report.select("part", "tiles", F.from_json("report", text, {"mode": "FAILFAST"}).alias("r"))
+    places = F.transform("r.tiles", lambda t: F.concat_ws("/", t["z"].cast("string"), t["x"].cast("string"), t["y"].cast("string")))
+    return read.select(
+        "part", F.col("tiles").cast("bigint").alias("tiles"), F.concat_ws(" ", "r.city", F.transform("r.bbox", lambda b: b.cast("string")), F.col("r.zoom").cast("string")).alias("head"),
+        F.array_join(places, " ").alias("listed"), F.round(F.array_min(F.transform("r.tiles", lambda t: t["bounds"]["west"])), 6).alias("west"), F.round(F.array_max(F.transform("r.tiles", lambda t: t["bounds"]["east"])), 6).alias("east"),
+    )
 
 
 @query(

@@ -9,7 +9,8 @@ from tilewright.functions.hashing import hash_int
 from tilewright.operators import state, tiles
 from tilewright.plans.fixtures import sql_hash
 from tilewright.plans.registry import query
-from tilewright.sources.state_tables import with_state_defaults
+from tilewright.session import shared_dir
+from tilewright.sources.state_tables import empty_state, read_state as read_state_tables, write_state
 
 XY = """cast(greatest(0,least(pow(2,{z})-1,floor(({lon}+180)/360*pow(2,{z})))) as bigint)""", """cast(greatest(0,least(pow(2,{z})-1,floor((0.5e0-ln((1+sin(radians(greatest(-85.05112877980659e0,least(85.05112877980659e0,{lat})))))/(1-sin(radians(greatest(-85.05112877980659e0,least(85.05112877980659e0,{lat}))))))/(4*pi()))*pow(2,{z})))) as bigint)"""
 
@@ -43,8 +44,10 @@ def images_per_tile_status(v):
 
 @query("read_state", "select z, x, y, coalesce(status,'pending') as status, coalesce(image_count,0) as image_count from (select z,x,y, nullif(status,'failed') as status, image_count from v_tiles) q")
 def read_state(v):
+    path = shared_dir(v.spark, "state")
     gaps = v.tiles.withColumn("status", F.nullif(F.col("status"), F.lit("failed")))
-    return with_state_defaults(gaps, "tiles").select("z", "x", "y", "status", "image_count")
+    write_state({**empty_state(v.spark), "tiles": gaps, "download_requests": v.requests}, path)
+    return read_state_tables(v.spark, path)["tiles"].select("z", "x", "y", "status", "image_count")
 
 
 @query("parse_geometry", "select image_id, case when event_id%5=0 then null else lon end as lon, case when event_id%5<2 then null else lat end as lat from v_points")

@@ -63,9 +63,12 @@ def parse_yolo_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_yolo_labels(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows of all `.txt` label files; a file belongs to the `stem=...` folder above it, else its own name is the stem."""
     text = spark.read.text(directory, pathGlobFilter="*.txt", recursiveFileLookup=True)
-    name = F.col("_metadata.file_name")
-    return parse_yolo_lines(text.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.col("value").alias("line")))
+    own = F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
+    folder = F.regexp_extract("_metadata.file_path", r"/stem=([^/]+)/[^/]*$", 1)
+    stem = F.when(folder != "", F.url_decode(folder)).otherwise(own)
+    return parse_yolo_lines(text.select(stem.alias("stem"), F.col("value").alias("line")))
 
 
 def yolo_line(cls, x, y, w, h, img_w, img_h):
@@ -91,9 +94,13 @@ def write_yolo_labels(boxes: DataFrame, images: DataFrame, order: str = "ann_id"
     return parts.select("image_id", "part", F.array_join("items", "\n").alias("text"))
 
 
-def save_yolo_labels(texts: DataFrame, directory: str) -> None:
-    """Partition folders per image hash keep file counts bounded; each row is one label text."""
-    texts.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(256))).write.partitionBy("bucket").parquet(directory)
+def save_yolo_labels(texts: DataFrame, directory: str, stem: str = "image_id") -> None:
+    """One `.txt` label file for each stem, parts in order, which `read_yolo_labels` reads back.
+
+    A stem's rows meet in one task and are streamed to its file; a file's size is that of its labels.
+    """
+    rows = texts.select(F.col(stem).cast("string").alias("stem"), "part", "text")
+    rows.repartition("stem").sortWithinPartitions("stem", "part").select("stem", "text").write.partitionBy("stem").text(directory)
 
 
 def read_segmentation_csv(spark: SparkSession, directory: str) -> DataFrame:
