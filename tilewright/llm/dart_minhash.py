@@ -289,3 +289,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         "n_shingles",
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
     )
+
+
+ORACLE = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i+{SHINGLE_WORDS - 1}], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - {SHINGLE_WORDS - 2}))) as i from d where len(ws) > 0) q),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having count(*) >= {SIMILARITY} * (x.n + y.n - count(*)) - 1e-9),
+r as (select doc_id as a, doc_id as b from n union select r.a, e.b from r join e on r.b = e.a),
+c as (select a as doc_id, min(b) as class_id from r group by a),
+z as (select class_id, count(*) as class_size from c group by class_id)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(n.n, 0) as n_shingles, coalesce(z.class_size, 1) as class_size
+from d left join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id left join z on z.class_id = c.class_id"""

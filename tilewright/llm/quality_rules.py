@@ -106,3 +106,37 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return id_and_text(docs, key, text).mapInArrow(run, SCHEMA.replace("doc_id", key, 1) if key != "doc_id" else SCHEMA)
+
+
+def _oracle() -> str:
+    white = r"[\x20\x09-\x0D]+"
+    grams = sorted({3, *COVERAGE})
+    parts = [
+        f"""g{n} as (select doc_id, i, row_number() over (partition by doc_id, k order by i) as nth, count(*) over (partition by doc_id, k) as often
+        from (select doc_id, i, array_to_string(ws[i:i+{n - 1}], ' ') as k from p where i <= n - {n - 1}) q)"""
+        for n in grams
+    ]
+    within = lambda n, flag: f"coalesce(max(case when {flag} then 1 else 0 end) over (partition by p.doc_id order by p.i rows between {n - 1} preceding and current row), 0)"
+    covers = ", ".join([f"{within(n, f'g{n}.nth > 1')} as c{n}" for n in COVERAGE] + [f"{within(3, 'g3.often > 1')} as r3"])
+    joins = " ".join(f"left join g{n} on g{n}.doc_id = p.doc_id and g{n}.i = p.i" for n in grams)
+    sums = ", ".join(f"sum(case when c{n} = 1 then length(word) else 0 end)::bigint as dup_chars_{n}" for n in COVERAGE)
+    zero = ", ".join(f"coalesce(dup_chars_{n}, 0)::bigint as dup_chars_{n}" for n in COVERAGE)
+    rules = f"when n_symbols > {MAX_SYMBOL_RATIO} * n_words then 'symbols' when dup_line_chars > {MAX_LINE_SHARE} * word_chars then 'lines' "
+    rules += " ".join(f"when dup_chars_{n} > {most} * word_chars then 'ngrams_{n}'" for n, most in COVERAGE.items())
+    return f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+    w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as ws from d),
+    p as (select doc_id, ws, len(ws) as n, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+    {", ".join(parts)},
+    c as (select p.doc_id, p.word, {covers} from p {joins}),
+    s as (select doc_id, sum(r3)::bigint as n_repeat_words, {sums} from c group by doc_id),
+    l as (select doc_id, count(*) as n_dup_lines, sum(length(regexp_replace(line, '{white}', '', 'g')))::bigint as dup_line_chars
+      from (select doc_id, line, row_number() over (partition by doc_id, line) as nth from (select doc_id, unnest(string_split(text, chr(10))) as line from d) q where regexp_matches(line, '[^\\x20\\x09-\\x0D]')) q where nth > 1 group by doc_id),
+    a as (select w.doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '{white}', '', 'g'))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+      coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(dup_line_chars, 0)::bigint as dup_line_chars, {zero}
+      from w left join s on s.doc_id = w.doc_id left join l on l.doc_id = w.doc_id),
+    b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from a),
+    r as (select *, case when base_failed then 'base' {rules} end as reason from b)
+    select *, reason is null as kept from r"""
+
+
+ORACLE = _oracle()

@@ -6,10 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat_rotation
+from tilewright.llm import chat_rotation, dart_minhash
 from tilewright.llm import quality_rules as rules
 from tilewright.llm.byte_bpe import encode_decode
-from tilewright.llm.dart_minhash import near_duplicates
 from tilewright.llm.decontaminate import contaminated
 from tilewright.llm.html_text import extract_text
 from tilewright.llm.licenses import scan_licenses
@@ -22,7 +21,7 @@ from tilewright.llm.url_filter import filter_urls
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", sql=rules.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -32,9 +31,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query("op10_dart_minhash")
+@query("op10_dart_minhash", sql=dart_minhash.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query("op1_decontamination")
