@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from tilewright.llm.textops import SpanHash, byte_slices, code_points, id_and_text, mix, ready
 
 BUCKET_KEYS = 4  # mean keys that share a displacement
-MEMO_TOKENS = 400_000  # pre-tokens kept per task; a full memo is emptied, results don't depend on it
+MEMO_TOKENS = 200_000  # pre-tokens kept per task; a full memo is emptied, results don't depend on it
 LONG_TOKEN = 64  # bytes; the memo keys longer pre-tokens by a cryptographic hash
 LENGTHS = 8  # bytes hashed at once when keys are packed
 

@@ -19,7 +19,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with probability 1.5e-5
 K = BANDS * ROWS
 BLOCK = 512  # texts of a bucket compared at once
-SKETCH_BYTES = 1 << 19  # text whose darts are thrown at once
+SKETCH_BYTES = 1 << 18  # text whose darts are thrown at once
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _C1, _C2, _C3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)

@@ -17,7 +17,7 @@ MIN_SCORE = 0.5  # alignment score over the score of an exact whole copy
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20  # benchmark text handled in one pass over the documents
 MARGIN = 12  # words aligned beyond the stretch that the seeds span
-PAIR_CELLS = 4 << 20  # cells of alignments computed together
+PAIR_CELLS = 1 << 20  # cells of alignments computed together
 
 #: words here are runs of letters and digits: ASCII ones, or any character beyond ASCII
 OUTSIDE = np.zeros(256, bool)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tilewright.session import ship_package
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
