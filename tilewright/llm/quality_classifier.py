@@ -193,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in pooled], pa.binary())], ["_k", "_y", "pooled"])
 
     texts = docs.select(F.col(key).cast("bigint").alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = texts.join(F.broadcast(known), "_k").select("_k", "_y", "_t")  # at most `sample` rows of two numbers.mapInArrow(run, "_k bigint, _y int, pooled binary").withColumn("part", residue("_k", 4)).toPandas()
+    known = F.broadcast(known)  # at most `sample` rows of two numbers
+    rows = texts.join(known, "_k").select("_k", "_y", "_t").mapInArrow(run, "_k bigint, _y int, pooled binary").withColumn("part", residue("_k", 4)).toPandas()
     rows = rows.sort_values(["_k", "pooled"], kind="stable").drop_duplicates("_k")  # a repeated document counts once
     x = np.frombuffer(b"".join(rows["pooled"]), np.float64).reshape(-1, FEATURES)
     return fit_network(x, rows["_y"].to_numpy(np.int64), rows["part"].to_numpy(np.int64) == 3, vectors)
