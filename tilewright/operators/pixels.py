@@ -88,6 +88,19 @@ def mean_cov(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = (),
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def mean_cov_vectors(rows: DataFrame, vector: str, size: int, ridge: float = 1e-6) -> DataFrame:
+    """Mean and sample covariance of a vector column as rows (i, j, mean_i, cov) with i <= j, from 0.
+
+    For many dimensions: a row meets its dimensions once, and each task adds up `size`
+    covariances for each of them, so the shuffle carries size * size sums a task at most.
+    """
+    at = lambda j: F.get(vector, F.lit(j)).cast("double")
+    spread = rows.select(vector, F.posexplode(vector).alias("i", "_v"))
+    sums = spread.groupBy("i").agg(F.avg(F.col("_v").cast("double")).alias("mean_i"), F.array(*[F.covar_samp(F.col("_v").cast("double"), at(j)) for j in range(size)]).alias("_c"))
+    out = sums.select("i", "mean_i", F.posexplode("_c").alias("j", "cov")).filter("j >= i")
+    return out.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "mean_i", F.when(F.col("i") == F.col("j"), F.col("cov") + ridge).otherwise(F.col("cov")).alias("cov"))
+
+
 def mahalanobis(features: Sequence[str], mean: Sequence[float], cov: np.ndarray) -> Column:
     """Distance of a row to a distribution of a few dimensions."""
     inverse = np.linalg.inv(np.asarray(cov, dtype=float))
