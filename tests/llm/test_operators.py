@@ -100,6 +100,27 @@ def test_leaks_exact_edited_and_clean(spark):
     assert found[(203, 3)]["score"] < 1
 
 
+@pytest.mark.parametrize("edit", ["5", "6", "3", "between", "far"])
+def test_leaks_with_every_few_words_edited(spark, edit):
+    """Copies without a run of kept words; exact copies elsewhere make the kept words the frequent ones."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(draw.choices(words, k=n))) for i, n in enumerate([4, 5, 12, 25, 30, 60])]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        if edit == "between":  # one word put between every two
+            copy = [x for k, a in enumerate(w) for x in ((a, f"e{k}") if k + 1 < len(w) else (a,))]
+        elif edit == "far":  # all the words that a copy may have more, in the middle
+            copy = w[: len(w) // 2] + [f"e{k}" for k in range(len(w))] + w[len(w) // 2 :]
+        else:
+            copy = [f"e{k}" if k % int(edit) == int(edit) - 1 else x for k, x in enumerate(w)]
+        rows += [(100 + i, " ".join(draw.choices(words, k=80) + copy + draw.choices(words, k=80)))] + [(1000 * (i + 1) + k, text) for k in range(20)]
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(documents(spark, rows), items_of(spark, items)).collect()}
+    assert set(found) >= {(100 + i, i) for i in range(len(items))}
+    assert edit not in "56" or found[(105, 5)] == pytest.approx({"5": 0.7, "6": 0.75}[edit], abs=0.03)
+
+
 def brute_classes(rows, similarity=0.8):
     sets = []
     for _, text in rows:

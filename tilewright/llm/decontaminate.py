@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 1)."""
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment (operator 1)."""
 
 from __future__ import annotations
 
@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.textops import SpanHash, byte_slices, id_and_text, ngrams, ready, words
+from tilewright.llm.textops import BASE, SpanHash, byte_slices, id_and_text, mix, ngrams, ready, words
 
-SEED_WORDS = 3
-SEED_WINDOW = 4  # of so many neighbouring n-grams of an item the rarest is a seed
+WHOLE_WORDS = 3  # items of at most so many words are found as exact copies only
 MIN_SCORE = 0.5  # alignment score over the score of an exact whole copy
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20  # benchmark text handled in one pass over the documents
-MARGIN = 12  # words aligned beyond the stretch that the seeds span
-PAIR_CELLS = 1 << 20  # cells of alignments computed together
+PAIR_CELLS = 1 << 20  # cells of alignments, or words of stretches, handled together
 
 #: words here are runs of letters and digits: ASCII ones, or any character beyond ASCII
 OUTSIDE = np.zeros(256, bool)
@@ -33,12 +31,14 @@ def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def item_grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of every seed candidate of the items.
+    """(hash, first word) of every seed candidate of the items: their pairs of neighbouring words.
 
-    Items with fewer than SEED_WORDS words have one candidate, all their words.
+    Items of at most WHOLE_WORDS words have one candidate, all their words.
     """
-    grams, at = ngrams(hashes, first, SEED_WORDS)
-    for few in range(1, SEED_WORDS):
+    grams, at = ngrams(hashes, first, 2)
+    long = np.diff(first)[np.searchsorted(first, at, "right") - 1] > WHOLE_WORDS
+    grams, at = grams[long], at[long]
+    for few in range(1, WHOLE_WORDS + 1):
         short = first[:-1][np.diff(first) == few]
         if len(short):
             more = np.concatenate([ngrams(hashes[s : s + few], np.array([0, few]), few)[0] for s in short])
@@ -46,6 +46,22 @@ def item_grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return grams, at
 
 
+def short_lengths(first: np.ndarray) -> tuple[int, ...]:
+    """Lengths of the items that are sought whole."""
+    return tuple(int(n) for n in np.unique(np.diff(first)) if 0 < n <= WHOLE_WORDS)
+
+
+def breakable(length: np.ndarray) -> np.ndarray:
+    """Pairs of neighbouring words of an item that a copy of MIN_SCORE can lack at most.
+
+    A pair is kept if both words are matched, next to each other or around one other word of
+    the document. Of the 2n points of an exact copy n may be lost. A word replaced or left out
+    costs 3 and breaks two pairs (r of them in a row r + 1), one cut off at an end costs 2 and
+    breaks one, two words put between a pair cost 2: never less than 1.5 points a pair.
+    """
+    return length * 2 // 3
+
+
 @dataclass
 class Lookup:
     """Sorted keys behind a bitmap: most absent keys cost one bit test."""
@@ -67,35 +83,34 @@ class Lookup:
         return at[good], slot[good]
 
 
+def word_pairs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word with the next one and with the one after that, as `ngrams` has them (borders are not heeded)."""
+    return tuple(mix(hashes[: max(0, len(hashes) - gap)] * BASE + hashes[gap:] + np.uint64(2)) for gap in (1, 2))
+
+
 def doc_grams(hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    found = [ngrams(hashes, first, n) for n in lengths]
+    """(hash, first word) of what may be a seed: pairs of words at distance 1 or 2, and n-grams of the given lengths."""
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(hashes))
+    found = []
+    for gap, pairs in enumerate(word_pairs(hashes), 1):
+        at = np.flatnonzero(left > gap)
+        found.append((pairs[at], at))
+    found += [ngrams(hashes, first, n) for n in lengths if n != 2]
     return np.concatenate([g for g, _ in found]), np.concatenate([a for _, a in found])
 
 
 def choose_seeds(grams: np.ndarray, at: np.ndarray, first: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """Mask of the seeds: in each window of SEED_WINDOW neighbouring n-grams of an item, the rarest.
+    """Mask of the seeds: of each item its rarest pairs, one more than a copy of MIN_SCORE can lack.
 
-    Frequencies are document frequencies over the whole corpus; ties go to the smaller hash.
-    No n-gram is too frequent to be a seed where it is the rarest, so a copy in a third of
-    all documents keeps its seeds.
+    So each copy of MIN_SCORE has a seed, whatever the frequencies. These are document
+    frequencies over the whole corpus; ties go to the smaller hash. No pair is too frequent to
+    be a seed, so a copy in a third of all documents keeps its seeds.
     """
-    order = np.argsort(at, kind="stable")
-    item = np.searchsorted(first, at[order], "right") - 1
-    rank = np.empty(len(order), np.int64)
-    rank[np.lexsort((grams[order], frequency[order]))] = np.arange(len(order))
-    keep = np.zeros(len(order), bool)
-    n = len(order)
-    index = np.arange(n)[:, None] + np.arange(SEED_WINDOW)[None, :]
-    inside = (index < n) & (item[np.minimum(index, n - 1)] == item[:, None]) if n else np.zeros((0, SEED_WINDOW), bool)
-    if n:
-        ranks = np.where(inside, rank[np.minimum(index, n - 1)], n)
-        whole = inside.all(1)
-        starts = np.r_[True, item[1:] != item[:-1]]
-        whole |= starts  # an item shorter than a window has one window
-        best = np.argmin(ranks, 1)
-        keep[index[np.arange(n), best][whole]] = True
-    out = np.zeros(n, bool)
-    out[order] = keep
+    item = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((grams, frequency, item))
+    begin = np.searchsorted(item[order], item[order], "left")
+    out = np.zeros(len(grams), bool)
+    out[order] = np.arange(len(order)) - begin <= breakable(np.diff(first)[item[order]])
     return out
 
 
@@ -143,7 +158,36 @@ class Matcher:
         self.lookup = Lookup(self.seed)
         self.begin = np.searchsorted(self.seed, self.lookup.keys)
         self.many = np.diff(np.append(self.begin, len(self.seed)))
-        self.lengths = tuple(sorted({SEED_WORDS, *(int(n) for n in np.unique(np.diff(first)) if 0 < n < SEED_WORDS)}))
+        self.lengths = short_lengths(first)
+        # hashed (item, pair) of all items: a false hit only lets a stretch through to the alignment
+        pairs, where = ngrams(hashes, first, 2)
+        self.shift = np.uint64(64 - max(16, int(16 * len(pairs)).bit_length()))
+        self.known = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.known[self._slot(pairs, np.searchsorted(first, where, "right") - 1)] = True
+
+    def _slot(self, pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return mix(pairs + item.astype(np.uint64) * BASE) >> self.shift
+
+    def plausible(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Mask of the stretches with as many pairs of their item as every copy of MIN_SCORE keeps."""
+        length = self.first[rows[:, 1] + 1] - self.first[rows[:, 1]]
+        least = np.where(length > WHOLE_WORDS, length - 1 - breakable(length), 0)
+        near, far = (np.append(p, np.zeros(len(hashes) - len(p), np.uint64)) for p in word_pairs(hashes))
+        size = rows[:, 3] - rows[:, 2]
+        ends = np.cumsum(size)
+        count = np.zeros(len(rows), np.int64)
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + PAIR_CELLS, "right")))
+            begin = np.cumsum(size[a:b]) - size[a:b]
+            at = np.arange(size[a:b].sum()) + np.repeat(rows[a:b, 2] - begin, size[a:b])
+            item = np.repeat(rows[a:b, 1], size[a:b])
+            hit = self.known[self._slot(near[at], item)]
+            hit |= self.known[self._slot(far[at], item)]
+            total = np.r_[0, np.cumsum(hit)]
+            count[a:b] = total[begin + size[a:b]] - total[begin]
+            a = b
+        return count >= least
 
     def stretches(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows (text, item, from word, to word): stretches of text around seeds that may belong together."""
@@ -153,18 +197,20 @@ class Matcher:
         text, item = np.searchsorted(first, found, "right") - 1, self.item[slot]
         inside = self.at[slot] - self.first[item]
         length = self.first[item + 1] - self.first[item]
-        low = np.maximum(found - inside - MARGIN, first[text])
-        high = np.minimum(found - inside + length + MARGIN, first[text + 1])
+        # a copy of MIN_SCORE has at most as many words put in as the item has words
+        low = np.maximum(found - inside - length, first[text])
+        high = np.minimum(found - inside + 2 * length, first[text + 1])
         order = np.lexsort((low, item, text))
         text, item, low, high = text[order], item[order], low[order], high[order]
-        # overlapping stretches of one item join, up to three lengths of the item so that tables stay narrow
+        # overlapping stretches of one item join, up to six lengths of the item so that tables stay narrow
         out: list[list[int]] = []
         for t, i, a, b, n in zip(text.tolist(), item.tolist(), low.tolist(), high.tolist(), length[order].tolist()):
-            if out and out[-1][0] == t and out[-1][1] == i and (b <= out[-1][3] or (a <= out[-1][3] and b - out[-1][2] <= 3 * n + 4 * MARGIN)):
+            if out and out[-1][0] == t and out[-1][1] == i and (b <= out[-1][3] or (a <= out[-1][3] and b - out[-1][2] <= 6 * n)):
                 out[-1][3] = max(b, out[-1][3])
             else:
                 out.append([t, i, a, b])
-        return np.array(out, np.int64).reshape(-1, 4)
+        rows = np.array(out, np.int64).reshape(-1, 4)
+        return rows[self.plausible(rows, hashes)]
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         """(text, item, score, matched length, first word, last word) of every stretch that reaches MIN_SCORE."""
@@ -219,9 +265,11 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     score of a whole exact copy; first_word and last_word (from 0) are its place. Words are
     compared lower-cased and without punctuation, so layout does not matter.
 
-    First pass: document frequency of the items' n-grams over all documents (only n-grams of
-    items leave a task). Second pass: n-grams of documents meet the seeds, and stretches
-    around them are aligned in the task that holds the document. Seeds and words of the
+    First pass: document frequency of the items' word pairs over all documents (only pairs of
+    items leave a task). Second pass: pairs of documents, also around one other word, meet the
+    seeds, and stretches around them that have enough pairs of the item are aligned in the task
+    that holds the document; every copy of MIN_SCORE comes to the alignment. Items of at most
+    WHOLE_WORDS words are found as exact copies only. Seeds and words of the
     benchmark are broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark
     takes more passes, never a larger broadcast. A document is worked on by itself, so a
     test item found in a third of all documents is no hot key.
@@ -236,7 +284,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     for ids, texts in benchmark_blocks(items, item_key, item_text):
         numbers, hashes, first = _prepare(ids, texts)
         grams, at = item_grams(hashes, first)
-        lengths = tuple(sorted({SEED_WORDS, *(int(n) for n in np.unique(np.diff(first)) if 0 < n < SEED_WORDS)}))
+        lengths = short_lengths(first)
         asked = spark.sparkContext.broadcast((np.unique(grams), lengths))
 
         def count(batches, asked=asked):
@@ -254,7 +302,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
 
-        # bounded by the block: one number for each of its n-grams
+        # bounded by the block: one number for each of its pairs
         counted = narrow.select(text).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
         frequency = np.zeros(len(asked.value[0]), np.int64)
         frequency[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
