@@ -134,6 +134,19 @@ def test_alignment_scores(pairs):
         assert score == 0 or align_by_hand(a, b[s : e + 1]) == score
 
 
+@pytest.mark.parametrize("main", [True, False])
+def test_near_copies_of_an_article_stay_whole(main):
+    notice = "this notice is on all pages of the host"
+    article = [" ".join(f"p{b}w{k}" for k in range(40)) for b in range(3)]
+    copies = [[b.replace(f"w{c}", f"w{c}x", 1) if k == c % 3 else b for k, b in enumerate(article)] for c in range(6 if main else 5)]
+    others = [[" ".join(f"o{o}b{b}w{k}" for k in range(40)) for b in range(3)] for o in range(8 if main else 20)]
+    for rest in (others[:2], others):
+        pages = [([*blocks, notice], main, [0.0] * 4) for blocks in copies + rest]
+        kept = html_text.keep_blocks(pages)
+        assert [k[:3] for k in kept] == copies + rest
+        assert {len(k) for k in kept} == {3 if rest is others else 4}  # few distinct pages make no boilerplate
+
+
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), max_size=14), st.sampled_from([0.2, 0.5]))
 @settings(max_examples=60, deadline=None)
 def test_repeated_runs(streams, share):
