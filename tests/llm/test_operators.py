@@ -121,6 +121,19 @@ def test_leaks_with_every_few_words_edited(spark, edit):
     assert edit not in "56" or found[(105, 5)] == pytest.approx({"5": 0.7, "6": 0.75}[edit], abs=0.03)
 
 
+def test_leaks_of_a_passage_of_a_long_item(spark):
+    """A verbatim passage is found whatever its share of the item, at every place of the item; a shorter one is not."""
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    item = draw.choices(words, k=250)
+    around = lambda part: " ".join([*draw.choices(words, k=60), *part, *draw.choices(words, k=60)])
+    rows = [(k, around(item[k : k + 13])) for k in range(238)] + [(1000, around(item[70:170])), (1001, around(item[40:52])), (1002, around(item[:12]))]
+    rows += [(2000 + k, " ".join(item[100:110])) for k in range(50)]  # a part of it is frequent
+    found = {r["doc_id"]: r for r in contaminated(documents(spark, rows), items_of(spark, [(1, " ".join(item))])).collect()}
+    assert set(found) == {*range(238), 1000}
+    assert found[1000]["score"] == pytest.approx(0.4, abs=0.02) and found[1000]["first_word"] == 60 and found[0]["matched"] >= 13
+
+
 def brute_classes(rows, similarity=0.8):
     sets = []
     for _, text in rows:

@@ -13,6 +13,7 @@ from tilewright.llm.textops import BASE, SpanHash, byte_slices, id_and_text, mix
 
 WHOLE_WORDS = 3  # items of at most so many words are found as exact copies only
 MIN_SCORE = 0.5  # alignment score over the score of an exact whole copy
+PASSAGE_WORDS = 13  # a verbatim passage of so many words is reported whatever its share of the item
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20  # benchmark text handled in one pass over the documents
 PAIR_CELLS = 1 << 20  # cells of alignments, or words of stretches, handled together
@@ -102,7 +103,8 @@ def doc_grams(hashes: np.ndarray, first: np.ndarray, lengths: tuple[int, ...]) -
 def choose_seeds(grams: np.ndarray, at: np.ndarray, first: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     """Mask of the seeds: of each item its rarest pairs, one more than a copy of MIN_SCORE can lack.
 
-    So each copy of MIN_SCORE has a seed, whatever the frequencies. These are document
+    So each copy of MIN_SCORE has a seed, whatever the frequencies. The rarest pair in each
+    passage of PASSAGE_WORDS words is a seed as well, so each verbatim passage has one. These are document
     frequencies over the whole corpus; ties go to the smaller hash. No pair is too frequent to
     be a seed, so a copy in a third of all documents keeps its seeds.
     """
@@ -111,9 +113,29 @@ def choose_seeds(grams: np.ndarray, at: np.ndarray, first: np.ndarray, frequency
     begin = np.searchsorted(item[order], item[order], "left")
     out = np.zeros(len(grams), bool)
     out[order] = np.arange(len(order)) - begin <= breakable(np.diff(first)[item[order]])
+    # pairs in order of place: those of one passage lie side by side
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = np.argsort(at, kind="stable")
+    span = PASSAGE_WORDS - 1
+    if len(place) >= span:
+        windows = np.lib.stride_tricks.sliding_window_view(rank[place], span)
+        inside = item[place][span - 1 :] == item[place][: len(place) - span + 1]
+        out[order[windows.min(1)[inside]]] = True
     return out
 
 
+def verbatim(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Words of the longest equal run of each row pair, rows as in `align`."""
+    run, best = np.zeros(texts.shape, np.int32), np.zeros(len(texts), np.int32)
+    for i in range(items.shape[1]):
+        run[:, 1:] = run[:, :-1] + 1
+        run[:, 0] = 1
+        run *= texts == items[:, i : i + 1]
+        best = np.maximum(best, run.max(1, initial=0))
+    return best
+
+
 def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment score of each row pair, its last column, and its first column.
 
@@ -169,7 +191,7 @@ class Matcher:
         return mix(pairs + item.astype(np.uint64) * BASE) >> self.shift
 
     def plausible(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Mask of the stretches with as many pairs of their item as every copy of MIN_SCORE keeps."""
+        """Mask of the stretches with as many pairs of their item as every copy of MIN_SCORE keeps, or a passage of PASSAGE_WORDS has."""
         length = self.first[rows[:, 1] + 1] - self.first[rows[:, 1]]
         least = np.where(length > WHOLE_WORDS, length - 1 - breakable(length), 0)
         near, far = (np.append(p, np.zeros(len(hashes) - len(p), np.uint64)) for p in word_pairs(hashes))
@@ -187,7 +209,7 @@ class Matcher:
             total = np.r_[0, np.cumsum(hit)]
             count[a:b] = total[begin + size[a:b]] - total[begin]
             a = b
-        return count >= least
+        return count >= np.minimum(least, PASSAGE_WORDS - 1)
 
     def stretches(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows (text, item, from word, to word): stretches of text around seeds that may belong together."""
@@ -213,7 +235,7 @@ class Matcher:
         return rows[self.plausible(rows, hashes)]
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """(text, item, score, matched length, first word, last word) of every stretch that reaches MIN_SCORE."""
+        """(text, item, score, matched length, first word, last word) of every stretch that reaches MIN_SCORE or holds a verbatim passage of PASSAGE_WORDS."""
         rows = self.stretches(hashes, first)
         sizes = self.first[rows[:, 1] + 1] - self.first[rows[:, 1]], rows[:, 3] - rows[:, 2]
         order = np.lexsort((sizes[1], sizes[0]))
@@ -231,6 +253,8 @@ class Matcher:
             best, end, start = align(items, texts)
             whole = MATCH * (self.first[part[:, 1] + 1] - self.first[part[:, 1]])
             good = best >= MIN_SCORE * whole
+            long = np.flatnonzero(~good & (best >= MATCH * PASSAGE_WORDS))
+            good[long] = verbatim(items[long], texts[long]) >= PASSAGE_WORDS
             out.append((part[good, 0], part[good, 1], best[good] / whole[good], (best[good] // MATCH).astype(np.int64), part[good, 2] + start[good], part[good, 2] + end[good]))
         return out
 
@@ -262,13 +286,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """Copies of test items in documents: key, item_id, score, matched, first_word, last_word.
 
     One row for each (document, item) whose best local alignment reaches MIN_SCORE of the
-    score of a whole exact copy; first_word and last_word (from 0) are its place. Words are
+    score of a whole exact copy, or that share a verbatim passage of PASSAGE_WORDS words,
+    however long the item is (its score is then below MIN_SCORE); first_word and last_word (from 0) are its place. Words are
     compared lower-cased and without punctuation, so layout does not matter.
 
     First pass: document frequency of the items' word pairs over all documents (only pairs of
     items leave a task). Second pass: pairs of documents, also around one other word, meet the
     seeds, and stretches around them that have enough pairs of the item are aligned in the task
-    that holds the document; every copy of MIN_SCORE comes to the alignment. Items of at most
+    that holds the document; every copy of MIN_SCORE and every such passage comes to the alignment. Items of at most
     WHOLE_WORDS words are found as exact copies only. Seeds and words of the
     benchmark are broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark
     takes more passes, never a larger broadcast. A document is worked on by itself, so a
