@@ -277,6 +277,22 @@ def test_url_rules_are_mined_and_matched(spark):
     assert out == {i: "block" if i % 4 == 0 else "allow" for i in range(400)}
 
 
+def test_url_rules_are_mined_from_all_tokens(spark):
+    """Only two of many tokens together tell the bad urls; each of the others tells more than either of the two."""
+    rows = []
+    for i in range(400):
+        x, y = i % 2 == 0, i // 2 % 2 == 0
+        bad = x and y
+        template = [f"path:t{k}" for k in range(13)] if bad or i % 16 else []
+        own = [f"key:o{k}" for k in range(3) if bad or i % (17 + k)]
+        rows.append((["path:x"] * x + ["path:y"] * y + template + own, bad))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    rules = {tuple(r["tokens"]): (r["confidence"], r["n"]) for r in url_filter.mine_rules(labelled).collect()}
+    assert rules == {("path:x", "path:y"): (1.0, 100)}
+    marked = spark.createDataFrame([(t + ["path:bad", "word:bad"] if b else t, b) for t, b in rows], labelled.schema)
+    assert {tuple(r["tokens"]) for r in url_filter.mine_rules(marked).collect()} == {("path:bad",), ("word:bad",), ("path:x", "path:y")}
+
+
 def test_chat_by_hand(spark):
     rows = [(1, 0, "ann", "hi", "x"), (1, 1, "bob", "yo", "x"), (1, 1, "bob", "yo", "x"), (1, None, "system", None, "x"), (None, 0, "ann", "lost", "x"), (2, 0, "system", "only", "x"), (3, 0, None, "é", "x")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, speaker string")

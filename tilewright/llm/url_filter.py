@@ -14,7 +14,6 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 MIN_SUPPORT = 0.002  # of the labelled urls
 MIN_COUNT = 20  # labelled urls that hold all tokens of a rule
 MIN_CONFIDENCE = 0.7
-MINED_TOKENS = 12  # most telling tokens of a url that enter mining; matching uses all tokens
 BAD = "label:bad"
 
 
@@ -47,12 +46,13 @@ def url_tokens(host: Column, path: Column, tail: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, host_words, steps, keys, shape))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, mined_tokens: int = MINED_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, confidence, n) for bad urls from rows (tokens, bad).
 
-    Only tokens that are frequent enough to be in a rule enter mining, and of those the
-    `mined_tokens` of a url that tell its label best, so a long url that is repeated often
-    does not span all its subsets. A rule goes if a part of it has its confidence already.
+    All tokens that are frequent enough to be in a rule enter mining. Tokens that are on the
+    same urls are one item, so the words of a template do not span all their subsets; its
+    rules are given for each of the tokens. A rule goes if a part of it has its confidence
+    already. Subsets grow with two to the number of items that are on the same frequent urls.
     """
     rows = cut_lineage(labelled.select(F.monotonically_increasing_id().alias("_row"), "tokens", "bad"))
     total = rows.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("k")).first()
@@ -63,10 +63,12 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
     if not k or n < least:
         return spark.createDataFrame([], schema)
     single = rows.select("_row", "bad", F.explode("tokens").alias("token"))
-    telling = single.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.col("bad").cast("int")).alias("b")).filter(F.col("c") >= least)
-    telling = telling.withColumn("w", F.abs(F.col("b") / F.col("c") - k / n) * F.sqrt("c"))
-    picked = single.join(telling, "token").groupBy("_row", "bad").agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "token")), asc=False), 1, mined_tokens).alias("_l"))
-    items = picked.select(F.when(F.col("bad"), F.concat(F.col("_l.token"), F.array(F.lit(BAD)))).otherwise(F.col("_l.token")).alias("items"))
+    # two hashes of the set of rows: equal for tokens that are on the same rows
+    rows_of = [F.bit_xor(F.xxhash64(F.lit(k), "_row")).alias(f"h{k}") for k in (1, 2)]
+    often = single.groupBy("token").agg(F.count("*").alias("c"), *rows_of).filter(F.col("c") >= least)
+    classes = cut_lineage(often.groupBy("c", "h1", "h2").agg(F.min("token").alias("token"), F.sort_array(F.collect_list("token")).alias("members")).select("token", "members"))
+    picked = single.join(classes.select("token"), "token").groupBy("_row", "bad").agg(F.collect_list("token").alias("_l"))
+    items = picked.select(F.when(F.col("bad"), F.concat("_l", F.array(F.lit(BAD)))).otherwise(F.col("_l")).alias("items"))
     # support of a rule counts its bad urls; confidence and count are checked on the rules below
     model = FPGrowth(itemsCol="items", minSupport=max(1e-9, least * min_confidence / n), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
@@ -76,7 +78,11 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
     part = rules.select(F.col("tokens").alias("_p"), F.col("confidence").alias("_c"), F.element_at("tokens", 1).alias("_k"))
     whole = rules.select("*", F.explode("tokens").alias("_k"))
     covered = whole.join(part, "_k").filter((F.size("_p") < F.size("tokens")) & (F.col("_c") >= F.col("confidence")) & (F.size(F.array_except("_p", "tokens")) == 0))
-    return rules.join(covered.select("tokens").distinct(), "tokens", "left_anti").select("tokens", "confidence", "n")
+    rules = rules.join(covered.select("tokens").distinct(), "tokens", "left_anti")
+    # a rule for each choice of a token from each of its items
+    each = rules.select("tokens", "confidence", "n", F.explode("tokens").alias("token")).join(classes, "token").groupBy("tokens", "confidence", "n").agg(F.collect_list("members").alias("_m"))
+    choices = F.aggregate("_m", F.array(F.array().cast("array<string>")), lambda done, own: F.flatten(F.transform(done, lambda d: F.transform(own, lambda t: F.concat(d, F.array(t))))))
+    return each.select(F.explode(choices).alias("tokens"), "confidence", "n").select(F.array_sort("tokens").alias("tokens"), "confidence", "n")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
