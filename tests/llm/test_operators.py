@@ -281,11 +281,10 @@ def test_url_rules_are_mined_from_all_tokens(spark):
     """Only two of many tokens together tell the bad urls; each of the others tells more than either of the two."""
     rows = []
     for i in range(400):
-        x, y = i % 2 == 0, i // 2 % 2 == 0
-        bad = x and y
-        template = [f"path:t{k}" for k in range(13)] if bad or i % 16 else []
-        own = [f"key:o{k}" for k in range(3) if bad or i % (17 + k)]
-        rows.append((["path:x"] * x + ["path:y"] * y + template + own, bad))
+        bad = i < 100
+        template = [f"path:t{k}" for k in range(13)] if i < 200 else []
+        own = [f"key:o{k}" for k in range(3) if i < 201 + k]
+        rows.append((["path:x"] * (bad or i % 2 == 0) + ["path:y"] * (bad or i % 2 == 1) + template + own, bad))
     labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
     rules = {tuple(r["tokens"]): (r["confidence"], r["n"]) for r in url_filter.mine_rules(labelled).collect()}
     assert rules == {("path:x", "path:y"): (1.0, 100)}
