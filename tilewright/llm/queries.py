@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat_rotation, dart_minhash
+from tilewright.llm import chat_rotation, collocations, dart_minhash, simhash
 from tilewright.llm import quality_rules as rules
 from tilewright.llm.byte_bpe import encode_decode
 from tilewright.llm.decontaminate import contaminated
@@ -71,3 +71,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_text")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op13_collocations", sql=collocations.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
