@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat_rotation, collocations, dart_minhash, simhash
+from tilewright.llm import chat_rotation, collocations, dart_minhash, simhash, turn_repair
 from tilewright.llm import quality_rules as rules
 from tilewright.llm.byte_bpe import encode_decode
 from tilewright.llm.decontaminate import contaminated
@@ -82,3 +82,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_collocations", sql=collocations.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_turn_repair", sql=turn_repair.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(turn_repair.damage(table(spark, sf_dir, "conversations")), lost="lost")
