@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.ordered import islands
+from tilewright.operators.pixel_bands import full_windows
 
 RUN_BUCKET = 4096
 
@@ -40,15 +41,12 @@ def mask_runs(pixels: DataFrame) -> DataFrame:
 def box_fits(points: DataFrame, pixels: DataFrame, images: DataFrame, w: int, h: int) -> DataFrame:
     """Points where a w x h placement lies inside the image with every mask pixel set.
 
-    Needs one mask run per row of the placement, so only h rows per point are joined.
+    A point is answered by four lookups in the summed mask of its part of the picture; equal
+    points stay as many rows as they are.
     """
     inside = points.join(images.select("image_id", F.col("w").alias("_w"), F.col("h").alias("_h")), "image_id")
-    inside = inside.filter((F.col("x") + w < F.col("_w")) & (F.col("y") + h < F.col("_h")))
-    rows = inside.withColumn("_row", F.explode(F.sequence(F.col("y"), F.col("y") + h - 1)))
-    runs = mask_runs(pixels).select(F.col("image_id").alias("_i"), F.col("y").alias("_ry"), "x0", "x1")
-    cover = (F.col("image_id") == F.col("_i")) & (F.col("_row") == F.col("_ry")) & (F.col("x0") <= F.col("x")) & (F.col("x") + w - 1 <= F.col("x1"))
-    hits = rows.join(runs, cover).groupBy(*points.columns).agg(F.count("*").alias("_n"))
-    return hits.filter(F.col("_n") == h).drop("_n")
+    inside = inside.filter((F.col("x") + w < F.col("_w")) & (F.col("y") + h < F.col("_h"))).select(*points.columns)
+    return full_windows(inside, pixels, images, w, h)
 
 
 def mask_run_stats(runs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.pixels import WARMTH_GAP, placement_color, sky_color
 from tilewright.operators.ordered import top_per_group
+from tilewright.operators.pixel_bands import window_correlations, window_means
 
 
 def color_placement_mask(pixels: DataFrame, images: DataFrame) -> DataFrame:
@@ -112,20 +113,6 @@ def mahalanobis(features: Sequence[str], mean: Sequence[float], cov: np.ndarray)
     return F.sqrt(total)
 
 
-def window_rows(pixels: DataFrame, images: DataFrame, fw: int, fh: int, stride_x: int, stride_y: int) -> DataFrame:
-    """Each pixel once per fw x fh window it lies in, as window corner (y0, x0) and offset (dy, dx)."""
-    sized = pixels.join(images.select("image_id", F.col("w").alias("_w"), F.col("h").alias("_h")), "image_id")
-
-    def starts(at: str, size: int, stride: int, limit: str) -> Column:
-        first = F.greatest(F.lit(0), F.ceil((F.col(at) - size + 1) / stride))
-        last = F.least(F.floor(F.col(at) / stride), F.floor((F.col(limit) - size) / stride))
-        found = F.transform(F.sequence(first, last), lambda k: (k * stride).cast("bigint"))
-        return F.explode(F.when(first <= last, found).otherwise(F.array().cast("array<bigint>")))
-
-    rows = sized.withColumn("y0", starts("y", fh, stride_y, "_h")).withColumn("x0", starts("x", fw, stride_x, "_w"))
-    return rows.withColumn("dy", F.col("y") - F.col("y0")).withColumn("dx", F.col("x") - F.col("x0")).drop("_w", "_h")
-
-
 def top_matches(
     pixels: DataFrame, images: DataFrame, background: DataFrame, features: Sequence[str], fw: int, fh: int, k: int = 5, stride_ratio: float = 0.25, per_image: bool = True
 ) -> DataFrame:
@@ -142,23 +129,15 @@ def top_matches(
         for j in range(i, n):
             cov[i, j] = cov[j, i] = stats[f"cov_{features[i]}_{features[j]}"]
     scored = pixels.withColumn("_d", mahalanobis(features, [stats[f"mean_{f}"] for f in features], cov)).select("image_id", "y", "x", "_d")
-    windows = window_rows(scored, images, fw, fh, max(1, int(fw * stride_ratio)), max(1, int(fh * stride_ratio)))
-    means = windows.groupBy("image_id", "y0", "x0").agg(F.round(F.avg("_d"), 6).alias("score"))
+    windows = window_means(scored, images, "_d", fw, fh, max(1, int(fw * stride_ratio)), max(1, int(fh * stride_ratio)))
+    means = windows.select("image_id", "y0", "x0", F.round("mean", 6).alias("score"))
     return top_per_group(means, ["image_id"] if per_image else [], ["score", "image_id", "y0", "x0"], k)
 
 
 def top_similar(pixels: DataFrame, images: DataFrame, fragment: DataFrame, fw: int, fh: int, k: int = 5, stride: int = 10, value: str = "v") -> DataFrame:
     """k best windows per image by normalised correlation with a fragment (dy, dx, f)."""
-    windows = window_rows(pixels.select("image_id", "y", "x", F.col(value).cast("double").alias("_a")), images, fw, fh, stride, stride)
-    pairs = windows.join(fragment.select("dy", "dx", F.col("f").cast("double").alias("_b")), ["dy", "dx"])
-    s = pairs.groupBy("image_id", "y0", "x0").agg(
-        F.count("*").alias("n"), F.sum("_a").alias("a"), F.sum("_b").alias("b"), F.sum(F.col("_a") * F.col("_b")).alias("ab"),
-        F.sum(F.col("_a") * F.col("_a")).alias("aa"), F.sum(F.col("_b") * F.col("_b")).alias("bb"),
-    )
-    c = F.col
-    below = (c("aa") - c("a") * c("a") / c("n")) * (c("bb") - c("b") * c("b") / c("n"))
-    score = F.when(below > 0, (c("ab") - c("a") * c("b") / c("n")) / F.sqrt(below)).otherwise(F.lit(0.0))
-    scored = s.select("image_id", "y0", "x0", F.round(score, 6).alias("score"))
+    windows = window_correlations(pixels, images, value, fragment, fw, fh, stride, stride)
+    scored = windows.select("image_id", "y0", "x0", F.round("score", 6).alias("score"))
     return top_per_group(scored, ["image_id"], [F.desc("score"), "y0", "x0"], k)
 
 
