@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.ordered import collect_parts, islands, number_rows, position_chunk, running
+from tilewright.operators.range_labels import last_covering
 
-RANGE_BUCKET = 64
 BACKGROUND = "background"
 
 
@@ -27,19 +27,11 @@ def until_ground_truth(ranges: DataFrame) -> DataFrame:
     return kept.filter(F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop"))).drop("_stop")
 
 
-def label_rows(rows: DataFrame, ranges: DataFrame, bucket: int = RANGE_BUCKET, background=BACKGROUND) -> DataFrame:
-    """Label of the last range (by `ord`) that covers each row, both ends included.
-
-    Rows and ranges meet in time buckets, which turns the range join into an equi join and
-    spreads a long sequence over many tasks.
-    """
+def label_rows(rows: DataFrame, ranges: DataFrame, background=BACKGROUND) -> DataFrame:
+    """Label of the last range (by `ord`) that covers each row, both ends included; range ends take the rows' time type."""
     kind = rows.schema["t"].dataType
-    usable = until_ground_truth(ranges).select("seq_id", "ord", F.col("lo").cast(kind).alias("lo"), F.col("hi").cast(kind).alias("hi"), F.col("label").alias("_label"))
-    spans = usable.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    points = rows.select("seq_id", "t", F.floor(F.col("t") / bucket).alias("_b"))
-    covered = points.join(spans, ["seq_id", "_b"]).filter(F.col("t").between(F.col("lo"), F.col("hi")))
-    last = covered.groupBy("seq_id", "_b", "t").agg(F.max_by("_label", "ord").alias("range_label")).drop("_b")
-    return rows.join(last, ["seq_id", "t"], "left").withColumn("range_label", F.coalesce("range_label", F.lit(background)))
+    usable = until_ground_truth(ranges).select("seq_id", "ord", F.col("lo").cast(kind).alias("lo"), F.col("hi").cast(kind).alias("hi"), "label")
+    return last_covering(rows, usable).withColumn("range_label", F.coalesce("range_label", F.lit(background)))
 
 
 def label_frames(ranges: DataFrame, labels: Sequence[str], n: int | None = None) -> DataFrame:
