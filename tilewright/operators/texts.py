@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.text import similarity
-from tilewright.operators.ordered import collect_parts, number_rows, position_chunk, running
+from tilewright.operators.fuzzy import nearest_labels
+from tilewright.operators.ordered import number_rows, position_chunk, running
 
 OUTSIDE = "O"
 IGNORED = -100  # fixed value: label of sub-tokens that do not count
@@ -111,16 +111,6 @@ def align_subwords(pieces: DataFrame, tags: DataFrame, id_col: str = "doc_id") -
     )
 
 
-def fuzzy_label(lines: DataFrame, labels: DataFrame, block: int = 1000) -> DataFrame:
-    """Most similar allowed label of each distinct line, the first label on ties.
-
-    Labels are packed into arrays of `block`; each line meets every block once and is
-    compared inside the row, so no row-per-pair product is made.
-    """
-    ranked = number_rows(labels.select("label", "ord"), [], ["ord", "label"], "_at")
-    blocks = collect_parts(ranked, [], ["_at"], F.struct("label", F.col("_at").alias("rank")), block).withColumnRenamed("items", "_labels")
-    last = blocks.agg(F.max("part").alias("n")).scalar()
-    spread = lines.select("line").distinct().withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    scored = F.transform("_labels", lambda x: F.struct(similarity("line", x["label"]).alias("score"), (-x["rank"]).alias("rank"), x["label"].alias("label")))
-    best = spread.join(blocks, "part").select("line", F.array_max(scored).alias("m"))
-    return best.groupBy("line").agg(F.max("m").alias("m")).select("line", "m.label", "m.score")
+def fuzzy_label(lines: DataFrame, labels: DataFrame) -> DataFrame:
+    """Most similar allowed label (label, ord) of each distinct line, the first label on ties."""
+    return nearest_labels(lines, labels).drop("candidates")
