@@ -204,3 +204,37 @@ def test_fractional_boxes_keep_their_size(spark):
     for merged in (ob.merge_greedy(df), ob.merge_greedy(df, group_rows=1), ob.merge_closure(df)):
         got = sorted((r["x"], r["y"], round(r["w"], 9), round(r["h"], 9)) for r in merged.collect())
         assert got == want
+
+
+def test_crowded_image_and_huge_boxes_are_cut_evenly(spark):
+    """20,000 small boxes with a dense spot, and boxes over the whole picture: no leaf holds a large part of them."""
+    rng = random.Random(9)
+    small = [(rng.randrange(0, 30_000), rng.randrange(0, 30_000)) for _ in range(12_000)] + [(500 + rng.randrange(0, 700), 900 + rng.randrange(0, 700)) for _ in range(8_000)]
+    boxes = [(x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9)) for x, y in small] + [(0, 0, 30_000, 30_000), (-5, 20, 31_000, 29_000)]
+    df = make(spark, {0: boxes, 1: boxes[:3]})
+    cells = ob.fit_cells(df)
+    placed = cells.place(df)
+    leaves = placed.filter("image_id = 0").groupBy("_d", "_cx", "_cy").count()
+    assert leaves.agg(F.max("count")).first()[0] <= ob.CELL + 60 and placed.count() < 1.5 * len(boxes)
+    assert placed.filter("image_id = 1").count() == 3
+    pairs = ob.overlapping_boxes(df)
+    got = {(r["a"], r["b"]) for r in pairs.filter("image_id = 0").collect()}
+    want, grid = set(), {}
+    for k, (x1, y1, x2, y2) in enumerate(boxes[:-2]):
+        for cx in range(x1 // 16, x2 // 16 + 1):
+            for cy in range(y1 // 16, y2 // 16 + 1):
+                grid.setdefault((cx, cy), []).append(k)
+    for members in grid.values():
+        want |= {(a, b) for i, a in enumerate(members) for b in members[i + 1 :] if overlap(boxes[a], boxes[b])}
+    want |= {(k, n) for n in (len(boxes) - 2, len(boxes) - 1) for k in range(n) if overlap(boxes[k], boxes[n])}
+    assert pairs.filter("image_id = 0").count() == len(got) and got == want
+
+
+@pytest.mark.parametrize("scale", [1, 1e-4])
+def test_clear_of_boxes_at_any_cell_size(spark, images, scale):
+    cands = make(spark, {i: [(x, y, x + 25, y + 25) for x in range(0, 900, 90) for y in range(0, 900, 110)] for i in images})
+    scaled = lambda df: df if scale == 1 else df.select("image_id", "ann_id", *[(F.col(c) * scale).alias(c) for c in "xywh"])
+    want = {(i, x, y) for i, own in images.items() for x in range(0, 900, 90) for y in range(0, 900, 110) if not any(overlap((x, y, x + 25, y + 25), b) for b in own)}
+    for cell in (1, 30, 10_000):
+        free = ob.boxes_clear_of(scaled(cands), scaled(make(spark, images)), ["image_id", "ann_id"], cell=cell)
+        assert {(r["image_id"], round(r["x"] / scale), round(r["y"] / scale)) for r in free.collect()} == want

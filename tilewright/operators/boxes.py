@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.boxes import overlaps
 from tilewright.session import cut_lineage, ship_package
 
-CELL = 128
+CELL = 256  # boxes that meet in one cell before it is cut
+DEPTH = 20  # cuts of an image's square at most
 GROUP_ROWS = 10_000  # larger images are merged by joins instead of in one task
 BATCH_MERGE = 64  # rows of one image in one batch from which a local merge pays
 
@@ -21,29 +23,96 @@ def _fractional(df: DataFrame) -> bool:
     return any(df.schema[c].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint") for c in ("x", "y", "w", "h"))
 
 
-def _cells(df: DataFrame, cell: int) -> DataFrame:
-    whole = not _fractional(df)
+@dataclass
+class Cells:
+    """Quadtrees of the images that hold too many boxes for one cell.
 
-    def span(start: str, size: str):
-        end = F.col(start) + F.col(size)
-        last = F.greatest(F.col(start), end - 1 if whole else end)
-        return F.sequence(F.floor(F.col(start) / cell), F.floor(last / cell))
+    `large` has the square (x0, y0, extent) of each such image, `splits` the squares (depth,
+    column, row) that are cut in four. Any such cells give the same pairs.
+    """
+
+    on: list[str]
+    large: DataFrame
+    splits: DataFrame
+    depth: int
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """`df` with `_d`, `_cx`, `_cy` (and its image's square), one row for each leaf that a box meets; other images are one cell."""
+        one = [F.lit(0).alias("_d"), F.lit(0).cast("bigint").alias("_cx"), F.lit(0).cast("bigint").alias("_cy")]
+        nothing = [F.lit(None).cast("double").alias(c) for c in SQUARE]
+        whole = df.join(self.large, self.on, "left_anti").select("*", *nothing, *one)
+        rows = df.join(self.large, self.on).select(*df.columns, *SQUARE, *one)
+        cut = self.splits.withColumn("_cut", F.lit(True))
+        for _ in range(self.depth + 1):
+            kids = F.flatten(F.transform(self._halves("x", "w", "_cx"), lambda x: F.transform(self._halves("y", "h", "_cy"), lambda y: F.struct((F.col("_d") + 1).alias("_d"), x.alias("_cx"), y.alias("_cy")))))
+            same = F.array(F.struct("_d", "_cx", "_cy"))
+            rows = rows.join(cut, [*self.on, "_d", "_cx", "_cy"], "left").withColumn("_k", F.explode(F.when(F.col("_cut"), kids).otherwise(same)))
+            rows = rows.select(*df.columns, *SQUARE, "_k.*")
+        return whole.unionByName(rows)
+
+    def _halves(self, start: str, size: str, cell: str) -> Column:
+        low, high = (_unit(F.col(start) + e, start, F.col("_d") + 1) for e in (F.lit(0), F.col(size)))
+        return F.sequence(F.greatest(F.col(cell) * 2, low), F.least(F.col(cell) * 2 + 1, high))
+
+
+SQUARE = ["_x0", "_y0", "_extent"]
 
-    return df.withColumn("_cx", F.explode(span("x", "w"))).withColumn("_cy", F.explode(span("y", "h")))
 
+def _unit(value: Column, axis: str, depth: Column, prefix: str = "") -> Column:
+    """Column or row of a coordinate among the 2^depth of its image's square; what lies outside counts to the border."""
+    cells = F.pow(F.lit(2.0), depth)
+    at = F.floor((value - F.col(f"{prefix}_{axis}0")) / F.col(f"{prefix}_extent") * cells)
+    return F.greatest(F.lit(0), F.least(cells - 1, at)).cast("bigint")
 
-def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("image_id",), cell: int = CELL, extra=None) -> DataFrame:
+
+def fit_cells(boxes: DataFrame, on: Sequence[str] = ("image_id",), limit: int = CELL) -> Cells | None:
+    """Cells for the images with more than `limit` boxes; None if there is no such image.
+
+    A square is cut while more than `limit` corners of boxes of at most half its side lie in
+    it. Boxes that crowd at their own size overlap each other anyway, and cutting would only
+    copy them. So a small box is in four leaves at most, and a huge one in as many as the
+    crowd below it needs, whatever its area.
+    """
+    on = list(on)
+    right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    size = boxes.groupBy(*on).agg(F.count("*").alias("_n"), F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.max(right).alias("_x1"), F.max(bottom).alias("_y1")).filter(F.col("_n") > limit)
+    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")).cast("double")
+    large = cut_lineage(size.select(*on, F.col("_x0").cast("double").alias("_x0"), F.col("_y0").cast("double").alias("_y0"), F.when(extent > 0, extent).otherwise(1.0).alias("_extent")))
+    if large.isEmpty():
+        return None
+    inside = boxes.join(large, on)
+    side = F.greatest("w", "h").cast("double")
+    own = F.when(side <= 0, F.lit(DEPTH)).otherwise(F.floor(F.log2(F.col("_extent") / (2 * side))))
+    deep = inside.withColumn("_d", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.lit(DEPTH), own)).cast("int"))))
+    counted = deep.groupBy(*on, "_d", _unit(F.col("x"), "x", F.col("_d")).alias("_cx"), _unit(F.col("y"), "y", F.col("_d")).alias("_cy")).agg(F.count("*").alias("_n"))
+    splits = cut_lineage(counted.filter((F.col("_n") > limit) & (F.col("_d") < DEPTH)).drop("_n"))
+    return Cells(on, large, splits, splits.agg(F.coalesce(F.max("_d"), F.lit(0)).alias("d")).first()["d"])
+
+
+def _both(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    keep = [*on, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]]
+    return left.select(*keep) if left is right else left.select(*keep).unionByName(right.select(*keep))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("image_id",), cell: int = CELL, extra=None, cells: Cells | None = None, fitted: bool = False) -> DataFrame:
     """Pairs of overlapping boxes with equal `on`, as columns of aliases `a` and `b`.
 
-    Boxes meet in grid cells, so only neighbours are compared; a pair comes out once, in
-    the cell of the upper left corner of its intersection. AQE splits a crowded cell.
+    Images of up to `cell` boxes are joined as a whole; larger ones meet in the leaves of a
+    quadtree that is fitted to them (`cells`, where it is `fitted` before). A pair comes out
+    once, in the leaf of the upper left corner of its intersection.
     """
-    a, b = _cells(left, cell).alias("a"), _cells(right, cell).alias("b")
-    same = (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
+    if not fitted:
+        cells = fit_cells(_both(left, right, on), on, cell)
+    a, b = (df if cells is None else cells.place(df) for df in (left, right))
+    a, b = a.alias("a"), b.alias("b")
+    cond = overlaps("a", "b")
     for key in on:
-        same = same & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    home = (F.floor(F.greatest("a.x", "b.x") / cell) == F.col("a._cx")) & (F.floor(F.greatest("a.y", "b.y") / cell) == F.col("a._cy"))
-    cond = same & overlaps("a", "b") & home
+        cond = cond & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    if cells is not None:
+        for key in ("_d", "_cx", "_cy"):
+            cond = cond & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+        home = [_unit(F.greatest(f"a.{c}", f"b.{c}"), c, F.col("a._d"), "a.") == F.col(f"a._c{c}") for c in "xy"]
+        cond = cond & (F.col("a._extent").isNull() | (home[0] & home[1]))
     return a.join(b, cond if extra is None else cond & extra)
 
 
@@ -56,9 +125,15 @@ def overlapping_boxes(boxes: DataFrame, order: str = "ann_id", cell: int = CELL)
 def boxes_clear_of(cands: DataFrame, boxes: DataFrame, id_cols: Sequence[str], cell: int = CELL) -> DataFrame:
     """Candidates that hit no box of their image."""
     distinct = boxes.select("image_id", "x", "y", "w", "h").distinct()
-    a, b = _cells(cands, cell).alias("a"), _cells(distinct, cell).alias("b")
-    same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
-    hit = a.join(b, same & overlaps("a", "b"), "left_semi").select(*id_cols).distinct()
+    cells = fit_cells(_both(cands, distinct, ["image_id"]), limit=cell)
+    if cells is None:
+        near = F.col("a.image_id") == F.col("b.image_id")
+        return cands.alias("a").join(distinct.alias("b"), near & overlaps("a", "b"), "left_anti")
+    a, b = cells.place(cands).alias("a"), cells.place(distinct).alias("b")
+    same = overlaps("a", "b")
+    for key in ("image_id", "_d", "_cx", "_cy"):
+        same = same & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    hit = a.join(b, same, "left_semi").select(*id_cols).distinct()
     return cands.join(hit, list(id_cols), "left_anti")
 
 
@@ -171,13 +246,13 @@ def merge_closure(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     cornered = _corners(boxes)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cornered.schema.fields)
     ship_package(boxes.sparkSession)
-    active = cornered.distinct().mapInPandas(_premerge, schema).distinct()
-    done = None
+    active = cut_lineage(cornered.distinct().mapInPandas(_premerge, schema).distinct())
+    cells, done = fit_cells(_as_boxes(active), limit=cell), None
     while True:
         rows = _as_boxes(active)
         key = ["image_id", "x", "y", "w", "h"]
         ends = lambda n, s: (F.col(f"b.{n}") + F.col(f"b.{s}"))
-        met = overlap_join(rows, rows, cell=cell).select(
+        met = overlap_join(rows, rows, cells=cells, fitted=True).select(
             *[F.col(f"a.{c}").alias(c) for c in key], F.col("b.x").alias("x1"), F.col("b.y").alias("y1"), ends("x", "w").alias("x2"), ends("y", "h").alias("y2")
         )
         alone = rows.select(*key, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))

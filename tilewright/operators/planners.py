@@ -66,16 +66,17 @@ def plan_negative_crops(boxes: DataFrame, images: DataFrame, seed: int, ratio: i
 
     The largest square at a point needs no search: a box that reaches right of and below
     the point limits it to the larger of the two distances. Only boxes overlapping the
-    largest allowed square can matter, so points and boxes meet in grid cells.
+    largest allowed square can matter, so points and boxes meet in the cells of the boxes.
     `attempts` points are tried per wanted square, in rounds of 2, 4, 8, ... points; only
     images that are still short of squares take part in the next round.
     """
     missing = cut_lineage(boxes.groupBy("image_id").agg((F.count("*") * ratio).alias("wanted")).join(_sizes(images), "image_id").withColumn("have", F.lit(0).cast("bigint")))
     distinct = boxes.select("image_id", "x", "y", "w", "h").distinct()
+    cells = ob.fit_cells(distinct)
     found, begin, size = None, 0, 2
     while begin < attempts:
         end = min(attempts, begin + size)
-        good = cut_lineage(_free_squares(missing, distinct, seed, max_size, begin, end))
+        good = cut_lineage(_free_squares(missing, distinct, cells, seed, max_size, begin, end))
         found = good if found is None else found.unionByName(good)
         counted = good.groupBy("image_id").agg(F.max("n").alias("_have"))
         missing = cut_lineage(missing.join(counted, "image_id", "left").withColumn("have", F.coalesce("_have", "have")).drop("_have").filter("have < wanted"))
@@ -85,7 +86,7 @@ def plan_negative_crops(boxes: DataFrame, images: DataFrame, seed: int, ratio: i
     return found
 
 
-def _free_squares(missing: DataFrame, boxes: DataFrame, seed: int, max_size: int, begin: int, end: int) -> DataFrame:
+def _free_squares(missing: DataFrame, boxes: DataFrame, cells: ob.Cells | None, seed: int, max_size: int, begin: int, end: int) -> DataFrame:
     """Squares at the draws begin * wanted + 1 .. end * wanted of each image, numbered on from those it has."""
     draws = F.sequence(F.col("wanted") * begin + 1, F.col("wanted") * end)
     points = missing.withColumn("draw", F.explode(draws)).select(
@@ -96,7 +97,7 @@ def _free_squares(missing: DataFrame, boxes: DataFrame, seed: int, max_size: int
     )
     room = F.least(F.lit(max_size), F.col("iw") - F.col("x"), F.col("ih") - F.col("y")).cast("bigint")
     squares = points.select("image_id", "draw", "wanted", "have", "x", "y", room.alias("w"), room.alias("h"))
-    pairs = ob.overlap_join(squares, boxes, cell=256)
+    pairs = ob.overlap_join(squares, boxes, cells=cells, fitted=True)
     limit = F.greatest(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
     limits = pairs.groupBy(F.col("a.image_id").alias("image_id"), F.col("a.draw").alias("draw")).agg(F.min(limit).alias("_limit"))
     sized = squares.join(limits, ["image_id", "draw"], "left").withColumn("size", F.least("w", F.col("_limit"))).filter("size > 0")
