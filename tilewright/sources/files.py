@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: picture suffixes accepted by listings
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png"]
+PIXELS = 1 << 16  # pixel rows that leave a task at once
 
 
 def path_parts(df: DataFrame, path: str = "path") -> DataFrame:
@@ -47,18 +50,33 @@ def read_images(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def explode_pixels(images: DataFrame, id_col: str = "stem", names: Sequence[str] = ("b", "g", "r")) -> DataFrame:
-    """One row per pixel with its channel values."""
-    pos, ch = F.col("_pos"), F.col("channels")
-
-    def channel(i: int):
-        byte = F.substring("data", (pos * ch + i + 1).cast("int"), F.lit(1))
-        return F.when(F.lit(i) < ch, F.conv(F.hex(byte), 16, 10).cast("int"))
-
-    rows = images.withColumn("_pos", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)))
-    return rows.select(
-        F.col(id_col).alias("image_id"), F.floor(pos / F.col("w")).alias("y"), (pos % F.col("w")).cast("bigint").alias("x"),
-        *[channel(i).alias(n) for i, n in enumerate(names)],
-    )
+    """One row per pixel with its channel values (w, h, channels, data as `read_images` gives them).
+
+    A picture's bytes are viewed as an array and leave the task in slices of PIXELS rows; a
+    channel that the picture does not have, and bytes that are missing at its end, are null.
+    """
+    kind = images.schema[id_col].dataType.simpleString()
+    schema = f"image_id {kind}, y bigint, x bigint, " + ", ".join(f"`{n}` int" for n in names)
+
+    def run(batches):
+        for batch in batches:
+            sizes = [batch.column(c).to_pylist() for c in range(1, 4)]
+            for at, (w, h, channels) in enumerate(zip(*sizes)):
+                if not w or not h or w < 0 or h < 0:
+                    continue
+                data = batch.column(4)[at]
+                flat = np.frombuffer(data.as_buffer(), np.uint8) if data.is_valid else np.zeros(0, np.uint8)
+                for lo in range(0, w * h, PIXELS):
+                    pos = np.arange(lo, min(w * h, lo + PIXELS))
+                    values = []
+                    for i in range(len(names)):
+                        place = pos * channels + i
+                        known = (place < len(flat)) & (i < channels)
+                        values.append(pa.array(flat[place[known]].astype(np.int32)) if known.all() else pa.array(np.append(flat, np.uint8(0))[np.where(known, place, -1)].astype(np.int32), mask=~known))
+                    image = batch.column(0).take(pa.array(np.full(len(pos), at)))
+                    yield pa.RecordBatch.from_arrays([image, pa.array(pos // w), pa.array(pos % w), *values], ["image_id", "y", "x", *names])
+
+    return images.select(F.col(id_col), F.col("w").cast("bigint"), F.col("h").cast("bigint"), F.col("channels").cast("bigint"), "data").mapInArrow(run, schema)
 
 
 def write_split_dataset(rows: DataFrame, directory: str, dry_run: bool = False) -> DataFrame:
