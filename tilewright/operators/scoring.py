@@ -11,10 +11,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.hashing import digest
 from tilewright.operators.boxes import per_key
+from tilewright.operators.clusters import best_centers
 from tilewright.operators.sequences import overlap_average, pad_sequences, sequence_lengths, sliding_windows
-from tilewright.session import cut_lineage, ship_package
+from tilewright.session import ship_package
 
 _MODELS: dict = {}
 
@@ -95,47 +95,19 @@ def spatial_features(pixels: DataFrame, images: DataFrame, weight: float = 0.5,
 def kmeans_rows(rows: DataFrame, features: Sequence[str], k: int, seed: int = 1, iterations: int = 20, starts: int = 10, tolerance: float = 1e-6) -> DataFrame:
     """K-means of each image's rows; adds `cluster` and `cost` (squared distance to its centre).
 
-    All starts of all images take Lloyd's steps together: a step joins the centres of each
-    image and averages by (image, start, cluster), combined before the shuffle. The first
-    centre of a start is a seeded hash pick, each further one the row farthest from the
-    centres so far. Steps end after `iterations`, or when no centre moves by more than
-    `tolerance` (squared distance); the start of least total cost is kept for each image.
+    Equal rows are one weighted point. The first centre of a start is a seeded hash pick,
+    each further one the point farthest from the centres so far. Lloyd's steps end after
+    `iterations`, or when no centre moves by more than `tolerance` (squared distance); the
+    start of least total cost is kept for each image. Rows are read to gather the points and
+    to place each row at its nearest centre; the steps run over the points, for images of
+    usual size within one task.
     """
     features = list(features)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    point = F.array(*[F.col(f).cast("double") for f in features])
-    picks = [F.min_by(point, F.struct(digest(f"{seed}:{s}", "image_id", *features), point)) for s in range(starts)]
-    first = rows.groupBy("image_id").agg(F.array_distinct(F.array(*picks)).alias("p"))  # equal first centres are one start
-    centers = cut_lineage(first.select("image_id", F.posexplode("p").alias("_start", "_p")).select("image_id", "_start", F.array("_p").alias("_centers")))
-
-    def nearest(df: DataFrame, centers: DataFrame) -> DataFrame:
-        joined = df.join(centers, "image_id")
-        distance = lambda c: reduce(lambda a, b: a + b, [(F.col(f) - c[i]) * (F.col(f) - c[i]) for i, f in enumerate(features)])
-        costs = F.transform("_centers", lambda c, i: F.struct(distance(c).alias("cost"), i.alias("i")))
-        return joined.withColumn("_best", F.array_min(costs)).withColumn("cluster", F.col("_best.i"))
-
-    for _ in range(k - 1):
-        far = nearest(rows, centers).groupBy("image_id", "_start").agg(F.max(F.struct(F.col("_best.cost"), point.alias("p"))).alias("f"))
-        more = F.when(F.col("f.cost") > 0, F.concat("_centers", F.array("f.p"))).otherwise(F.col("_centers"))
-        centers = cut_lineage(centers.join(far, ["image_id", "_start"]).select("image_id", "_start", more.alias("_centers")))
-    for _ in range(iterations):
-        moved = nearest(rows, centers).groupBy("image_id", "_start", "cluster").agg(*[F.avg(f).alias(f) for f in features])
-        fresh = moved.withColumn("_n", F.array(*[F.col(f).cast("double") for f in features])).groupBy("image_id", "_start").agg(
-            F.map_from_entries(F.collect_list(F.struct("cluster", "_n"))).alias("_m")
-        )
-        kept = centers.join(fresh, ["image_id", "_start"]).select(
-            "image_id", "_start", F.transform("_centers", lambda c, i: F.coalesce(F.try_element_at("_m", i), c)).alias("_centers"), F.col("_centers").alias("_old")
-        )
-        kept = cut_lineage(kept)
-        centers = kept.drop("_old")
-        step = F.zip_with("_centers", "_old", lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, x: s + x))
-        if kept.filter(F.array_max(step) > tolerance).isEmpty():
-            break
-    total = nearest(rows, centers).groupBy("image_id", "_start").agg(F.sum("_best.cost").alias("_total"))
-    best = total.groupBy("image_id").agg(F.min_by("_start", F.struct(F.round("_total", 9), "_start")).alias("_start"))
-    centers = cut_lineage(centers.join(best, ["image_id", "_start"], "left_semi"))
-    rows.unpersist()
-    return nearest(rows, centers).withColumn("cost", F.col("_best.cost")).drop("_start", "_centers", "_best")
+    centers = best_centers(rows, features, k, seed, iterations, starts, tolerance)
+    joined = rows.join(centers, "image_id")
+    distance = lambda c: reduce(lambda a, b: a + b, [(F.col(f) - F.get(c, F.lit(i))) * (F.col(f) - F.get(c, F.lit(i))) for i, f in enumerate(features)])
+    costs = F.transform("_centers", lambda c, i: F.struct(distance(c).alias("cost"), i.alias("i")))
+    return joined.withColumn("_best", F.array_min(costs)).withColumn("cluster", F.col("_best.i")).withColumn("cost", F.col("_best.cost")).drop("_centers", "_best")
 
 
 def background_segment(pixels: DataFrame, features: Sequence[str], k: int = 3, seed: int = 1, iterations: int = 20, starts: int = 10) -> DataFrame:
