@@ -11,6 +11,7 @@ from tilewright.operators.state import tile_stats
 from tilewright.plans.registry import query
 from tilewright.session import shared_dir
 from tilewright.sources import runs as sr
+from tilewright.sources.named_files import write_named_files
 
 KEYS = ["model", "tile", "n"]
 
@@ -38,8 +39,10 @@ def parse_run_log(v):
     row = F.concat(F.lit("["), e % 10, F.lit(", "), "train_loss", F.lit(", "), "valid_loss", F.lit(", '"), F.format_string("00:%02d", e % 60), F.lit("']"))
     end = F.when(e % 10 == 9, F.concat(F.lit("=== "), F.when(F.col("run_id") % 2 == 0, "SUCCESS").otherwise("FAILED"), F.lit(" | attempt_time: 1:00:"), F.format_string("%02d.500000", e % 60), F.lit(" ===")))
     lines = v.runs.select("run_id", "epoch", F.posexplode(F.array(start, F.lit("some other output"), row, end)).alias("k", "line")).filter("line is not null")
-    rows = lines.select(F.col("run_id").alias("run"), (e * 4 + F.col("k")).alias("pos"), "line")
-    return rn.parse_log_lines(rows).select("run", "attempt", "kind", "epoch", F.round("valid_loss", 9).alias("valid_loss"), "outcome", "seconds")
+    folder = shared_dir(v.spark, "logs")
+    named = lines.select(F.concat(F.lit("logs/"), "run_id").alias("path"), (e * 4 + F.col("k")).alias("pos"), F.concat("line", F.lit("\n")).alias("content"))
+    write_named_files(named, folder, "pos")
+    return sr.parse_run_log(v.spark, folder).select(F.col("run").cast("bigint").alias("run"), "attempt", "kind", "epoch", F.round("valid_loss", 9).alias("valid_loss"), "outcome", "seconds")
 
 
 @query("params_table", "select run_id, 'model' as key, model as value from v_params union all select run_id, 'tile', tile from v_params union all select run_id, 'n', n from v_params")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.sources.named_files import write_named_files
+
 # fixed values: picture suffixes accepted by listings
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png"]
 PIXELS = 1 << 16  # pixel rows that leave a task at once
@@ -92,3 +94,9 @@ def write_split_dataset(rows: DataFrame, directory: str, dry_run: bool = False)
 def write_metadata_json(images: DataFrame) -> DataFrame:
     """One JSON text per image, all columns but the key inside."""
     return images.select("image_id", F.to_json(F.struct(*images.columns)).alias("json"))
+
+
+def write_metadata_files(images: DataFrame, directory: str) -> None:
+    """One file `image_id`.json per image with all its columns; times keep their microseconds."""
+    text = F.to_json(F.struct(*images.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    write_named_files(images.select(F.concat(F.col("image_id").cast("string"), F.lit(".json")).alias("path"), text.alias("content")), directory)
