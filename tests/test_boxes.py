@@ -238,3 +238,29 @@ def test_clear_of_boxes_at_any_cell_size(spark, images, scale):
     for cell in (1, 30, 10_000):
         free = ob.boxes_clear_of(scaled(cands), scaled(make(spark, images)), ["image_id", "ann_id"], cell=cell)
         assert {(r["image_id"], round(r["x"] / scale), round(r["y"] / scale)) for r in free.collect()} == want
+
+
+def test_a_long_staircase_takes_few_rounds(spark, monkeypatch):
+    """300 boxes in a chain across cells, far above the limit of a task: one growth, not one round a step."""
+    monkeypatch.setattr(ob, "CELL", 16)
+    stairs = [(10 * k, 7 * k, 10 * k + 12, 7 * k + 9) for k in range(300)]
+    loose = [(3500 + 20 * k, 0, 3505 + 20 * k, 9) for k in range(5)]
+    draw = random.Random(1)
+    boxes = stairs + loose + [(5, 5, 5, 5)]
+    draw.shuffle(boxes)
+    calls = []
+    monkeypatch.setattr(ob, "cut_lineage", lambda df, cut=ob.cut_lineage: calls.append(1) or cut(df))
+    assert result(ob.merge_greedy(make(spark, {0: boxes}), group_rows=50)) == {0: brute_greedy(boxes)}
+    assert len(calls) < 40
+
+
+def test_least_reachable(spark):
+    from tilewright.operators.graphs import least_reachable
+
+    draw = random.Random(6)
+    chain = list(range(1000, 1200))
+    draw.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(5, 5), (7, 8), (8, 9), (9, 7)] + [(50, k) for k in range(51, 80)]
+    got = {r["node"]: r["root"] for r in least_reachable(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{k: 1000 for k in chain}, 5: 5, **dict.fromkeys((7, 8, 9), 7), **{k: 50 for k in range(50, 80)}}
+    assert least_reachable(spark.createDataFrame([], "a bigint, b bigint")).collect() == []

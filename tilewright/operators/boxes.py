@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.boxes import overlaps
+from tilewright.operators.graphs import least_reachable
 from tilewright.session import cut_lineage, ship_package
 
 CELL = 256  # boxes that meet in one cell before it is cut
@@ -325,21 +326,60 @@ def _merge_large(rows: DataFrame, order: str, group_rows: int, schema: str) -> D
     return out.unionByName(_grow_by_joins(rest, group, order)) if big.take(1) else out
 
 
+def _clusters_of_cell(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+    """For each box of a cell the least box number that it is connected to by overlaps inside the cell."""
+    corners, out = rows[CORNERS].to_numpy(), rows["_box"].to_numpy().copy()
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        free = np.arange(lo, hi)
+        while len(free):
+            todo, mine = [free[0]], [free[0]]
+            free = free[1:]
+            while todo and len(free):
+                c, own = corners[free], corners[todo.pop()]
+                hit = (c[:, 0] < own[2]) & (own[0] < c[:, 2]) & (c[:, 1] < own[3]) & (own[1] < c[:, 3])
+                todo.extend(free[hit])
+                mine.extend(free[hit])
+                free = free[~hit]
+            out[mine] = out[mine].min()
+    return pd.DataFrame({"_box": rows["_box"].to_numpy(), "_least": out})
+
+
+def _with_clusters(boxes: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """`boxes` with the extent (_cx1 .. _cy2) of all boxes of their group that chains of overlaps connect them to.
+
+    Cells of the fitted quadtree are connected inside tasks; boxes that lie in several cells
+    stitch these together, in a number of rounds that grows with the logarithm of a chain.
+    """
+    numbered = cut_lineage(boxes.withColumn("_box", F.xxhash64(*group, order, *CORNERS)))
+    squares = numbered.select(*group, "_box", *CORNERS, F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    cells = fit_cells(squares, group)
+    placed = squares.withColumns({"_d": F.lit(0), "_cx": F.lit(0), "_cy": F.lit(0)}) if cells is None else cells.place(squares)
+    keys = [*group, "_d", "_cx", "_cy"]
+    inside = per_key(placed.select(*keys, "_box", *CORNERS), keys, ["_box"], _clusters_of_cell, "_box bigint, _least bigint")
+    roots = least_reachable(inside.select(F.col("_box").alias("a"), F.col("_least").alias("b")))
+    rooted = cut_lineage(numbered.join(roots, F.col("_box") == F.col("node")).drop("node", "_box"))
+    extent = rooted.groupBy("root").agg(F.min("x1").alias("_cx1"), F.min("y1").alias("_cy1"), F.max("x2").alias("_cx2"), F.max("y2").alias("_cy2"))
+    return rooted.join(extent, "root").drop("root")
+
+
 def _grow_by_joins(free: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Greedy growth of all given groups side by side, one aggregate per growth step."""
+    """Greedy growth of all given groups side by side, one aggregate per growth step.
+
+    Whoever takes a box takes all that chains of overlaps connect it to, so a step grows to
+    the extent of these at once.
+    """
     group = list(group)
-    free = cut_lineage(free)
+    free = cut_lineage(_with_clusters(free, group, order))
     done = None
     at = F.struct(order, *CORNERS)
+    reach = [F.min("_cx1").alias("x1"), F.min("_cy1").alias("y1"), F.max("_cx2").alias("x2"), F.max("_cy2").alias("y2")]
     current = free.groupBy(*group).agg(F.min(at).alias("s")).select(*group, *[F.col(f"s.{n}").alias(f"_{n}") for n in (order, *CORNERS)])
     current = cut_lineage(current)
     hit = (F.col("x1") < F.col("_x2")) & (F.col("_x1") < F.col("x2")) & (F.col("y1") < F.col("_y2")) & (F.col("_y1") < F.col("y2"))
     while current.take(1):
         joined = free.join(current, group)
         own = F.col(order) == F.col(f"_{order}")  # the box it started from, also where that has no area
-        grown = joined.filter(hit | own).groupBy(*group, f"_{order}", *[f"_{n}" for n in CORNERS]).agg(
-            F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
-        )
+        grown = joined.filter(hit | own).groupBy(*group, f"_{order}", *[f"_{n}" for n in CORNERS]).agg(*reach)
         pick = [F.least(F.col(n), F.col(f"_{n}")) if n in ("x1", "y1") else F.greatest(F.col(n), F.col(f"_{n}")) for n in CORNERS]
         grown = grown.select(*group, f"_{order}", *[e.alias(f"_{n}") for n, e in zip(CORNERS, pick)],
                              (~F.array(*pick).eqNullSafe(F.array(*[F.col(f"_{n}") for n in CORNERS]))).alias("_m"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tilewright.operators.datasets import name_classes
 from tilewright.operators.ordered import collect_parts
+from tilewright.sources.json_arrays import json_elements
 
 COCO_SCHEMA = (
     "images array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>,"
@@ -22,20 +24,34 @@ EXPORT_SCHEMA = EXPORT_SCHEMA.replace("result array", "result:array")
 
 
 def read_coco(spark: SparkSession, path: str, multiline: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, annotations, categories. A large set is read from many shard files or JSON lines."""
-    doc = spark.read.schema(COCO_SCHEMA).json(path, multiLine=multiline)
-    images = doc.select(F.inline("images"))
+    """Images, annotations, categories of COCO documents of any size, or of JSON lines without `multiline`.
+
+    A large document is split over tasks and parsed once, element by element.
+    """
+    if multiline:
+        found = json_elements(spark, path, 2)
+        types = {f.name: f.dataType.elementType for f in StructType.fromDDL(COCO_SCHEMA).fields}
+        part = lambda name: found.filter(F.col("section") == name).select(F.from_json("text", types[name]).alias("e")).select("e.*")
+    else:
+        doc = spark.read.schema(COCO_SCHEMA).json(path)
+        part = lambda name: doc.select(F.inline(name))
     box = F.col("bbox")
-    annotations = doc.select(F.inline("annotations")).select(
+    annotations = part("annotations").select(
         "id", "image_id", "category_id", "bbox", "segmentation",
         *[F.try_element_at(box, F.lit(i + 1)).alias(n) for i, n in enumerate("xywh")],
     )
-    return images, annotations, doc.select(F.inline("categories")).distinct()
+    return part("images"), annotations, part("categories").distinct()
 
 
 def read_label_export(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """One row per region; tasks and annotations without regions keep a row with null region columns."""
-    tasks = spark.read.schema(EXPORT_SCHEMA).json(path, multiLine=multiline)
+    """One row per region; tasks and annotations without regions keep a row with null region columns.
+
+    An export is one array of tasks of any size, split over tasks, or JSON lines without `multiline`.
+    """
+    if multiline:
+        tasks = json_elements(spark, path, 1).filter("section = ''").select(F.from_json("text", EXPORT_SCHEMA).alias("e")).select("e.*")
+    else:
+        tasks = spark.read.schema(EXPORT_SCHEMA).json(path)
     anns = tasks.select(F.col("id").alias("task_id"), "data", F.posexplode_outer("annotations").alias("annotation_index", "a"))
     flat = anns.select(
         "task_id", "data", "annotation_index", "a.completed_by", "a.updated_by", "a.was_cancelled",
