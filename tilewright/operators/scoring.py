@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.boxes import per_key
 from tilewright.operators.clusters import best_centers
+from tilewright.operators.ordered import number_rows
 from tilewright.operators.sequences import overlap_average, pad_sequences, sequence_lengths, sliding_windows
-from tilewright.session import ship_package
+from tilewright.session import cut_lineage, ship_package
 
 _MODELS: dict = {}
 
@@ -131,37 +132,77 @@ def kmeans_table(rows: DataFrame, features: Sequence[str], k: int, seed: int = 1
 # ---- texts ---------------------------------------------------------------
 
 
-def text_classifier(train: DataFrame, test: DataFrame, c: float = 10.0, max_ngram: int = 3, features: int = 1 << 18, max_iter: int = 50):
+WORD = r"(?U)\w+"  # two word characters or more up to a border, or one: every run of them
+
+
+def grams_of(rows: DataFrame, max_ngram: int, to: str) -> DataFrame:
+    """`rows` with the runs of 1 to `max_ngram` words of their text."""
+    words = rows.withColumn("_w", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0))
+    runs = lambda n: F.transform("_w", lambda _, i: F.when(i + n <= F.size("_w"), F.array_join(F.slice("_w", i + 1, n), " ")))
+    return words.withColumn(to, F.array_compact(F.concat(*[runs(n) for n in range(1, max_ngram + 1)]))).drop("_w")
+
+
+def gram_counts(rows: DataFrame, key: str, max_ngram: int) -> DataFrame:
+    """(key, gram, tf): how often each row of (key, text) has each gram."""
+    return grams_of(rows.select(key, "text"), max_ngram, "_g").select(key, F.explode("_g").alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+
+
+def gram_dictionary(counts: DataFrame, n_rows: int) -> DataFrame:
+    """(gram, at, idf): every gram of the training rows with its place in alphabetical order and its smoothed weight."""
+    seen = counts.groupBy("gram").agg(F.count("*").alias("df"))
+    placed = number_rows(seen, [], ["gram"], "_rn")
+    return cut_lineage(placed.select("gram", (F.col("_rn") - 1).cast("int").alias("at"), (F.log((F.lit(1.0) + n_rows) / (F.col("df") + 1)) + 1).alias("idf")))
+
+
+def gram_vectors(rows: DataFrame, counts: DataFrame, dictionary: DataFrame, size: int, key: str) -> DataFrame:
+    """`rows` with `_x`: the sparse unit vector of tf * idf; a row without known grams has the zero vector."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    weighted = counts.join(dictionary, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", (F.col("tf") * F.col("idf")).alias("w")))).alias("_l"))
+    norm = F.sqrt(F.aggregate("_l.w", F.lit(0.0), lambda s, w: s + w * w))
+    unit = weighted.select(F.col(key).alias("_key"), F.col("_l.at").alias("_at"), F.transform("_l.w", lambda w: w / norm).alias("_v"))
+    # only the packing of finished arrays into Spark's vector type is Python
+    pack = F.udf(lambda at, v: Vectors.sparse(size, at or [], v or []), VectorUDT())
+    return rows.join(unit, rows[key] == unit["_key"], "left").withColumn("_x", pack("_at", "_v")).drop("_key", "_at", "_v")
+
+
+def text_classifier(train: DataFrame, test: DataFrame, c: float = 10.0, max_ngram: int = 3, features: int | None = None, max_iter: int = 50):
     """TF-IDF of word 1..3-grams and logistic regression; returns predictions and the model.
 
     `train` has text, label; `test` has text. Without training rows, pass the label names
-    themselves as texts (cold start). Grams are hashed, so no vocabulary passes the driver; grams unseen in training weigh nothing.
+    themselves as texts (cold start). Each gram of the training texts is a feature of its
+    own: grams meet their dictionary in a join, so no vocabulary passes the driver and none
+    share a weight; the fitted coefficients are one number for each gram and class. For
+    vocabularies too large for that, `features` hashes grams into so many places. Grams
+    unseen in training weigh nothing. Coefficients (not the intercept) are held small by
+    1 / (2 c), on features as they are.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
-
-    stages = [RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True)]
-    grams = ["_w"]
-    for n in range(2, max_ngram + 1):
-        stages.append(NGram(n=n, inputCol="_w", outputCol=f"_g{n}"))
-        grams.append(f"_g{n}")
-    stages.append(SQLTransformer(statement=f"select *, concat({', '.join(grams)}) as _grams from __THIS__"))
-    stages.append(HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features))
-    vectors = Pipeline(stages=stages).fit(train)
-    indexer = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
-    counted = indexer.transform(vectors.transform(train)).select("_tf", "_y").persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = max(1, counted.count())
-    learn = Pipeline(stages=[
-        IDF(inputCol="_tf", outputCol="_idf", minDocFreq=1), Normalizer(inputCol="_idf", outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_k", regParam=1.0 / (c * n_rows), maxIter=max_iter),
-        IndexToString(inputCol="_k", outputCol="prediction", labels=indexer.labels),
-    ])
-    fitted = learn.fit(counted)
-    counted.unpersist()
+    from pyspark.ml.feature import HashingTF, IDF, IndexToString, Normalizer, StringIndexer
     from pyspark.ml.functions import vector_to_array
 
-    scored = fitted.transform(vectors.transform(test)).withColumn("score", F.array_max(vector_to_array("_p")))
+    if features is None:
+        rows = cut_lineage(train.select("text", "label").withColumn("_row", F.monotonically_increasing_id()))
+        asked = cut_lineage(test.withColumn("_row", F.monotonically_increasing_id()))
+        n_rows = max(1, rows.count())
+        counts = cut_lineage(gram_counts(rows, "_row", max_ngram))
+        vectors = gram_dictionary(counts, n_rows)
+        size = vectors.count()
+        known = gram_vectors(rows, counts, vectors, size, "_row")
+        found = gram_vectors(asked, gram_counts(asked, "_row", max_ngram), vectors, size, "_row")
+    else:
+        rows = train.select("text", "label")
+        hashed = HashingTF(inputCol="_g", outputCol="_tf", numFeatures=features)
+        counted = cut_lineage(hashed.transform(grams_of(rows, max_ngram, "_g")).drop("_g", "text"))
+        n_rows = max(1, counted.count())
+        vectors = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
+        unit = Normalizer(inputCol="_idf", outputCol="_x")
+        known, found = (unit.transform(vectors.transform(d)).drop("_g", "_tf", "_idf") for d in (counted, hashed.transform(grams_of(test, max_ngram, "_g"))))
+    indexer = StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc").fit(known)
+    learn = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_k", regParam=1.0 / (c * n_rows), maxIter=max_iter, tol=1e-8, standardization=False)
+    kept = indexer.transform(known).select("_x", "_y").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = learn.fit(kept)
+    kept.unpersist()
+    named = IndexToString(inputCol="_k", outputCol="prediction", labels=indexer.labels)
+    scored = named.transform(fitted.transform(found)).withColumn("score", F.array_max(vector_to_array("_p")))
     return scored.select(*test.columns, "prediction", "score"), (vectors, fitted)
-
-

@@ -318,7 +318,7 @@ def text_classifier(v):
     label = F.when(F.col("quality") == 1, "good").otherwise("bad")
     rows = v.table("documents").join(v.table("labels"), "doc_id").select("doc_id", "text", label.alias("label"))
     test = rows.filter("doc_id % 5 = 0")  # held out
-    found = sc.text_classifier(rows.filter("doc_id % 5 <> 0"), test)[0]
+    found = sc.text_classifier(rows.filter("doc_id % 5 <> 0"), test, features=1 << 18)[0]  # long texts have millions of different grams
     right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
     major = F.greatest(F.avg((F.col("label") == "good").cast("double")), F.avg((F.col("label") == "bad").cast("double")))
     return found.agg(
