@@ -173,6 +173,14 @@ def test_repeated_runs(streams, share):
         ("<p>x<script>if (a<b) { '</p>' }</script>y<style>p{}</style><!-- c --></p>", ["xy"], False),
         ("<body class='has-sidebar'><main>m<form>f</form></main>", ["m"], True),
         ("a < b & c", ["a < b & c"], False),
+        ("<article><p>" + "İ" * 60 + "</p><script>x</script><p>after</p></article>", ["İ" * 60, "after"], True),
+        ('<p title="a <b>bold</b> c">Hello', ["Hello"], False),
+        ('<p title="never closed>one</p><p class="x">two</p>', ["one", "two"], False),
+        ("<div class='content has-sidebar'><p>all</p></div>", ["all"], False),
+        ("<div class='post-share-enabled'><p>story</p></div>", ["story"], False),
+        ("<div class='sidebar-page'><p>" + "text " * 120 + "</p><div class=sidebar>s</div></div><p>t</p>", [("text " * 120).strip(), "t"], False),
+        ("<div class=comments><p>" + "text " * 120 + "</p></div><p>t</p>", ["t"], False),
+        ("<div class=sidebar><p><a href=x>" + "text " * 120 + "</a></p></div><p>t</p>", ["t"], False),
     ],
 )
 def test_page_blocks(page, blocks, main):
@@ -184,6 +192,12 @@ def test_loose_pages_lose_what_the_host_repeats():
     assert html_text.keep_blocks(pages) == [[f"own text number {i} about topic {i * 7}"] for i in range(12)]
 
 
+def test_unique_words_beside_a_footer_stay():
+    footer = " ".join(f"footer{k}" for k in range(15))
+    pages = [html_text.page_blocks(f"<p>{footer} only{i} a{i} b{i} c{i} d{i}</p><p>more{i} own{i} text{i}</p>") for i in range(12)]
+    assert html_text.keep_blocks(pages) == [[f"only{i} a{i} b{i} c{i} d{i}", f"more{i} own{i} text{i}"] for i in range(12)]
+
+
 @pytest.mark.parametrize(
     ("text", "labels"),
     [

@@ -245,6 +245,17 @@ def test_pages_of_one_host_in_small_groups(spark):
     assert {r["page_id"]: r["text"] for r in out} == {i: f"a{i} b{i * i} c{i + 7} only d{i}" for i in range(90)}
 
 
+def test_a_notice_on_an_eighth_of_a_large_host_goes(spark):
+    notice = " ".join(f"notice{k}" for k in range(17))
+    own = lambda i: " ".join(f"e{i}w{k}" for k in range(20))
+    rows = [(i, "http://one.host/x", f"<p>a{i} b{i * i} c{i + 7} only d{i} {own(i)}</p>" + (f"<p>{notice}</p>" if i % 8 == 0 else "")) for i in range(2000)]
+    rows += [(9999, "http://one.host/x", f"<p>{notice} and five words of its own</p>")] * 700
+    out = extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(out) == 2700
+    assert {r["page_id"]: r["text"] for r in out if r["page_id"] != 9999} == {i: f"a{i} b{i * i} c{i + 7} only d{i} {own(i)}" for i in range(2000)}
+    assert {r["text"] for r in out if r["page_id"] == 9999} == {"and five words of its own"}
+
+
 def url_by_hand(url):
     if url is None or "://" not in url:
         return "", ""
