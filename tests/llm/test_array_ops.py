@@ -208,6 +208,18 @@ def test_unique_words_beside_a_footer_stay():
         ("GNU Lesser Generel Public License", "lgpl"),
         ("redistribution and use in sorce and binary forms, with or wihout modification", "bsd"),
         ("the general public liked it and the license", ""),
+        ("SPDX-License-Identifier: Apache-2.0", "apache"),
+        ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"),
+        ("This is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl,gpl-family"),
+        ("This is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "gpl,gpl-family,lgpl"),  # the base rule finds its phrase in the LGPL too
+        ("GNU GPLv3", "gpl"),
+        ("released under BSD-3-Clause", "bsd"),
+        ("Eclipse Public License 2.0", "epl"),
+        ("SIL Open Font License", "ofl"),
+        ("Boost Software License", "bsl"),
+        ("CC BY 3.0", "cc-by"),
+        ("CC BY-NC-ND 2.5", "cc-by-nc-nd"),
+        ("Creative Commons Attribution-ShareAlike 3.0 Unported", "cc-by-sa"),
     ],
 )
 def test_notices(text, labels):
@@ -216,6 +228,22 @@ def test_notices(text, labels):
     assert row[5] == labels and (row[6] > 0) == bool(labels)
 
 
+def test_every_copy_of_a_notice_is_found():
+    draw, searcher = np.random.default_rng(5), licenses.Searcher([("x", "licensed under the open widget license")])
+    for _ in range(200):
+        said, want = [], []
+        for _ in range(int(draw.integers(1, 6))):
+            copy = list("licensed under the open widget license")
+            places = draw.choice([k for k in range(2, len(copy) - 2) if copy[k] != " "], int(draw.integers(0, 4)), replace=False)
+            for k in places:
+                copy[k] = "q"
+            want.append(len(places))
+            said.append("".join(copy))
+        line = " ".join(said) + "\n"
+        found = searcher.search(line, lambda p: 0, lambda p: len(line) - 1)
+        assert [m[3] for m in found] == want
+
+
 def test_notices_stay_inside_a_text():
     _, _, data, offsets = slices(["all rights", "reserved", "mit", "license"])[0]
     assert [r[5] for r in licenses.scan(data, offsets, licenses.Searcher())] == [""] * 4

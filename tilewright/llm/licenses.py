@@ -15,39 +15,78 @@ from tilewright.llm.textops import LOWER, SpanHash, byte_slices, id_and_text, re
 # Phrases of the base rule.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Short notices, as words joined by blanks, with the label of their license.
+# Short notices, as words joined by blanks, with the label of their license. Names of a license that is
+# a part of another's name (the first words of the GPL's own notice stand in the LGPL's too) have a label of their own.
 NOTICES = [
     ("mit", "licensed under the mit license"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "licensed under apache 2 0"),
     ("gpl", "licensed under the gnu general public license"),
     ("gpl", "under the terms of the gnu general public license"),
     ("gpl", "licensed under the gnu general public license version 2"),
     ("gpl", "licensed under the gnu general public license version 3"),
+    ("gpl", "gnu gpl"),
+    ("gpl", "gnu gplv2"),
+    ("gpl", "gnu gplv3"),
+    ("gpl-family", "free software you can redistribute it and or modify it"),
     ("lgpl", "gnu lesser general public license"),
+    ("lgpl", "gnu library general public license"),
+    ("lgpl", "gnu lgpl"),
     ("agpl", "gnu affero general public license"),
+    ("agpl", "gnu agpl"),
     ("bsd", "licensed under the bsd license"),
+    ("bsd", "released under the bsd license"),
+    ("bsd", "licensed under bsd 3 clause"),
+    ("bsd", "released under bsd 3 clause"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
+    ("bsd", "3 clause bsd license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification"),
+    ("mpl", "mozilla public license"),
     ("mpl", "mozilla public license version 2 0"),
+    ("epl", "eclipse public license"),
+    ("eupl", "european union public licence"),
+    ("cddl", "common development and distribution license"),
+    ("ms-pl", "microsoft public license"),
+    ("ofl", "sil open font license"),
+    ("bsl", "boost software license"),
+    ("artistic", "the artistic license 2 0"),
+    ("zlib", "licensed under the zlib license"),
+    ("postgresql", "the postgresql license"),
+    ("python", "python software foundation license"),
+    ("isc", "licensed under the isc license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc0", "dedicated to the public domain under cc0 1 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nd", "licensed under cc by nd 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
-    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc0", "creative commons zero"),
     ("cc-by", "creative commons attribution 4 0 international"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international"),
     ("cc-by-nd", "creative commons attribution noderivatives 4 0 international"),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international"),
+    ("cc-by", "creative commons attribution 3 0 unported"),
+    ("cc-by-nc", "creative commons attribution noncommercial 3 0 unported"),
+    ("cc-by-nd", "creative commons attribution noderivs 3 0 unported"),
+    ("cc-by-sa", "creative commons attribution sharealike 3 0 unported"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivs 3 0 unported"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 3 0 unported"),
     ("reserved", "all rights reserved"),
 ]
+# Licenses of SPDX tags, and versions of the Creative Commons licenses.
+SPDX = {
+    "mit": ["mit"], "apache": ["apache 2 0"], "gpl": ["gpl 2 0", "gpl 3 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl": ["agpl 3 0"],
+    "bsd": ["bsd 2 clause", "bsd 3 clause"], "mpl": ["mpl 2 0"], "epl": ["epl 1 0", "epl 2 0"], "eupl": ["eupl 1 2"], "cddl": ["cddl 1 0"],
+    "ofl": ["ofl 1 1"], "bsl": ["bsl 1 0"], "isc": ["isc"], "zlib": ["zlib"], "unlicense": ["unlicense"], "cc0": ["cc0 1 0"],
+}
+CC_KINDS = ["by", "by nc", "by nd", "by sa", "by nc nd", "by nc sa"]
+CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
+NOTICES += [(label, f"spdx license identifier {name}") for label, names in SPDX.items() for name in names]
+NOTICES += [("cc-" + kind.replace(" ", "-"), f"{start}cc {kind} {version}") for kind in CC_KINDS for version in CC_VERSIONS for start in ("", "licensed under ")]
 
 CHARS_PER_EDIT = 12  # a notice of n characters may differ by n // 12 edits
-MOST_EDITS = 8
 
 #: bytes that end a word; letters are lower-cased before
 OUTSIDE = np.zeros(256, bool)
@@ -67,7 +106,7 @@ class Notice:
     edits: int = field(init=False)
 
     def __post_init__(self) -> None:
-        self.edits = min(MOST_EDITS, len(self.text) // CHARS_PER_EDIT)
+        self.edits = len(self.text) // CHARS_PER_EDIT
         # the notice may end inside a longer word only by its edits
         self.pattern = regex.compile(rf"(?b)(?:\b{regex.escape(self.text, literal_spaces=True)}\b){{e<={self.edits}}}")
 
@@ -106,6 +145,19 @@ class Searcher:
                     own.append([low, high])
         return found
 
+    def matches(self, i: int, line: str, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """All matches of a notice in a stretch: the best one, then those before and behind it, until none is left."""
+        notice, out, todo = self.notices[i], [], [(low, high)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < len(notice.text) - notice.edits:
+                continue
+            m = notice.pattern.search(line, a, b)
+            if m:
+                out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                todo += [(a, m.start()), (m.end(), b)]
+        return out
+
     def search(self, line: str, low_of, high_of) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, errors) in the line; `low_of`/`high_of` bound a place by its text."""
         out = []
@@ -115,8 +167,7 @@ class Searcher:
                 at = max(0, low)
                 while at < min(high, len(line)):
                     a, b = max(low, low_of(at)), min(high, high_of(at))
-                    for m in self.notices[i].pattern.finditer(line, max(0, a), min(len(line), b)):
-                        out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                    out += self.matches(i, line, max(0, a), min(len(line), b))
                     at = max(b, at) + 1
         # of overlapping matches the one with the smallest share of errors stays, then the longer one
         out.sort(key=lambda m: (m[3] / len(self.notices[m[2]].text), m[0] - m[1], m[0], m[2]))
