@@ -363,3 +363,22 @@ def test_pipeline_by_hand(spark, tmp_path):
     out = corpus_pipeline.run(spark, folder)
     assert set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     assert {r["doc_id"] for r in out.collect()} <= {None, *range(60)} and out.count() >= 50
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    """Clashing column names, thousands of equal rows, null rows and an empty table."""
+    draw = random.Random(4)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows = [(i, " ".join(draw.choices(words, k=90))) for i in range(30)]
+    rows += [rows[7]] * 3000 + [(None, rows[8][1]), (None, None), (77, None)]
+    labels_of(spark, [(i, 1, 0) for i in range(30)]).write.parquet(f"{tmp_path}/labels.parquet")
+    items_of(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    for table in (documents(spark, rows), documents(spark, rows).limit(0)):
+        table = table.withColumn("__k", F.lit(1))
+        for name in ("quality_rules", "quality_classifier", "near_duplicates", "decontamination"):
+            assert stage[name](spark, table, str(tmp_path)).columns == table.columns
+    kept = stage["near_duplicates"](spark, documents(spark, rows), str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None) for r in kept) == sorted([(False, i, False) for i in range(30)] + [(False, 77, True), (True, 0, True)])
+    documents(spark, rows).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

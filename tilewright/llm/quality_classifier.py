@@ -194,8 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     texts = docs.select(F.col(key).cast("bigint").alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     known = F.broadcast(known)  # at most `sample` rows of two numbers
-    rows = texts.join(known, "_k").select("_k", "_y", "_t").mapInArrow(run, "_k bigint, _y int, pooled binary").withColumn("part", residue("_k", 4)).toPandas()
-    rows = rows.sort_values(["_k", "pooled"], kind="stable").drop_duplicates("_k")  # a repeated document counts once
+    rows = texts.join(known, "_k").select("_k", "_y", "_t").mapInArrow(run, "_k bigint, _y int, pooled binary")
+    # a repeated document counts once, so at most `sample` rows reach the driver
+    rows = rows.groupBy("_k").agg(F.min(F.struct("pooled", "_y")).alias("one")).select("_k", "one.*", residue("_k", 4).alias("part")).toPandas().sort_values("_k")
     x = np.frombuffer(b"".join(rows["pooled"]), np.float64).reshape(-1, FEATURES)
     return fit_network(x, rows["_y"].to_numpy(np.int64), rows["part"].to_numpy(np.int64) == 3, vectors)
 
