@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import check_oracle
 import corpus_pipeline
-from tilewright.llm import chat_rotation, components, dart_minhash, queries, url_filter
+from tilewright.llm import chat_rotation, components, dart_minhash, html_text, queries, url_filter
 from tilewright.llm.byte_bpe import encode_decode, load_ranks
 from tilewright.llm.decontaminate import contaminated
 from tilewright.llm.html_text import extract_text
@@ -245,7 +245,9 @@ def test_pages_of_one_host_in_small_groups(spark):
     assert {r["page_id"]: r["text"] for r in out} == {i: f"a{i} b{i * i} c{i + 7} only d{i}" for i in range(90)}
 
 
-def test_a_notice_on_an_eighth_of_a_large_host_goes(spark):
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_a_notice_on_an_eighth_of_a_large_host_goes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_RUNS", broadcast)
     notice = " ".join(f"notice{k}" for k in range(17))
     own = lambda i: " ".join(f"e{i}w{k}" for k in range(20))
     rows = [(i, "http://one.host/x", f"<p>a{i} b{i * i} c{i + 7} only d{i} {own(i)}</p>" + (f"<p>{notice}</p>" if i % 8 == 0 else "")) for i in range(2000)]

@@ -15,6 +15,7 @@ from tilewright.llm.textops import BASE, mix, ready
 from tilewright.session import cut_lineage
 
 BROADCAST_HOSTS = 100_000  # hosts of several groups, up to which their numbers are broadcast
+BROADCAST_RUNS = 1 << 20  # runs of all hosts, up to which they are broadcast (24 bytes each) and pages need no second shuffle
 HOST_PAGES = 256  # pages of a host whose token streams make one suffix array; counts are added up over the host
 MIN_PAGES = 5  # distinct pages that share a boilerplate run at least
 RUN_TOKENS, LONG_TOKENS = 4, 8  # shortest repeated run, and one that goes wherever it stands; the borders of blocks count as tokens
@@ -378,6 +379,8 @@ def keep_blocks(pages: list[tuple[list[str], bool, list[float]]], known: list[np
     pages cover it whole. Near copies count as one page, so what only they share stays. `known`
     has the keys of the host's runs for each of RULES; without it they are those of the given pages.
     """
+    if known is not None and not any(len(k) for k in known):
+        return [[b for b, share in zip(p[0], p[2]) if p[1] or share <= MAX_LINKED] for p in pages]
     streams, places = token_streams([p[0] for p in pages])
 
     def covered(rule: int) -> list[np.ndarray]:
@@ -418,6 +421,28 @@ def _by_group(finish):
     return run
 
 
+def _cut_in_place(frequent: DataFrame):
+    """A function for mapInArrow over pages of hosts whose frequent runs, at most BROADCAST_RUNS, go to all tasks."""
+    found = frequent.toPandas()
+    runs = {h: [own["run"].to_numpy(np.int64)[own["rule"] == r] for r in range(len(RULES))] for h, own in found.groupby("host")}
+    shared = frequent.sparkSession.sparkContext.broadcast(runs)
+    none = [np.zeros(0, np.int64)] * len(RULES)
+
+    def run(batches):
+        for batch in batches:
+            of_host: dict[str, list[int]] = {}
+            blocks = [page_blocks(h.as_py()) for h in batch.column(2)]
+            for i, h in enumerate(batch.column(3).to_pylist()):
+                of_host.setdefault(h, []).append(i)
+            texts = [""] * len(blocks)
+            for h, rows in of_host.items():
+                for i, kept in zip(rows, keep_blocks([blocks[i] for i in rows], shared.value.get(h, none))):
+                    texts[i] = "\n\n".join(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
+
+    return run
+
+
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", host_pages: int = HOST_PAGES) -> DataFrame:
     """Main text of each page: key, url, text, n_chars; one row per input row.
 
@@ -425,8 +450,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
     arrays of their token streams show runs that repeat on distinct pages; covered runs are
     cut out and unique ones stay. A host is dealt by hash into groups of about `host_pages`
     pages, each with its own array. Where a host has several groups, the pages of each run are
-    added up over the host by a shuffle, and the runs on enough of them go back to all its
-    groups; they are at most a page's tokens over the share of pages, however large the host.
+    added up over the host by a shuffle, and the runs on enough of them are cut from all its
+    pages: where they lie if few enough runs go to all tasks, else in the groups; they are at most a page's tokens over the share of pages, however large the host.
     Kept blocks are joined by two line feeds, in page order, uncut.
 
     Null and empty pages have an empty text; null urls and urls without a host share the
@@ -475,17 +500,23 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
 
     rows = rows.withColumn("host", host)
     none = [F.lit(None).cast("array<int>").alias("rules"), F.lit(None).cast("array<bigint>").alias("runs")]
-    dealt = parsed(rows).select("host", "part", F.lit(1).alias("kind"), "key", "url", "blocks", "main", "linked", *none)
+    schema = "key bigint, url string, text string, n_chars bigint"
+    large = None
     if several:
-        shared = parsed(rows.join(of_host.select("host"), "host", "left_semi").select("key", "url", "html", "host")).select("host", "part", "blocks", "main")
-        counted = shared.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(_by_group(count), "host string, rule int, run bigint, n bigint")
-        counted = cut_lineage(counted.groupBy("host", "rule", "run").agg(F.sum("n").alias("n")))
+        of_large = rows.join(of_host.select("host"), "host", "left_semi").select("key", "url", "html", "host")
+        counted = parsed(of_large).select("host", "part", "blocks", "main").repartition("host", "part").sortWithinPartitions("host", "part")
+        counted = cut_lineage(counted.mapInArrow(_by_group(count), "host string, rule int, run bigint, n bigint").groupBy("host", "rule", "run").agg(F.sum("n").alias("n")))
         least = F.create_map(*(F.lit(x) for i, rule in enumerate(RULES) for x in (i, rule[1])))[F.col("rule")]
         totals = counted.filter("run = 0").select("host", "rule", F.greatest(F.lit(float(MIN_PAGES)), F.col("n") * least).alias("least"))
-        frequent = counted.filter("run <> 0").join(totals, ["host", "rule"]).filter("n >= least")
+        frequent = cut_lineage(counted.filter("run <> 0").join(totals, ["host", "rule"]).filter("n >= least").select("host", "rule", "run"))
+        if several <= BROADCAST_HOSTS and frequent.count() <= BROADCAST_RUNS:
+            large = of_large.mapInArrow(_cut_in_place(frequent), schema)
+            rows = rows.join(of_host.select("host"), "host", "left_anti").select("key", "url", "html", "host")
+    dealt = parsed(rows).select("host", "part", F.lit(1).alias("kind"), "key", "url", "blocks", "main", "linked", *none)
+    if several and large is None:
         runs = frequent.groupBy("host").agg(F.collect_list(F.struct("rule", "run")).alias("found"))
         told = groups.join(runs, "host", "left").select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("part"), F.coalesce("found", F.array().cast("array<struct<rule:int,run:bigint>>")).alias("found"))
         blank = [F.lit(None).cast(t).alias(c) for c, t in (("key", "bigint"), ("url", "string"), ("blocks", "array<string>"), ("main", "boolean"), ("linked", "array<double>"))]
         dealt = dealt.unionByName(told.select("host", "part", F.lit(0).alias("kind"), *blank, F.col("found.rule").alias("rules"), F.col("found.run").alias("runs")))
-    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "kind", "key")
-    return dealt.mapInArrow(_by_group(finish), "key bigint, url string, text string, n_chars bigint").withColumnRenamed("key", key)
+    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "kind", "key").mapInArrow(_by_group(finish), schema)
+    return (dealt if large is None else dealt.unionByName(large)).withColumnRenamed("key", key)
