@@ -163,6 +163,14 @@ def test_synthetic_boxes_stay_inside(spark):
     assert labels.filter("xc < 0 or xc > 1 or bw <= 0 or bw > 1").count() == 0
 
 
+def test_synthetic_draws_are_not_broadcast(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("image_id"), F.lit(300).cast("bigint").alias("w"), F.lit(200).cast("bigint").alias("h")).write.parquet(f"{tmp_path}/images")
+    spark.range(50).select(F.col("id").alias("frag_id"), (F.col("id") % 9 + 5).alias("fw"), (F.col("id") % 9 * 2 + 3).alias("fh")).write.parquet(f"{tmp_path}/frags")
+    pics, frags = spark.read.parquet(f"{tmp_path}/images"), spark.read.parquet(f"{tmp_path}/frags")
+    plan = pl.synth_boxes(pics, frags, 3, merge=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_rank" in plan and "BroadcastHashJoin [_rank" not in plan
+
+
 def grid_mask(spark, h, w, on):
     return spark.createDataFrame([(1, y, x, on(y, x)) for y in range(h) for x in range(w)], "image_id bigint, y bigint, x bigint, mask boolean")
 

@@ -21,6 +21,7 @@ CHUNK = "_chunk"
 MAX_SEGMENTS = 64
 SAMPLE = 10_000  # values that place the chunk borders of a text column
 GROUP_LIMIT = 1000  # Spark limits rows per group before the shuffle up to this k
+HOT_ROWS = 50_000  # a group up to this size is one task's work wherever it lies
 
 
 def chunk_bounds(df: DataFrame, on) -> list[float]:
@@ -104,6 +105,17 @@ def _chunk(df: DataFrame, order: Sequence[str], chunk: Column | None) -> DataFra
     return df.withColumn(CHUNK, quantile_chunk(df, numeric_key(df, order[0])) if chunk is None else chunk)
 
 
+def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """Whether any group has more rows than one task should order (one job over the keys).
+
+    Rows of a group are added up in the tasks before their counts are shuffled.
+    """
+    limit = HOT_ROWS if limit is None else limit
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = counts.agg(F.max("_n").alias("n")).first()["n"]
+    return most is not None and most > limit
+
+
 def _over(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
@@ -117,14 +129,24 @@ def running(
     prev: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     chunk: Column | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add running sums (current row included) and values of the previous / next row.
 
     `chunk` must not decrease along `order`; without it quantiles of the first order
-    column are used. `order` must be total within a key.
+    column are used. `order` must be total within a key. Where no group is `hot` (counted, if
+    not told) a group is ordered in one task and stays where its key was dealt.
     """
     keys, order = list(keys), list(order)
     sums, prev, following = sums or {}, prev or {}, following or {}
+    if keys and not (has_hot_group(df, keys) if hot is None else hot):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(
+            *df.columns,
+            *[F.sum(e).over(whole.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, e in sums.items()],
+            *[F.lag(c).over(whole).alias(n) for n, c in prev.items()],
+            *[F.lead(c).over(whole).alias(n) for n, c in following.items()],
+        )
     rows = _chunk(df, order, chunk)
     aggs = [F.sum(e).alias(f"_s_{n}") for n, e in sums.items()]
     at = F.struct(*order)
@@ -157,10 +179,10 @@ def running(
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", chunk: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", chunk: Column | None = None, hot: bool | None = None
 ) -> DataFrame:
     """row_number() that survives one hot key and works without any key."""
-    return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}, chunk=chunk)
+    return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}, chunk=chunk, hot=hot)
 
 
 def shuffle_rank(df: DataFrame, id_col: str, seed, keys: Sequence[str] = (), name: str = "rn") -> DataFrame:
@@ -177,9 +199,15 @@ def islands(
     state: Sequence[Column | str],
     name: str = "island",
     chunk: Column | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Number the maximal runs of equal consecutive `state` in each key, from 1."""
     keys, order = list(keys), list(order)
+    if keys and not (has_hot_group(df, keys) if hot is None else hot):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        state_of = df.withColumn("_st", F.struct(*[as_col(s).alias(f"s{i}") for i, s in enumerate(state)]))
+        opens = F.when(F.row_number().over(whole) == 1, 1).when(F.lag("_st").over(whole).eqNullSafe(F.col("_st")), 0).otherwise(1)
+        return state_of.withColumn("_f", opens.cast("bigint")).select(*df.columns, F.sum("_f").over(whole.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
     rows = _chunk(df, order, chunk).withColumn("_st", F.struct(*[as_col(s).alias(f"s{i}") for i, s in enumerate(state)]))
     within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     changed = F.coalesce((~F.lag("_st").over(within).eqNullSafe(F.col("_st"))).cast("bigint"), F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import boxes as fb
@@ -216,13 +216,14 @@ def spaced_points(mask: DataFrame, images: DataFrame, frag_w: int, frag_h: int,
     return ob.per_key(fitting, ["image_id"], ["pos"], accept, f"image_id {kind}, pos bigint, y bigint, x bigint")
 
 
-def sample_multiset(frags: DataFrame, images: DataFrame, max_total: int, seed: int, frag_id: str = "frag_id") -> DataFrame:
-    """0 .. max_total draws with replacement per image, as (image_id, draw, fragment columns)."""
+def sample_multiset(frags: DataFrame, images: DataFrame, max_total: int, seed: int, frag_id: str = "frag_id", keep: Sequence[str] = ()) -> DataFrame:
+    """0 .. max_total draws with replacement per image, as (image_id, draw, columns of the image to keep, fragment columns)."""
     ranked = number_rows(frags, [], [frag_id], "_rank")
-    draws = images.select("image_id", hashrand(f"{seed}m", "image_id", lo=F.lit(0), hi=F.lit(max_total)).alias("_m")).filter("_m > 0")
-    draws = draws.select("image_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "_m")).alias("draw")).withColumn("_n", total_rows(frags))
+    draws = images.select("image_id", *keep, hashrand(f"{seed}m", "image_id", lo=F.lit(0), hi=F.lit(max_total)).alias("_m")).filter("_m > 0")
+    draws = draws.select("image_id", *keep, F.explode(F.sequence(F.lit(1).cast("bigint"), "_m")).alias("draw")).withColumn("_n", total_rows(frags))
     pick = hashrand(f"{seed}f", "image_id", "draw", lo=F.lit(1), hi=F.col("_n"))
-    return draws.withColumn("_rank", pick).drop("_n").join(ranked, "_rank").drop("_rank")
+    # merged: the planner takes the draws for as small as the images that they are exploded from, and would broadcast them
+    return draws.withColumn("_rank", pick).drop("_n").hint("merge").join(ranked, "_rank").drop("_rank")
 
 
 def synth_boxes(images: DataFrame, frags: DataFrame, seed: int, max_total: int = 30, max_clusters: int = 3, max_per_cluster: int = 20, merge: bool = True) -> DataFrame:
@@ -230,10 +231,11 @@ def synth_boxes(images: DataFrame, frags: DataFrame, seed: int, max_total: int =
 
     `frags` has frag_id, fw, fh. Boxes are cut at the window and picture border.
     """
-    drawn = sample_multiset(frags, images, max_total, seed).join(_sizes(images), "image_id")
-    biggest = drawn.groupBy("image_id").agg(F.max("fw").alias("_mw"), F.max("fh").alias("_mh"), F.count("*").alias("_n"))
+    # the sizes travel with the draws, which spares two joins with the images
+    drawn = sample_multiset(frags, _sizes(images), max_total, seed, keep=["iw", "ih"])
+    biggest = drawn.groupBy("image_id").agg(F.max("fw").alias("_mw"), F.max("fh").alias("_mh"), F.count("*").alias("_n"), F.max("iw").alias("iw"), F.max("ih").alias("ih"))
     r = lambda tag, *key, lo, hi: hashrand(f"{seed}{tag}", "image_id", *key, lo=lo, hi=hi)
-    clusters = biggest.join(_sizes(images), "image_id").withColumn(
+    clusters = biggest.withColumn(
         "_k", F.explode(F.sequence(F.lit(0).cast("bigint"), r("c", lo=F.lit(0), hi=F.lit(max_clusters))))
     )  # window 0 is the whole picture
     inner = F.col("_k") > 0
@@ -245,9 +247,10 @@ def synth_boxes(images: DataFrame, frags: DataFrame, seed: int, max_total: int =
         F.when(inner, F.col("_mh") + r("wh", "_k", lo=F.lit(5), hi=F.lit(100))).otherwise(F.col("ih")).alias("wh"),
         F.when(inner, r("s", "_k", lo=F.lit(0), hi=F.lit(max_per_cluster))).otherwise(F.col("_n")).alias("_take"),
     )
-    placed = drawn.join(windows, "image_id").withColumn("_d", digest(f"{seed}o", "image_id", "_k", "draw"))
+    placed = drawn.join(windows.hint("merge"), "image_id").withColumn("_d", digest(f"{seed}o", "image_id", "_k", "draw"))
     # at most max_total draws and max_clusters + 1 windows per image: a small group by the operator's own limits
-    ranked = number_rows(placed, ["image_id", "_k"], ["_d"], "_r", F.lit(0)).filter(F.col("_r") <= F.col("_take"))
+    within = Window.partitionBy("image_id", "_k").orderBy("_d")
+    ranked = placed.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= F.col("_take"))
     right, low = F.least(F.col("wx") + F.col("ww"), F.col("iw")), F.least(F.col("wy") + F.col("wh"), F.col("ih"))
     spots = ranked.withColumn("_right", right).withColumn("_low", low).filter((F.col("_right") > F.col("wx")) & (F.col("_low") > F.col("wy")))
     x = F.col("wx") + r("px", "_k", "draw", lo=F.lit(0), hi=F.col("_right") - F.col("wx") - 1)
@@ -262,7 +265,7 @@ def synth_boxes(images: DataFrame, frags: DataFrame, seed: int, max_total: int =
 
 def synth_labels(images: DataFrame, frags: DataFrame, seed: int, cls: int = 0, **limits) -> DataFrame:
     """Merged synthetic boxes as normalised label rows."""
-    boxes = synth_boxes(images, frags, seed, **limits).join(_sizes(images), "image_id")
+    boxes = synth_boxes(images, frags, seed, **limits).join(_sizes(images).hint("merge"), "image_id")
     yolo = fb.box_convert(["x", "y", "w", "h"], "xywh", "yolo", "iw", "ih")
     return boxes.select("image_id", F.lit(cls).alias("cls"), *[F.round(c, 9).alias(n) for c, n in zip(yolo, ["xc", "yc", "bw", "bh"])], "x", "y", "w", "h")
 

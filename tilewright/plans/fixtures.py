@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators.ordered import chunk_bounds, number_rows, quantile_chunk
+from tilewright.operators.ordered import chunk_bounds, has_hot_group, number_rows, quantile_chunk
 
 VIEW_SQL = {
     "v_images": "select o_orderkey as image_id, cast(640+(o_orderkey*37)%1281 as bigint) as w, cast(480+(o_orderkey*53)%721 as bigint) as h from orders",
@@ -56,7 +56,7 @@ def sql_rand(seed, *cols: str, lo, hi) -> str:
     return f"({lo} + cast(concat('0x', substring({sql_hash(seed, *cols)}, 1, 7)) as bigint) % ({hi} - ({lo}) + 1))"
 
 
-_BOUNDS: dict[tuple, list[float]] = {}
+_BOUNDS: dict[tuple, list[float] | bool] = {}
 
 
 class Views:
@@ -74,6 +74,13 @@ class Views:
             _BOUNDS[key] = chunk_bounds(df, on)
         return quantile_chunk(df, on, _BOUNDS[key])
 
+    def _numbered(self, tag: str, df: DataFrame, keys: list[str], order: list[str], name: str, on) -> DataFrame:
+        """`number_rows`; whether a group is too large for one task is counted once for a folder."""
+        key = (self.spark.sparkContext.applicationId, self.dir, f"{tag}/hot")
+        if key not in _BOUNDS:
+            _BOUNDS[key] = has_hot_group(df, keys)
+        return number_rows(df, keys, order, name, self._chunk(tag, *on) if _BOUNDS[key] else None, hot=_BOUNDS[key])
+
     @property
     def images(self) -> DataFrame:
         k = F.col("o_orderkey")
@@ -88,7 +95,7 @@ class Views:
         items = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
         on = F.col("l_linenumber") * F.lit(1e12) + F.col("l_partkey")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        numbered = number_rows(items, ["l_orderkey"], order, "ann_id", self._chunk("boxes", items, on))
+        numbered = self._numbered("boxes", items, ["l_orderkey"], order, "ann_id", (items, on))
         p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
         return numbered.select(
             F.col("l_orderkey").alias("image_id"),
@@ -145,7 +152,7 @@ class Views:
     def rows(self) -> DataFrame:
         events = self.table("events").select("user_id", "ts", "event_id", "event_type", "value")
         events = events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-        numbered = number_rows(events, ["user_id"], ["_at", "event_id"], "t", self._chunk("rows", events, F.col("_at")))
+        numbered = self._numbered("rows", events, ["user_id"], ["_at", "event_id"], "t", (events, F.col("_at")))
         return numbered.select(
             F.col("user_id").alias("seq_id"), "t", "event_id", F.col("event_type").alias("label"), F.col("value").alias("score")
         )
@@ -189,8 +196,8 @@ class Views:
     def tracks(self) -> DataFrame:
         b = self.boxes.withColumn("video_id", F.col("image_id") % 50)
         orders = self.table("lineitem")
-        chunk = self._chunk("tracks", orders.select(F.col("l_orderkey").alias("image_id")), F.col("image_id"))
-        numbered = number_rows(b, ["video_id", "category_id"], ["image_id", "ann_id"], "rn", chunk)
+        on = (orders.select(F.col("l_orderkey").alias("image_id")), F.col("image_id"))
+        numbered = self._numbered("tracks", b, ["video_id", "category_id"], ["image_id", "ann_id"], "rn", on)
         return numbered.select(
             "video_id",
             F.col("category_id").alias("track_id"),
@@ -209,8 +216,7 @@ class Views:
     def runs(self) -> DataFrame:
         items = self.table("lineitem").withColumn("run_id", F.col("l_orderkey") % 200)
         order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        chunk = self._chunk("runs", items, F.col("l_orderkey"))
-        numbered = number_rows(items, ["run_id"], order, "rn", chunk)
+        numbered = self._numbered("runs", items, ["run_id"], order, "rn", (items, F.col("l_orderkey")))
         return numbered.select(
             "run_id",
             (F.col("rn") - 1).alias("epoch"),
