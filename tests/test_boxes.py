@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,26 @@ def test_synthetic_boxes_stay_inside(spark):
     assert labels.filter("xc < 0 or xc > 1 or bw <= 0 or bw > 1").count() == 0
 
 
+def test_many_images_merge_as_each_alone():
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 70, 3, 1, 9, 400, 5, 2]
+    at = rng.integers(0, 300, (sum(sizes), 2))
+    corners = np.concatenate([at, at + rng.integers(0, 40, at.shape)], 1)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    alone = [ob.greedy_merge(corners[a:b]) for a, b in zip(bounds, bounds[1:])]
+    merged, first = ob.merge_many(corners, bounds)
+    assert (merged == np.concatenate([m for m, _ in alone])).all()
+    assert (first == np.concatenate([f + a for (_, f), a in zip(alone, bounds)])).all()
+
+
+def test_closure_in_tasks_equals_joins(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 7), *map(int, rng.integers(0, 200, 2)), *map(int, rng.integers(0, 30, 2))) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:20], "image_id bigint, x bigint, y bigint, w bigint, h bigint")
+    key = ["image_id", "x", "y", "w", "h"]
+    assert sorted(map(tuple, ob.merge_closure(df).select(key).collect())) == sorted(map(tuple, ob.merge_closure(df, group_rows=5).select(key).collect()))
+
+
 def test_synthetic_draws_are_not_broadcast(spark, tmp_path):
     spark.range(20_000).select(F.col("id").alias("image_id"), F.lit(300).cast("bigint").alias("w"), F.lit(200).cast("bigint").alias("h")).write.parquet(f"{tmp_path}/images")
     spark.range(50).select(F.col("id").alias("frag_id"), (F.col("id") % 9 + 5).alias("fw"), (F.col("id") % 9 * 2 + 3).alias("fh")).write.parquet(f"{tmp_path}/frags")

@@ -89,3 +89,16 @@ def test_text_order_with_nulls_and_ties_of_prefixes(spark):
     rows = spark.createDataFrame([(n,) for n in ["b", "", "ab", "a", None, "é", "aa", "Z"]], "name string")
     got = {r["name"]: r["rn"] for r in o.number_rows(rows, [], ["name"]).collect()}
     assert got == {None: 1, "": 2, "Z": 3, "a": 4, "aa": 5, "ab": 6, "b": 7, "é": 8}
+
+
+@pytest.mark.parametrize("i", range(4))
+def test_hot_groups_are_chunked(hot, i, monkeypatch):
+    monkeypatch.setattr(o, "HOT_ROWS", 1000)
+    assert o.has_hot_group(hot, ["k"]) and not o.has_hot_group(hot, ["k"], 3000)
+    test_running(hot, i)
+    test_islands(hot, i)
+
+
+def test_groups_without_a_hot_one_are_dealt_once(hot):
+    plan = o.number_rows(hot, ["k"], ["t"]).groupBy("k").agg(F.max("rn"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan

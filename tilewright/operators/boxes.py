@@ -237,16 +237,25 @@ def _premerge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(outs, ignore_index=True)
 
 
-def merge_closure(boxes: DataFrame, cell: int = CELL) -> DataFrame:
+def merge_closure(boxes: DataFrame, cell: int = CELL, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Bounding boxes of merged groups, repeated until no two results of an image overlap.
 
-    Each round replaces every box by the bounding box of all boxes it overlaps and drops
+    Images of up to `group_rows` boxes are merged in one task, many side by side. For the
+    others each round replaces every box by the bounding box of all boxes it overlaps and drops
     duplicates. Images without a change are final and leave the loop. A box of zero width or
     height overlaps no copy of itself; it stays as it is unless it lies inside another box.
     """
     cornered = _corners(boxes)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cornered.schema.fields)
     ship_package(boxes.sparkSession)
+    large = cornered.groupBy("image_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > group_rows).select("image_id")
+    if not large.take(1):
+        return _as_boxes(per_key(cornered, ["image_id"], CORNERS, _closure_rows, schema))
+    small = _as_boxes(per_key(cornered.join(large, "image_id", "left_anti"), ["image_id"], CORNERS, _closure_rows, schema))
+    return small.unionByName(_closure_by_joins(cornered.join(large, "image_id", "left_semi"), schema, cell))
+
+
+def _closure_by_joins(cornered: DataFrame, schema: str, cell: int) -> DataFrame:
     active = cut_lineage(cornered.distinct().mapInPandas(_premerge, schema).distinct())
     cells, done = fit_cells(_as_boxes(active), limit=cell), None
     while True:
@@ -269,21 +278,65 @@ def merge_closure(boxes: DataFrame, cell: int = CELL) -> DataFrame:
         active = moved.select("image_id", *CORNERS).join(busy, "image_id", "left_semi")
 
 
+def merge_many(corners: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`greedy_merge` of many images side by side: merged boxes and the rows they started from, by image and order.
+
+    A step grows the current box of every unfinished image at once, so steps follow the
+    longest image of the batch and rows that are used up leave.
+    """
+    images = len(bounds) - 1
+    of = np.repeat(np.arange(images), np.diff(bounds))
+    start, left = bounds[:-1].copy(), np.delete(np.arange(len(corners)), bounds[:-1])
+    of, current, active = of[left], corners[bounds[:-1]].copy(), np.arange(images)
+    merged, first = [], []
+    heads = lambda of: np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    while len(active):
+        own, box = current[of], corners[left]
+        hit = (box[:, 0] < own[:, 2]) & (own[:, 0] < box[:, 2]) & (box[:, 1] < own[:, 3]) & (own[:, 1] < box[:, 3])
+        grew = np.zeros(images, bool)
+        if hit.any():
+            taken, mine = box[hit], of[hit]
+            begins = heads(mine)
+            who = mine[begins]
+            current[who, :2] = np.minimum(current[who, :2], np.minimum.reduceat(taken[:, :2], begins))
+            current[who, 2:] = np.maximum(current[who, 2:], np.maximum.reduceat(taken[:, 2:], begins))
+            grew[who] = True
+            left, of = left[~hit], of[~hit]
+        done = active[~grew[active]]
+        first.append(start[done])
+        merged.append(current[done])
+        begins = heads(of)
+        begins = begins[~grew[of[begins]]]
+        who, rows = of[begins], left[begins]
+        start[who], current[who] = rows, corners[rows]
+        left, of = np.delete(left, begins), np.delete(of, begins)
+        active = np.concatenate([active[grew[active]], who])
+    first, merged = np.concatenate(first), np.concatenate(merged)
+    order = np.argsort(first)
+    return merged[order], first[order]
+
+
 def _greedy_rows(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-    corners, merged, first = rows[CORNERS].to_numpy(), [], []
-    for start, stop in zip(bounds[:-1], bounds[1:]):
-        if stop - start == 1:
-            merged.append(corners[start:stop])
-            first.append(np.array([start]))
-        else:
-            boxes, at = greedy_merge(corners[start:stop])
-            merged.append(boxes)
-            first.append(at + start)
-    out = rows.iloc[np.concatenate(first)].copy()
-    out[CORNERS] = np.concatenate(merged)
+    merged, first = merge_many(rows[CORNERS].to_numpy(), bounds)
+    out = rows.iloc[first].copy()
+    out[CORNERS] = merged
     return out
 
 
+def _closure_rows(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+    corners, of = rows[CORNERS].to_numpy(), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    first = np.arange(len(rows))
+    while True:
+        merged, kept = merge_many(corners, np.searchsorted(of, np.arange(len(bounds))))
+        first, of = first[kept], of[kept]
+        if len(merged) == len(corners):
+            break
+        corners = merged
+    out = rows.iloc[first].copy()
+    out[CORNERS] = merged
+    return out.drop_duplicates()
+
+
 def merge_greedy(boxes: DataFrame, order: str = "ann_id", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Take boxes in order and grow each until no unused box overlaps it.
 
@@ -297,11 +350,10 @@ def merge_greedy(boxes: DataFrame, order: str = "ann_id", group_rows: int = GROU
     schema = ", ".join(f"{n} {t}" for n, t in types.items())
     counts = rows.groupBy("image_id").agg(F.count("*").alias("_n"))
     large = counts.filter(F.col("_n") > group_rows).select("image_id")
-    small = rows.join(large, "image_id", "left_anti")
-    merged = per_key(small, ["image_id"], [order], _greedy_rows, schema)
-    if large.take(1):
-        merged = merged.unionByName(_merge_large(rows.join(large, "image_id", "left_semi"), order, group_rows, schema))
-    return _as_boxes(merged, order)
+    if not large.take(1):
+        return _as_boxes(per_key(rows, ["image_id"], [order], _greedy_rows, schema), order)
+    small = per_key(rows.join(large, "image_id", "left_anti"), ["image_id"], [order], _greedy_rows, schema)
+    return _as_boxes(small.unionByName(_merge_large(rows.join(large, "image_id", "left_semi"), order, group_rows, schema)), order)
 
 
 def _merge_large(rows: DataFrame, order: str, group_rows: int, schema: str) -> DataFrame:
