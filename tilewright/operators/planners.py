@@ -136,9 +136,11 @@ def plan_crops(anns: DataFrame, images: DataFrame, n: int, seed: int, mode: str
 
     def fixed(kind: str, reach: int, least: int | None) -> DataFrame:
         reach_col = lambda axis: F.least(_jitter(f"{seed}{kind}{axis}", reach), _jitter(f"{seed}{kind}m", reach))
-        mins = [F.lit(0) if least is None else _jitter(f"{seed}{kind}n{s}", least) for s in "ltrb"]
-        corners = fb.engulf_crop(box, even, even, reach_col("h"), reach_col("v"), mins, *size, f"{seed}{kind}", "image_id", "draw")
-        return per_ann.select("image_id", F.lit(kind).alias("kind"), "draw", "ann_id", *_named(corners, CORNERS))
+        drawn = {"_h": reach_col("h"), "_v": reach_col("v")} | ({} if least is None else {f"_{s}": _jitter(f"{seed}{kind}n{s}", least) for s in "ltrb"})
+        mins = [F.lit(0) if least is None else F.col(f"_{s}") for s in "ltrb"]
+        corners = fb.engulf_crop(box, even, even, "_h", "_v", mins, *size, f"{seed}{kind}", "image_id", "draw")
+        # drawn numbers are columns of their own: inside the corners each hash would be worked out many times
+        return per_ann.withColumns(drawn).select("image_id", F.lit(kind).alias("kind"), "draw", "ann_id", *_named(corners, CORNERS))
 
     draws = counts.select("image_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))).alias("draw")) if n else None
     out = fixed("close", 100, None).unionByName(fixed("far", fb.FAR_PAD, 2000))
@@ -155,12 +157,11 @@ def plan_crops(anns: DataFrame, images: DataFrame, n: int, seed: int, mode: str
         sign = 2 * hashrand(f"{seed}s{axis}", "image_id", "draw", lo=F.lit(0), hi=F.lit(1)) - 1
         return sign * hashrand(f"{seed}w{axis}", "image_id", "draw", lo=F.lit(100), hi=F.lit(max_skew))
 
-    around = fb.engulf_crop(
-        box, skew("h"), skew("v"), _jitter(f"{seed}rh", fb.FAR_PAD), _jitter(f"{seed}rv", fb.FAR_PAD), [F.lit(0)] * 4, *size, f"{seed}r", "image_id", "draw"
-    )
+    drawn = {"_sh": skew("h"), "_sv": skew("v"), "_h": _jitter(f"{seed}rh", fb.FAR_PAD), "_v": _jitter(f"{seed}rv", fb.FAR_PAD), "kind": kind}
+    around = fb.engulf_crop(box, "_sh", "_sv", "_h", "_v", [F.lit(0)] * 4, *size, f"{seed}r", "image_id", "draw")
     corner = F.element_at(F.array(*[F.lit(m) for m in fb.CUT_MODES]), hashrand(f"{seed}c", "image_id", "draw", lo=F.lit(1), hi=F.lit(4)).cast("int"))
-    through = fb.cut_crop(box, corner, 2, *size, f"{seed}t", "image_id", "draw")
-    rows = rows.withColumn("kind", kind)
+    through = fb.cut_crop(box, "_corner", 2, *size, f"{seed}t", "image_id", "draw")
+    rows = rows.withColumns({**drawn, "_corner": corner})
     both = [F.when(F.col("kind") == "cut", c).otherwise(e) for c, e in zip(through, around)]
     return out.unionByName(rows.select("image_id", "kind", "draw", "ann_id", *_named(both, CORNERS)))
 
