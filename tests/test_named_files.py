@@ -40,3 +40,15 @@ def test_metadata_files_hold_all_columns(spark, tmp_path):
     df = spark.sql("select 'i1' as image_id, timestamp'2024-01-02 03:04:05.678901' as at, array(1.5, null) as xs, cast(null as string) as no")
     files.write_metadata_files(df, str(tmp_path / "meta"))
     assert tree(tmp_path / "meta") == {"i1.json": b'{"image_id":"i1","at":"2024-01-02T03:04:05.678901Z","xs":[1.5,null]}'}
+
+
+def test_listing_leaves_the_driver_out(spark, tmp_path):
+    for name in ("a.jpg", "b/a.PNG", "b/c/d.png", "b/.hidden.png", "_tmp/e.png", "k=1/_x=2/f g%20.jpg", "b/c.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "empty").mkdir()
+    listed = files.list_paths(spark, str(tmp_path))
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path")
+    assert sorted(listed.collect()) == sorted(want.collect())
+    assert listed.count() == 5 and "binaryFile" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert files.list_paths(spark, f"file://{tmp_path}/a.jpg").collect() == [(f"file:{tmp_path}/a.jpg",)]

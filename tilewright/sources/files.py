@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.session import cut_lineage, ship_package
 from tilewright.sources.named_files import write_named_files
 
 # fixed values: picture suffixes accepted by listings
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png"]
 PIXELS = 1 << 16  # pixel rows that leave a task at once
+LISTED = 10_000  # paths that leave a task at once
 
 
 def path_parts(df: DataFrame, path: str = "path") -> DataFrame:
@@ -35,10 +40,51 @@ def filter_suffixes(files: DataFrame, exts: Sequence[str]) -> DataFrame:
     )
 
 
+def _children(folder: str):
+    """(path, whether it is a folder) of what lies in a folder, without the hidden names that Spark's readers pass over; a file is itself."""
+    local = folder[5:] if folder.startswith("file:") else folder
+    if not os.path.isdir(local):
+        os.stat(local)
+        yield folder, False
+        return
+    with os.scandir(local) as entries:
+        for e in entries:
+            if not (e.name.startswith(".") or (e.name.startswith("_") and "=" not in e.name) or e.name.endswith("._COPYING_")):
+                yield f"{folder.rstrip('/')}/{e.name}", e.is_dir()
+
+
+def list_paths(spark: SparkSession, directory: str) -> DataFrame:
+    """`path` of every file below a directory.
+
+    A level of folders is listed by tasks at a time, a folder as a stream in its task, so the
+    driver holds no path. Stores that are no mounted file system are listed by Spark.
+    """
+    plain = re.sub("^file:/+", "/", directory)
+    if not plain.startswith("/"):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                children = _children(folder)
+                while part := list(itertools.islice(children, LISTED)):
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([d for _, d in part], pa.bool_())], ["path", "folder"])
+
+    ship_package(spark)
+    folders, files = spark.createDataFrame([(f"file:{plain}",)], "path string"), None
+    while True:
+        found = cut_lineage(folders.mapInArrow(run, "path string, folder boolean"))
+        level = found.filter("not folder").select("path")
+        files = level if files is None else files.unionByName(level)
+        folders = found.filter("folder").select("path")
+        if folders.isEmpty():
+            return files
+        folders = folders.repartition("path")
+
+
 def file_inventory(spark: SparkSession, directory: str, exts: Sequence[str] = IMAGE_SUFFIXES) -> DataFrame:
-    """Recursive listing; contents are pruned and never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
-    return filter_suffixes(files, exts)
+    """Recursive listing; contents are never read."""
+    return filter_suffixes(list_paths(spark, directory), exts)
 
 
 def read_images(spark: SparkSession, directory: str) -> DataFrame:
