@@ -34,7 +34,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         F.coalesce(F.col(role), F.lit("unknown")).alias("_r"),
         F.coalesce(F.col(text), F.lit("")).alias("_x"),
     ).filter("_c is not null")
-    numbered = number_rows(rows, ["_c"], ["_t", "_r", "_x"], "_n")
+    numbered = number_rows(rows, ["_c"], ["_t", "_r", "_x"], "_n", hot=True)
     parts = (
         numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_turns).cast("bigint"))
         .groupBy("_c", "part")
