@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.sources import files
-from tilewright.sources.named_files import write_named_files
+from tilewright.sources.named_files import write_named_files, write_one_file
 
 
 def tree(root):
@@ -52,3 +52,42 @@ def test_listing_leaves_the_driver_out(spark, tmp_path):
     assert sorted(listed.collect()) == sorted(want.collect())
     assert listed.count() == 5 and "binaryFile" not in listed._jdf.queryExecution().executedPlan().toString()
     assert files.list_paths(spark, f"file://{tmp_path}/a.jpg").collect() == [(f"file:{tmp_path}/a.jpg",)]
+
+
+def most_read(spark, run):
+    """Most rows that one task reads from a shuffle while `run` runs."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    as_list = jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    none, no_quantiles = jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = lambda: {s.stageId(): s for s in as_list(store.stageList(none, False, False, no_quantiles, none))}
+    before = stages()
+    run()
+    read = [0]
+    for i, stage in stages().items():
+        if i not in before and stage.shuffleReadRecords():
+            tasks = as_list(store.taskList(i, stage.attemptId(), 1000))
+            read += [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks if t.taskMetrics().isDefined()]
+    return max(read)
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    rows = spark.range(20_000).repartition(6).select(F.concat(F.col("id").cast("string"), F.lit(",é\n")).alias("content")).union(spark.sql("select cast(null as string)"))
+    rows = spark.createDataFrame(rows.collect(), "content string").repartitionByRange(5, "content").sortWithinPartitions("content")
+    want = "[" + "".join(r[0] or "" for r in rows.collect()) + "null, é" + "]"
+    for file in (f"{tmp_path}/out/a.json", f"file:{tmp_path}/out/b.json"):
+        write_one_file(file, ["[", rows, rows.limit(0), "null, é", spark.createDataFrame([], "content string"), "]"])
+    assert tree(tmp_path / "out") == {"a.json": want.encode(), "b.json": want.encode()}
+    assert most_read(spark, lambda: write_one_file(f"{tmp_path}/out/a.json", [rows])) < 10_000
+
+
+@pytest.mark.parametrize("name", ["coco_file", "export_file"])
+def test_no_task_holds_a_whole_document(spark, name):
+    import __spark_entry__ as entry
+
+    query = entry.queries()[name]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small inputs stay spread too
+    try:
+        assert most_read(spark, lambda: query(spark, "/root/testdata/sf0.001").count()) < 4000  # of 6,000 boxes
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -13,7 +13,7 @@ from tilewright.plans.registry import query
 from tilewright.session import shared_dir
 from tilewright.sources import annotations as ann
 from tilewright.sources import files
-from tilewright.sources.named_files import write_named_files
+from tilewright.sources.named_files import write_named_files, write_one_file
 
 
 def below(directory: str, path: str = "path"):
@@ -68,12 +68,9 @@ def metadata_files(v):
     return raw.select("image_id", "event_id", F.unix_micros(F.col("captured_at").cast("timestamp")).alias("captured_us"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "stem")
 
 
-def one_array(rows, order, item, place: int, head: str, tail: str):
-    """Pieces (part, content) of a text `head [item, ..., null] tail`; elements that are no objects are passed over by readers."""
-    at = lambda k, key: F.struct(F.lit(place + k).alias("a"), key.cast("bigint").alias("b")).alias("part")
-    ends = rows.sparkSession.createDataFrame([(0, head + "["), (2, "null]" + tail)], "k int, content string")
-    body = rows.select(at(1, order), F.concat(F.to_json(item), F.lit(",\n")).alias("content"))
-    return body.unionByName(ends.select(F.struct((F.col("k") + place).alias("a"), F.lit(0).cast("bigint").alias("b")).alias("part"), "content"))
+def items(rows, item):
+    """Text of array elements, each with a comma behind it; a null, which readers pass over, closes the array."""
+    return rows.select(F.concat(F.to_json(item), F.lit(",\n")).alias("content"))
 
 
 @query("coco_file", "select b.image_id, ann_id, category_id, b.x*1e0 as x, b.y*1e0 as y, b.w*1e0 as w, b.h*1e0 as h, i.w as width, i.h as height from v_boxes b join v_images i on b.image_id=i.image_id")
@@ -82,8 +79,7 @@ def coco_file(v):
     folder, box = shared_dir(v.spark, "coco-file"), F.array(*[F.col(c).cast("double") for c in "xywh"])
     image = F.struct(F.col("image_id").alias("id"), F.col("w").alias("width"), F.col("h").alias("height"))
     annotation = F.struct(F.col("ann_id").alias("id"), "image_id", "category_id", box.alias("bbox"))
-    text = one_array(v.images, F.col("image_id"), image, 0, '{"images": ', ', "annotations": ').unionByName(one_array(v.boxes, F.col("image_id"), annotation, 3, "", ', "categories": []}'))
-    write_named_files(text.withColumn("path", F.lit("set.json")), folder, "part")
+    write_one_file(f"{folder}/set.json", ['{"images": [', items(v.images, image), 'null], "annotations": [', items(v.boxes, annotation), 'null], "categories": []}'])
     images, annotations, _ = ann.read_coco(v.spark, f"{folder}/set.json")
     sizes = images.select(F.col("id").alias("image_id"), "width", "height")
     return annotations.withColumnRenamed("id", "ann_id").select("image_id", "ann_id", "category_id", "x", "y", "w", "h").join(sizes, "image_id")
@@ -96,6 +92,6 @@ def export_file(v):
     region = F.struct("from_name", "value", F.col("ord").cast("string").alias("id"))
     parts = ann.collect_parts(v.regions, ["task_id", "completed_by"], ["ord"], region, chunk=F.floor(F.col("ord") / 10_000))
     task = F.struct(F.col("task_id").alias("id"), F.array(F.struct("completed_by", F.col("items").alias("result"))).alias("annotations"))
-    write_named_files(one_array(parts, F.col("task_id"), task, 0, "", "").withColumn("path", F.lit("tasks.json")), folder, "part")
+    write_one_file(f"{folder}/tasks.json", ["[", items(parts, task), "null]"])
     found = ann.read_label_export(v.spark, f"{folder}/tasks.json")
     return found.select("task_id", F.col("region_id").cast("bigint").alias("ord"), "from_name", "value", "completed_by")

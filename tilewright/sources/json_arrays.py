@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.session import cut_lineage, ship_package
+from tilewright.session import shared_dir, ship_package
 
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 _OPEN, _CLOSE = b"{[", b"}]"
@@ -187,8 +187,8 @@ def json_elements(spark: SparkSession, path: str, level: int) -> DataFrame:
     rows = spark.read.option("lineSep", "}").option("recursiveFileLookup", "true").text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     states = _states(_summaries(rows), level)
-    begun = rows.withColumn("pos", F.monotonically_increasing_id()).join(states, ["file", "block"])
-    ordered = begun.sortWithinPartitions("file", "block", "pos").select("file", "block", "value", "inside", "depth", "section", "before")
+    # a state a split goes out to the tasks, so the text stays where and in the order in which it is read
+    ordered = rows.join(F.broadcast(states), ["file", "block"]).select("file", "block", "value", "inside", "depth", "section", "before")
     types = pa.schema([("file", pa.string()), ("section", pa.string()), ("piece_of", pa.int64()), ("block", pa.int64()), ("ended", pa.bool_()), ("text", pa.string())])
 
     def run(batches):
@@ -226,7 +226,9 @@ def json_elements(spark: SparkSession, path: str, level: int) -> DataFrame:
             whole = [own_text(text.encode(), level).decode() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.string())], ["file", "section", "text"])
 
-    pieces = cut_lineage(ordered.mapInArrow(run, PIECE))
+    table = shared_dir(spark, "elements")
+    ordered.mapInArrow(run, PIECE).write.parquet(table)  # compressed, and read once a section
+    pieces = spark.read.schema(PIECE).parquet(table)
     broken = pieces.filter("piece_of is not null")
     ends = broken.filter("ended and section is not null").select("file", "piece_of", F.col("section").alias("_s"))
     parts = broken.join(ends, ["file", "piece_of"]).groupBy("file", "_s", "piece_of").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("p"))

@@ -1,7 +1,15 @@
-"""A sink that puts out files of given names, so that one row (or one key's rows, in order) is one file."""
+"""Sinks that put out files of given names: one row (or one key's rows, in order) is one file, or all rows are one large file."""
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +92,69 @@ def write_named_files(files: DataFrame, directory: str, part: str | None = None)
     order = ["path"] if part is None else ["path", part]
     dealt = named.repartition("path").sortWithinPartitions(*order).select("path", F.col("content").cast("binary").alias("content"))
     dealt.write.format(FORMAT).mode("append").save(directory)
+
+
+def write_one_file(file: str, pieces: Sequence[str | DataFrame]) -> None:
+    """Write texts and frames (`content`), one after the other, as one file of any size; a frame's rows in its own order.
+
+    Tasks put out what they hold as parts; only a part's name and size reach the driver, and
+    tasks copy each part to its place in the file, which is moved into place when it is whole.
+    So no task sees more than its own rows. A store that is no mounted file system takes a
+    file from one writer only: there the rows stream through one task.
+    """
+    frames = [p for p in pieces if isinstance(p, DataFrame)]
+    spark, local = frames[0].sparkSession, re.sub("^file:/+", "/", file)
+    if not local.startswith("/"):
+        rows = [spark.createDataFrame([(p,)], "content string") if isinstance(p, str) else p.select(F.col("content").cast("string").alias("content")) for p in pieces]
+        placed = [r.select(F.struct(F.lit(i).alias("piece"), F.monotonically_increasing_id().alias("row")).alias("part"), "content") for i, r in enumerate(rows)]
+        whole = placed[0]
+        for r in placed[1:]:
+            whole = whole.unionByName(r)
+        folder, _, name = file.rpartition("/")
+        write_named_files(whole.withColumn("path", F.lit(name)), folder, "part")
+        return
+    folder, _, name = local.rpartition("/")
+    hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
+
+    def put(batches):
+        from pyspark import TaskContext
+
+        os.makedirs(hidden, exist_ok=True)
+        part, size = f"{hidden}/{uuid.uuid4().hex}", 0
+        with open(part, "wb") as out:
+            for batch in batches:
+                text = batch.column(0).cast(pa.large_binary())  # the rows lie one behind the other in one buffer
+                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+                if len(text) and ends[-1] > ends[0]:
+                    size += out.write(text.buffers()[2][int(ends[0]) : int(ends[-1])])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([part]), pa.array([size], pa.int64())], ["task", "part", "size"])
+
+    def copy(batches):
+        for batch in batches:
+            for part, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(part, "rb") as source, os.fdopen(os.open(f"{hidden}/whole", os.O_WRONLY | os.O_CREAT, 0o666), "wb") as out:
+                    out.seek(place)
+                    shutil.copyfileobj(source, out, 1 << 22)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["part"])
+
+    os.makedirs(hidden)
+    try:
+        parts, place = [], 0
+        for i, piece in enumerate(pieces):
+            if isinstance(piece, str):
+                found = [(f"{hidden}/text-{i}", len(piece.encode()))]
+                with open(found[0][0], "wb") as out:
+                    out.write(piece.encode())
+            else:
+                content = F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content")
+                rows = piece.select(content).mapInArrow(put, "task bigint, part string, size bigint").collect()
+                found = [(r["part"], r["size"]) for r in sorted(rows, key=lambda r: r["task"])]
+            for part, size in found:
+                parts.append((part, place))
+                place += size
+        open(f"{hidden}/whole", "wb").close()
+        if parts:
+            spark.createDataFrame(parts, "part string, place bigint").repartition(len(parts)).mapInArrow(copy, "part string").count()
+        os.replace(f"{hidden}/whole", local)
+    finally:
+        shutil.rmtree(hidden)
