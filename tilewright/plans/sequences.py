@@ -333,7 +333,7 @@ def fill_span_gaps(v):
     select s.doc_id, s.span_id, min(o.idx) filter (o.off>=s.start) as start_token, coalesce(min(o.idx) filter (o.off>=s.fin), max(o.n)) as end_token from s join o on o.doc_id=s.doc_id group by s.doc_id, s.span_id""",
 )
 def char_to_token_spans(v):
-    return tx.char_to_token_spans(tx.tokenize(v.table("documents")), spans(v))
+    return tx.char_to_token_spans_of_texts(v.table("documents"), spans(v))
 
 
 @query(
@@ -343,7 +343,7 @@ def char_to_token_spans(v):
     case when i.idx is null then 0 else (case label when 'A' then 2 else 4 end)-(case when rn=1 then 1 else 0 end) end as tag_id from o left join i on i.doc_id=o.doc_id and i.idx=o.idx""",
 )
 def bio_tags(v):
-    tags = tx.bio_tags(tx.tokenize(v.table("documents")), spans(v), ["A", "B"])
+    tags = tx.bio_tags_of_texts(v.table("documents"), spans(v), ["A", "B"])
     return tags.select("doc_id", "idx", F.md5("token").alias("token_md5"), "tag", "tag_id")
 
 
@@ -354,12 +354,11 @@ def bio_tags(v):
     union all select distinct doc_id, 0, -100 from t""",
 )
 def align_subwords(v):
-    tokens = tx.tokenize(v.table("documents"))
-    np = F.floor((F.length("token") + 3) / 4)
-    pieces = tokens.filter(np > 0).select("doc_id", "idx", F.explode(F.sequence(F.lit(0).cast("bigint"), np - 1)).alias("pc"))
-    placed = tx.number_rows(pieces, ["doc_id"], ["idx", "pc"], "pos", F.floor(F.col("idx") / 65_536)).select("doc_id", "pos", F.col("idx").alias("word_idx"))
-    special = v.table("documents").select("doc_id", F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast("int").alias("word_idx"))
-    return tx.align_subwords(placed.unionByName(special), tokens.select("doc_id", "idx", (F.col("idx") % 5).alias("tag_id")))
+    """A tokenizer's output, a special and then pieces of 4 characters of each word, beside the words' tags."""
+    docs = v.table("documents").filter("text is not null").select("doc_id", F.split("text", " ").alias("_w"))
+    pieces = F.transform("_w", lambda w, i: F.array_repeat(i, F.floor((F.length(w) + 3) / 4).cast("int")))
+    words = F.concat(F.array(F.lit(None).cast("int")), F.flatten(pieces))
+    return tx.align_subwords_of_texts(docs.select("doc_id", words.alias("words"), F.transform("_w", lambda w, i: i % 5).alias("tags")))
 
 
 @query(
