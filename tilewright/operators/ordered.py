@@ -21,7 +21,7 @@ CHUNK = "_chunk"
 MAX_SEGMENTS = 64
 SAMPLE = 10_000  # values that place the chunk borders of a text column
 GROUP_LIMIT = 1000  # Spark limits rows per group before the shuffle up to this k
-HOT_ROWS = 50_000  # a group up to this size is one task's work wherever it lies
+HOT_ROWS = 4_000_000  # a group up to this size is one task's work wherever it lies: its sort spills, a chunked one takes three more shuffles
 
 
 def chunk_bounds(df: DataFrame, on) -> list[float]:
@@ -252,10 +252,10 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int) -
 
 
 def collect_parts(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, size: int = 10_000, chunk: Column | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, size: int = 10_000, chunk: Column | None = None, hot: bool | None = None
 ) -> DataFrame:
     """Ordered lists of bounded length: (keys, part, items); the parts in order are the whole list."""
-    numbered = number_rows(df, keys, order, "_rn", chunk)
+    numbered = number_rows(df, keys, order, "_rn", chunk, hot)
     return (
         numbered.withColumn("part", F.floor((F.col("_rn") - 1) / size))
         .groupBy(*keys, "part")
