@@ -10,6 +10,7 @@ from tilewright.streaming import jobs
 
 
 PARTS = 4
+FILE_ROWS = 250_000  # rows of a part that make one more file
 
 
 def event_stream(v):
@@ -18,15 +19,20 @@ def event_stream(v):
 
 
 def part_stream(v, in_order: bool):
-    """The events as four files, one micro-batch each: in order of the event id, or each file a mix of all times."""
+    """The events as four parts, one micro-batch each: in order of the event id, or each part a mix of all times.
+
+    Each part is the same number of files, all with rows, so a batch is as many files as tasks write and read side by side.
+    """
     events = v.table("events")
     root = shared_dir(v.spark, "parts")
     part = F.floor(F.col("event_id") * PARTS / (F.col("_most") + 1)) if in_order else F.pmod(F.xxhash64("event_id"), F.lit(PARTS))
     most = events.agg(F.max("event_id").alias("m")).scalar()
     rows = events.withColumn("_most", most).withColumn("_part", part.cast("int")).drop("_most")
+    sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+    files = max(1, min(sizes) // FILE_ROWS) if len(sizes) == PARTS else 1
     for k in range(PARTS):  # one after the other: the file source goes by time of writing
-        rows.filter(F.col("_part") == k).drop("_part").repartition(1).write.parquet(f"{root}/part={k}")
-    reader = v.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        rows.filter(F.col("_part") == k).drop("_part").repartition(files).write.parquet(f"{root}/part={k}")
+    reader = v.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
     return reader.parquet(root).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.operators import state as st
-from tilewright.operators.ordered import islands, number_rows, running
+from tilewright.operators.ordered import has_hot_group, islands, number_rows, running
 from tilewright.session import STATE_STORE, ship_package
 from tilewright.streaming.tables import BatchOutput, BucketedTable
 
@@ -173,8 +173,9 @@ def stream_retry(events: DataFrame, out: str, state: str, checkpoint: str, tries
         if before is None:
             before = batch.select("item", F.lit(0).cast("bigint").alias("errors")).limit(0)
         is_ok, is_error = F.col("outcome") == "ok", F.col("outcome") == "error"
-        grouped = running(batch, ["item"], ["at", "id"], sums={"_g": is_ok.cast("bigint")})
-        errors = number_rows(grouped.filter(is_error), ["item", "_g"], ["at", "id"], "_k")
+        hot = has_hot_group(batch, ["item"])
+        grouped = running(batch, ["item"], ["at", "id"], sums={"_g": is_ok.cast("bigint")}, hot=hot).persist()  # used three times
+        errors = number_rows(grouped.filter(is_error), ["item", "_g"], ["at", "id"], "_k", hot=None if hot else False)
         errors = errors.join(before, "item", "left").withColumn("_k", F.col("_k") + F.when(F.col("_g") == 0, F.coalesce("errors", F.lit(0))).otherwise(0))
         attempt = (F.col("_k") - 1) % tries + 1
         failed = attempt == tries
@@ -192,6 +193,7 @@ def stream_retry(events: DataFrame, out: str, state: str, checkpoint: str, tries
         fresh = last.join(tail, ["item", "_g"], "left").join(before, "item", "full")
         total = F.coalesce("_n", F.lit(0)) + F.when(F.coalesce("_g", F.lit(0)) == 0, F.coalesce("errors", F.lit(0))).otherwise(0)
         table.write(fresh.select("item", (total % tries).alias("errors")), batch_id + 1, touched)
+        grouped.unpersist()
 
     run_batches(events, step, checkpoint)
     return output.read()
@@ -291,8 +293,12 @@ def stream_segments(rows: DataFrame, out: str, state: str, checkpoint: str, time
         if timeout is not None:
             now = batch.agg(F.max("t").alias("now")).scalar()
             marked = marked.withColumn("_open", F.col("_open") & (F.col("end") + timeout > now))
-        output.write(marked.filter(~F.col("_open")).select(*columns), batch_id)
-        table.write(marked.filter("_open").select(*columns), batch_id + 1, touched)
+        marked = marked.persist()  # written twice
+        try:
+            output.write(marked.filter(~F.col("_open")).select(*columns), batch_id)
+            table.write(marked.filter("_open").select(*columns), batch_id + 1, touched)
+        finally:
+            marked.unpersist()
 
     run_batches(rows, step, checkpoint)
     done = output.read()
