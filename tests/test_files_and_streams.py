@@ -310,3 +310,41 @@ def test_stream_timeouts(spark, log, tmp_path):
     # items started at least 10 minutes before the last watermark
     want = batch.filter("e = 0").filter((F.col("id") + 10) <= 599 - 1)
     assert sorted(r["item"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
+
+
+def test_flattening_reads_the_regions_once(spark):
+    from tilewright.operators import documents
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, k, f"c{k % 3}", str(i + k)) for i in range(50) for k in range(6)]
+    regions = spark.createDataFrame(rows, "task_id bigint, ord bigint, from_name string, value string").mapInArrow(count, "task_id bigint, ord bigint, from_name string, value string")
+    tasks = spark.range(60).selectExpr("id as task_id", "1L as completed_by", "2L as updated_by")
+    got = documents.flatten_annotations(tasks, regions, spark.sql("select 1L as user_id, 'a' as email")).filter("ID in (7, 55)").orderBy("ID").collect()
+    assert [tuple(r) for r in got] == [(7, 10, 11, 12, "a", ""), (55, None, None, None, "a", "")]
+    assert seen.value == len(rows)
+
+
+def test_labels_are_the_same_however_large_groups_are_told(spark):
+    from tilewright.sources import annotations
+
+    boxes = spark.range(40).selectExpr("id % 3 as image_id", "id as ann_id", "id % 5 as category_id", "id as x", "id as y", "3 as w", "4 as h")
+    images = spark.range(3).selectExpr("id as image_id", "100 as w", "200 as h")
+    texts = [sorted(map(tuple, annotations.write_yolo_labels(boxes, images, part_size=6, hot=hot).collect())) for hot in (True, False, None)]
+    assert texts[0] == texts[1] == texts[2] and len(texts[0]) == 9
+
+
+def test_a_micro_batch_of_several_files(spark, monkeypatch):
+    import __spark_entry__ as entry
+    import check_oracle
+    from tilewright.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    found = entry.queries()["stream_segments"](spark, "/root/testdata/sf0.001")
+    cur = check_oracle.connect("/root/testdata/sf0.001").execute(entry.oracle_sql()["stream_segments"])
+    assert check_oracle.compare(found.columns, found.collect(), [d[0] for d in cur.description], cur.fetchall()) is None

@@ -11,6 +11,7 @@ from tilewright.functions.geo import tile_bounds
 from tilewright.functions.text import coerce_text
 from tilewright.operators.datasets import annotator_emails
 from tilewright.operators.ordered import collect_parts
+from tilewright.session import shared_dir
 
 
 def dataset_manifest(classes: DataFrame, directory: str, part_size: int = 10_000) -> DataFrame:
@@ -50,14 +51,20 @@ def flatten_annotations(
     The last value of a control wins. Text loses outer quotes; a column whose values are
     all whole numbers within bigint is bigint, any other varchar.
     """
+    # the regions are read once: names, kinds and columns come from one row a task with its few controls
+    last = regions.filter("from_name is not null").groupBy("task_id", "from_name").agg(F.max_by("value", "ord").alias("value"))
+    table = shared_dir(tasks.sparkSession, "controls")
+    last.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("from_name", "value"))).alias("_controls")).write.parquet(table)
+    controls = tasks.sparkSession.read.schema("task_id " + regions.schema["task_id"].dataType.simpleString() + ", _controls map<string,string>").parquet(table)
     if names is None:  # the set of controls is the label configuration, a handful of names
-        names = [r[0] for r in regions.select("from_name").distinct().orderBy("from_name").collect()]
-    values = regions.groupBy("task_id").pivot("from_name", list(names)).agg(F.max_by("value", "ord"))
+        names = [r[0] for r in controls.select(F.explode(F.map_keys("_controls")).alias("n")).distinct().orderBy("n").collect()]
+    values = controls.select("task_id", *[F.col("_controls")[n].alias(n) for n in names])
     who = annotator_emails(tasks.select("task_id", "completed_by", "updated_by"), users)
     wide = who.join(values, "task_id", "left").withColumnRenamed("task_id", "ID")
     wide = wide.select(*[coerce_text(c).alias(c) if c in names else F.col(c) for c in wide.columns])
     if infer_types:
-        whole = wide.agg(*[F.bool_and(F.col(n).isNull() | (F.col(n).rlike("^[0-9]+$") & F.col(n).try_cast("bigint").isNotNull())).alias(n) for n in names]).first()
+        known = tasks.select("task_id").join(values, "task_id").select(*[coerce_text(n).alias(n) for n in names])
+        whole = known.agg(*[F.bool_and(F.col(n).isNull() | (F.col(n).rlike("^[0-9]+$") & F.col(n).try_cast("bigint").isNotNull())).alias(n) for n in names]).first()
         for n in names:
             if whole is not None and whole[n]:
                 wide = wide.withColumn(n, F.col(n).cast("bigint"))
