@@ -31,7 +31,7 @@ def read_coco(v):
     box = F.struct(
         F.col("ann_id").alias("id"), "image_id", "category_id", F.array(*[F.col(c).cast("double") for c in "xywh"]).alias("bbox")
     )
-    parts = ann.collect_parts(v.boxes, ["image_id"], ["ann_id"], box, chunk=F.floor(F.col("ann_id") / 10_000))
+    parts = ann.collect_parts(v.boxes, ["image_id"], ["ann_id"], box, chunk=F.floor(F.col("ann_id") / 10_000), hot=v.hot_boxes)
     image = v.images.select("image_id", F.array(F.struct(F.col("image_id").alias("id"), F.col("w").alias("width"), F.col("h").alias("height"))).alias("images"))
     path = shared_dir(v.spark, "coco")
     parts.join(image, "image_id").select("images", F.col("items").alias("annotations")).write.json(path)
@@ -43,7 +43,7 @@ def read_coco(v):
 @query("read_label_export", "select task_id, ord, from_name, value, completed_by from v_regions")
 def read_label_export(v):
     region = F.struct("from_name", "value", F.col("ord").cast("string").alias("id"))
-    parts = ann.collect_parts(v.regions, ["task_id", "completed_by"], ["ord"], region, chunk=F.floor(F.col("ord") / 10_000))
+    parts = ann.collect_parts(v.regions, ["task_id", "completed_by"], ["ord"], region, chunk=F.floor(F.col("ord") / 10_000), hot=v.hot_boxes)
     path = shared_dir(v.spark, "export")
     one = F.array(F.struct("completed_by", F.col("items").alias("result")))
     parts.select(F.col("task_id").alias("id"), one.alias("annotations")).write.json(path)
@@ -54,7 +54,7 @@ def read_label_export(v):
 
 @query("read_yolo_labels", "select cast(b.image_id%200 as varchar) as stem, cast(category_id as integer) as cls, " + ", ".join(f"{micro(n, d)} as {a}" for n, d, a in (("2*b.x+b.w", "2*i.w", "xc"), ("2*b.y+b.h", "2*i.h", "yc"), ("b.w", "i.w", "w"), ("b.h", "i.h", "h"))) + " from " + SIZED)
 def read_yolo_labels(v):
-    texts = ann.write_yolo_labels(v.boxes, v.images, chunk=F.floor(F.col("ann_id") / 10_000))
+    texts = ann.write_yolo_labels(v.boxes, v.images, chunk=F.floor(F.col("ann_id") / 10_000), hot=v.hot_boxes)
     path = shared_dir(v.spark, "labels")
     ann.save_yolo_labels(texts.withColumn("sheet", F.col("image_id") % 200), path, "sheet")  # one file for the labels of many pictures
     return ann.read_yolo_labels(v.spark, path)
@@ -62,7 +62,7 @@ def read_yolo_labels(v):
 
 @query("write_yolo_labels", f"select b.image_id, cast(floor((ann_id-1)/10000) as bigint) as part, string_agg({LINE}, chr(10) order by ann_id) as text from {SIZED} group by all")
 def write_yolo_labels(v):
-    return ann.write_yolo_labels(v.boxes, v.images, chunk=F.floor(F.col("ann_id") / 10_000))
+    return ann.write_yolo_labels(v.boxes, v.images, chunk=F.floor(F.col("ann_id") / 10_000), hot=v.hot_boxes)
 
 
 @query("read_segmentation_csv", "select cast(image_id as varchar) as image_id, concat(image_id,'_',ann_id,'.png') as mask_name, case when category_id<10 then concat('class ',category_id) else concat('/m/',category_id) end as class_name from v_boxes")
@@ -292,7 +292,7 @@ def pair_by_position(v):
 @query("masks_per_image", "select image_id, cast(floor((ann_id-1)/10000) as bigint) as part, string_agg(concat('m',ann_id,'_',category_id), ',' order by ann_id) as masks from v_boxes group by all")
 def masks_per_image(v):
     masks = v.boxes.withColumn("mask_name", F.concat(F.lit("m"), "ann_id", F.lit("_"), "category_id"))
-    return ds.masks_per_image(masks, chunk=F.floor(F.col("ann_id") / 10_000)).withColumn("masks", F.array_join("masks", ","))
+    return ds.masks_per_image(masks, chunk=F.floor(F.col("ann_id") / 10_000), hot=v.hot_boxes).withColumn("masks", F.array_join("masks", ","))
 
 
 @query("batch_stats", "select round(avg(n),9) as mean_objects, min(n) as min_objects, max(n) as max_objects from (select count(*) as n from v_boxes group by image_id) q")

@@ -90,7 +90,7 @@ def export_file(v):
     """All tasks as one array in one file, read by many tasks."""
     folder = shared_dir(v.spark, "export-file")
     region = F.struct("from_name", "value", F.col("ord").cast("string").alias("id"))
-    parts = ann.collect_parts(v.regions, ["task_id", "completed_by"], ["ord"], region, chunk=F.floor(F.col("ord") / 10_000))
+    parts = ann.collect_parts(v.regions, ["task_id", "completed_by"], ["ord"], region, chunk=F.floor(F.col("ord") / 10_000), hot=v.hot_boxes)
     task = F.struct(F.col("task_id").alias("id"), F.array(F.struct("completed_by", F.col("items").alias("result"))).alias("annotations"))
     write_one_file(f"{folder}/tasks.json", ["[", items(parts, task), "null]"])
     found = ann.read_label_export(v.spark, f"{folder}/tasks.json")

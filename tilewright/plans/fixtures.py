@@ -107,6 +107,12 @@ class Views:
             (p % 12).alias("category_id"),
         )
 
+    @property
+    def hot_boxes(self) -> bool:
+        """Whether an image has more boxes than one task should order, counted once for a folder."""
+        self.boxes
+        return _BOUNDS[self.spark.sparkContext.applicationId, self.dir, "boxes/hot"]
+
     @property
     def points(self) -> DataFrame:
         e = F.col("event_id")

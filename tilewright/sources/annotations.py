@@ -95,7 +95,7 @@ def yolo_line(cls, x, y, w, h, img_w, img_h):
     )
 
 
-def write_yolo_labels(boxes: DataFrame, images: DataFrame, order: str = "ann_id", part_size: int = 10_000, chunk=None) -> DataFrame:
+def write_yolo_labels(boxes: DataFrame, images: DataFrame, order: str = "ann_id", part_size: int = 10_000, chunk=None, hot: bool | None = None) -> DataFrame:
     """Newline-joined label text per image.
 
     A text holds at most `part_size` lines; an image with more has further parts, which
@@ -106,7 +106,7 @@ def write_yolo_labels(boxes: DataFrame, images: DataFrame, order: str = "ann_id"
     )
     c = F.col
     line = yolo_line(c("category_id"), c("x"), c("y"), c("w"), c("h"), c("_iw"), c("_ih"))
-    parts = collect_parts(sized, ["image_id"], [order], line, part_size, chunk)
+    parts = collect_parts(sized, ["image_id"], [order], line, part_size, chunk, hot)
     return parts.select("image_id", "part", F.array_join("items", "\n").alias("text"))
 
 
