@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tilewright.operators import sequences as sq
 from tilewright.sources import annotations as ann
 from tilewright.sources import files, runs, state_tables, timeseries
@@ -35,6 +36,41 @@ def test_images_and_pixels(spark, tmp_path):
     assert [(r["r"], r["g"], r["b"]) for r in got] == pixels and [(r["y"], r["x"]) for r in got] == [(i // 3, i % 3) for i in range(6)]
 
 
+def test_small_images_share_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / str(i % 3)).mkdir(exist_ok=True)
+        (tmp_path / str(i % 3) / f"p{i // 3}.png").write_bytes(png(1, 1, [(i, i, i)]))  # each stem in three folders
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        images = files.read_images(spark, str(tmp_path))
+        assert images.rdd.getNumPartitions() == 16
+        pixels = files.explode_pixels(images, keep=["w", "path"])
+        assert pixels._jdf.queryExecution().executedPlan().toString().count("FileScan image") == 1
+        got = sorted((int(r["path"].split("/")[-2]), r["image_id"], r["w"], r["b"]) for r in pixels.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((i % 3, f"p{i // 3}", 1, i) for i in range(60))
+
+
+def test_read_images_reads_once(spark):
+    found = queries()["read_images"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan image") == 1
+
+
+def test_pixels_of_odd_images(spark):
+    wide = bytes(range(256)) * 3 * 300
+    odd = [("a", 3, 2, 3, bytes(range(18))), ("none", 2, 1, 3, None), ("b", 2, 2, 3, bytes(range(200, 207))), ("gray", 2, 2, 1, b"\x01\x02\x03\xff"), ("alpha", 1, 2, 4, bytes(range(8)))]
+    odd += [("empty", 0, 5, 3, b""), ("void", None, 5, 3, b"1"), ("minus", -2, -2, 3, b"1"), ("wide", 256, 300, 3, wide), ("long", 1, 1, 3, b"12345"), (None, 1, 1, 1, b"7")]
+    images = spark.createDataFrame(odd, "stem string, w int, h int, channels int, data binary").coalesce(1)
+    got = {(r["image_id"], r["y"], r["x"]): (r["w"], r["b"], r["g"], r["r"]) for r in files.explode_pixels(images, keep=["w"]).collect()}
+    want = {}
+    for stem, w, h, channels, data in odd:
+        for p in range(max(0, w or 0) * max(0, h)):
+            bytes_of = [(data or b"")[p * channels + i : p * channels + i + 1] if i < channels else b"" for i in range(3)]
+            want[stem, p // w, p % w] = (w, *[b[0] if b else None for b in bytes_of])
+    assert got == want
+
+
 def test_inventory(spark, tmp_path):
     for name in ("x/a.jpg", "y/a.JPG", "y/b.txt", "y/c.png"):
         (tmp_path / name).parent.mkdir(exist_ok=True)

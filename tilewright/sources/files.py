@@ -11,14 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tilewright.session import cut_lineage, ship_package
+from tilewright.session import cut_lineage, parallelism, ship_package
 from tilewright.sources.named_files import write_named_files
 
 # fixed values: picture suffixes accepted by listings
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png"]
 PIXELS = 1 << 16  # pixel rows that leave a task at once
 LISTED = 10_000  # paths that leave a task at once
+MERGED = 64  # of Spark's shares of a folder of pictures that one task reads
 
 
 def path_parts(df: DataFrame, path: str = "path") -> DataFrame:
@@ -88,43 +90,58 @@ def file_inventory(spark: SparkSession, directory: str, exts: Sequence[str] = IM
 
 
 def read_images(spark: SparkSession, directory: str) -> DataFrame:
-    """Path, stem, size, channel count and BGR bytes of each picture."""
+    """Path, stem, size, channel count and BGR bytes of each picture.
+
+    Spark counts each file as `spark.sql.files.openCostInBytes` (4 MB), so a task would read a
+    few small pictures only; MERGED of these shares are read by one task, one after the other.
+    """
     raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(directory)
-    flat = raw.select(
+    shares = raw.rdd.getNumPartitions()
+    tasks = max(4 * parallelism(spark), -(-shares // MERGED))
+    flat = (raw if shares <= tasks else raw.coalesce(tasks)).select(
         F.col("image.origin").alias("path"), F.col("image.width").alias("w"), F.col("image.height").alias("h"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
     return path_parts(flat).drop("suffix", "parent")
 
 
-def explode_pixels(images: DataFrame, id_col: str = "stem", names: Sequence[str] = ("b", "g", "r")) -> DataFrame:
-    """One row per pixel with its channel values (w, h, channels, data as `read_images` gives them).
+def explode_pixels(images: DataFrame, id_col: str = "stem", names: Sequence[str] = ("b", "g", "r"), keep: Sequence[str] = ()) -> DataFrame:
+    """One row per pixel with its channel values (w, h, channels, data as `read_images` gives them) and the picture's columns `keep`.
 
-    A picture's bytes are viewed as an array and leave the task in slices of PIXELS rows; a
-    channel that the picture does not have, and bytes that are missing at its end, are null.
+    The pixels of a batch of pictures are numbered through and leave the task in slices of
+    PIXELS rows; a channel that the picture does not have, and bytes that are missing at its
+    end, are null.
     """
-    kind = images.schema[id_col].dataType.simpleString()
-    schema = f"image_id {kind}, y bigint, x bigint, " + ", ".join(f"`{n}` int" for n in names)
+    kept = [images.schema[k] for k in keep]
+    kind = images.schema[id_col].dataType
+    schema = StructType([StructField("image_id", kind), StructField("y", LongType()), StructField("x", LongType()), *[StructField(n, IntegerType()) for n in names], *kept])
 
     def run(batches):
         for batch in batches:
-            sizes = [batch.column(c).to_pylist() for c in range(1, 4)]
-            for at, (w, h, channels) in enumerate(zip(*sizes)):
-                if not w or not h or w < 0 or h < 0:
-                    continue
-                data = batch.column(4)[at]
-                flat = np.frombuffer(data.as_buffer(), np.uint8) if data.is_valid else np.zeros(0, np.uint8)
-                for lo in range(0, w * h, PIXELS):
-                    pos = np.arange(lo, min(w * h, lo + PIXELS))
-                    values = []
-                    for i in range(len(names)):
-                        place = pos * channels + i
-                        known = (place < len(flat)) & (i < channels)
-                        values.append(pa.array(flat[place[known]].astype(np.int32)) if known.all() else pa.array(np.append(flat, np.uint8(0))[np.where(known, place, -1)].astype(np.int32), mask=~known))
-                    image = batch.column(0).take(pa.array(np.full(len(pos), at)))
-                    yield pa.RecordBatch.from_arrays([image, pa.array(pos // w), pa.array(pos % w), *values], ["image_id", "y", "x", *names])
-
-    return images.select(F.col(id_col), F.col("w").cast("bigint"), F.col("h").cast("bigint"), F.col("channels").cast("bigint"), "data").mapInArrow(run, schema)
+            w, h, channels = (batch.column(c).fill_null(0).to_numpy() for c in range(1, 4))
+            data = batch.column(4).cast(pa.large_binary())  # the bytes lie one behind the other in one buffer
+            ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+            flat = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+            size = np.where(data.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+            pixels = np.maximum(w, 0) * np.maximum(h, 0)
+            last = np.cumsum(pixels)
+            for lo in range(0, int(pixels.sum()), PIXELS):
+                number = np.arange(lo, min(int(last[-1]), lo + PIXELS))
+                at = np.searchsorted(last, number, "right")
+                pos = number - (last - pixels)[at]
+                values = []
+                for i in range(len(names)):
+                    place = pos * channels[at] + i
+                    known = (place < size[at]) & (i < channels[at])
+                    value = np.zeros(len(at), np.int32)
+                    value[known] = flat[(ends[at] + place)[known]]
+                    values.append(pa.array(value, mask=~known))
+                picture = pa.array(at)
+                columns = [batch.column(0).take(picture), pa.array(pos // w[at]), pa.array(pos % w[at]), *values, *[batch.column(5 + k).take(picture) for k in range(len(keep))]]
+                yield pa.RecordBatch.from_arrays(columns, ["image_id", "y", "x", *names, *keep])
+
+    sizes = [F.col(c).cast("bigint").alias(f"_{c}") for c in ("w", "h", "channels")]
+    return images.select(F.col(id_col), *sizes, F.col("data").alias("_data"), *keep).mapInArrow(run, schema)
 
 
 def write_split_dataset(rows: DataFrame, directory: str, dry_run: bool = False) -> DataFrame:

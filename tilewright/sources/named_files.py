@@ -32,7 +32,7 @@ def _source():
 
             at = self.directory[5:] if self.directory.startswith("file:/") and not self.directory.startswith("file://") else self.directory
             store, root = fs.FileSystem.from_uri(at)
-            path = stream = hidden = None
+            path = stream = hidden = made = None
 
             def put():
                 stream.close()
@@ -47,7 +47,9 @@ def _source():
                                 put()
                                 stream = None
                             folder, _, last = f"{root}/{name}".rpartition("/")
-                            store.create_dir(folder, recursive=True)
+                            if folder != made:
+                                store.create_dir(folder, recursive=True)
+                                made = folder
                             path, hidden = name, f"{folder}/.{last}.{uuid.uuid4().hex}"
                             stream = store.open_output_stream(hidden)
                         if part.is_valid:
