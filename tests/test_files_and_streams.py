@@ -43,7 +43,7 @@ def test_small_images_share_tasks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
     try:
         images = files.read_images(spark, str(tmp_path))
-        assert images.rdd.getNumPartitions() == 16
+        assert images.rdd.getNumPartitions() == 8 * 4
         pixels = files.explode_pixels(images, keep=["w", "path"])
         assert pixels._jdf.queryExecution().executedPlan().toString().count("FileScan image") == 1
         got = sorted((int(r["path"].split("/")[-2]), r["image_id"], r["w"], r["b"]) for r in pixels.collect())

@@ -20,7 +20,7 @@ from tilewright.sources.named_files import write_named_files
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png"]
 PIXELS = 1 << 16  # pixel rows that leave a task at once
 LISTED = 10_000  # paths that leave a task at once
-MERGED = 64  # of Spark's shares of a folder of pictures that one task reads
+READERS = 8  # tasks for a shuffle partition, at most, that read a folder of pictures
 
 
 def path_parts(df: DataFrame, path: str = "path") -> DataFrame:
@@ -93,12 +93,10 @@ def read_images(spark: SparkSession, directory: str) -> DataFrame:
     """Path, stem, size, channel count and BGR bytes of each picture.
 
     Spark counts each file as `spark.sql.files.openCostInBytes` (4 MB), so a task would read a
-    few small pictures only; MERGED of these shares are read by one task, one after the other.
+    few small pictures only; a task reads many of these shares here, one after the other.
     """
     raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(directory)
-    shares = raw.rdd.getNumPartitions()
-    tasks = max(4 * parallelism(spark), -(-shares // MERGED))
-    flat = (raw if shares <= tasks else raw.coalesce(tasks)).select(
+    flat = raw.coalesce(READERS * parallelism(spark)).select(
         F.col("image.origin").alias("path"), F.col("image.width").alias("w"), F.col("image.height").alias("h"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
