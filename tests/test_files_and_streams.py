@@ -375,6 +375,15 @@ def test_labels_are_the_same_however_large_groups_are_told(spark):
     assert texts[0] == texts[1] == texts[2] and len(texts[0]) == 9
 
 
+def test_mask_lists_are_the_same_however_large_groups_are_told(spark):
+    from tilewright.operators import datasets as ds
+
+    masks = spark.range(40).selectExpr("id % 3 as image_id", "id as ann_id", "concat('m', id) as mask_name")
+    lists = [sorted(map(tuple, ds.masks_per_image(masks, part_size=6, hot=hot).collect())) for hot in (True, False, None)]
+    assert lists[0] == lists[1] == lists[2] and len(lists[0]) == 9
+    assert lists[0][0] == (0, 0, ["m0", "m3", "m6", "m9", "m12", "m15"])
+
+
 def test_a_micro_batch_of_several_files(spark, monkeypatch):
     import __spark_entry__ as entry
     import check_oracle

@@ -251,9 +251,11 @@ def paths_present_both(a: DataFrame, b: DataFrame, key: str = "stem") -> DataFra
 # ---- counts --------------------------------------------------------------
 
 
-def masks_per_image(masks: DataFrame, order: Sequence[str] = ("ann_id",), value: str = "mask_name", part_size: int = 10_000, chunk=None) -> DataFrame:
-    """Ordered mask list per image, in parts of bounded length."""
-    return collect_parts(masks, ["image_id"], list(order), F.col(value), part_size, chunk).withColumnRenamed("items", "masks")
+def masks_per_image(
+    masks: DataFrame, order: Sequence[str] = ("ann_id",), value: str = "mask_name", part_size: int = 10_000, chunk=None, hot: bool | None = None
+) -> DataFrame:
+    """Ordered mask list per image, in parts of bounded length; whether an image is `hot` is counted if not told."""
+    return collect_parts(masks, ["image_id"], list(order), F.col(value), part_size, chunk, hot).withColumnRenamed("items", "masks")
 
 
 def batch_stats(boxes: DataFrame) -> DataFrame:
