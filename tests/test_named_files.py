@@ -1,6 +1,7 @@
 """Files of given names: order of parts, whole files only, refused names."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,23 @@ def test_no_task_holds_a_whole_document(spark, name):
         assert most_read(spark, lambda: query(spark, "/root/testdata/sf0.001").count()) < 4000  # of 6,000 boxes
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_listing_of_many_files_holds_a_part_of_them_at_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from check_oracle import compare, connect
+    from tilewright.plans import files as plan
+
+    most, remove = [], plan.remove_folders
+
+    def counted(session, folders):
+        most.append(sum(len(names) for f in folders for _, _, names in os.walk(re.sub("^file:/+", "/", f))))
+        remove(session, folders)
+        assert not any(os.path.exists(f) for f in folders)
+
+    monkeypatch.setattr(plan, "TREE", 150)
+    monkeypatch.setattr(plan, "remove_folders", counted)
+    found = entry.queries()["list_files"](spark, "/root/testdata/sf0.001")
+    cur = connect("/root/testdata/sf0.001").execute(entry.oracle_sql()["list_files"])
+    assert compare(found.columns, found.collect(), [d[0] for d in cur.description], cur.fetchall()) is None
+    assert len(most) == 4 and max(most) < 250 and sum(most) == 533

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 
 from tilewright.plans.pixels import BGR
 from tilewright.plans.registry import query
-from tilewright.session import shared_dir
+from tilewright.session import cut_lineage, shared_dir
 from tilewright.sources import annotations as ann
 from tilewright.sources import files
-from tilewright.sources.named_files import write_named_files, write_one_file
+from tilewright.sources.named_files import remove_folders, write_named_files, write_one_file
+
+TREE = 2_000_000  # files that lie there at once to be listed: each takes an inode and a block of the file system
+SHARDS = 64  # folders below which they are dealt, since tasks that fill one folder wait for each other
 
 
 def below(directory: str, path: str = "path"):
@@ -28,10 +32,21 @@ def below(directory: str, path: str = "path"):
     (values ('a','.jpg'),('b','.PNG'),('c','.txt')) k(d, sf) where not (p_partkey%3=0 and d='b')) q where lower(sf)<>'.txt' group by p_partkey""",
 )
 def list_files(v):
-    i, folder = F.col("p_partkey"), shared_dir(v.spark, "listing")
+    """Trees of at most about TREE files, one after the other, each in SHARDS folders; those listed are removed before the next is written."""
+    i, h = F.col("p_partkey"), F.xxhash64("path")
     paths = F.array(F.concat(F.lit("set/a/"), i, F.lit(".jpg")), F.when(i % 3 != 0, F.concat(F.lit("set/b/"), i, F.lit(".PNG"))), F.concat(F.lit("set/c/"), i, F.lit(".txt")))
-    write_named_files(v.table("part").select(F.explode(paths).alias("path"), F.col("p_name").alias("content")).filter("path is not null"), folder)
-    return files.file_inventory(v.spark, folder, ["jpg", "png"]).withColumn("path", below(folder))
+    named = v.table("part").select(F.explode(paths).alias("path"), F.col("p_name").alias("content")).filter("path is not null")
+    trees, found = max(1, math.ceil(named.count() / TREE)), None
+    for tree in range(trees):
+        folder, shard = shared_dir(v.spark, "listing"), F.pmod(h, F.lit(SHARDS))
+        rows = named.filter(F.pmod(F.shiftright(h, 32), F.lit(trees)) == tree)
+        write_named_files(rows.withColumn("path", F.concat_ws("/", shard.cast("string"), "path")), folder)
+        listed = files.list_paths(v.spark, folder).select(F.regexp_extract(below(folder), "^[0-9]+/(.*)$", 1).alias("path"))
+        if trees > 1:
+            listed = cut_lineage(listed)
+            remove_folders(v.spark, [f"{folder}/{k}" for k in range(SHARDS)])
+        found = listed if found is None else found.unionByName(listed)
+    return files.filter_suffixes(found, ["jpg", "png"])
 
 
 def png(batches):

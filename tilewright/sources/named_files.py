@@ -82,8 +82,9 @@ def write_named_files(files: DataFrame, directory: str, part: str | None = None)
 
     Rows of one path are one file, in order of `part`; they stream through one task, a batch
     at a time. A file is written under a hidden name and moved into place when it is whole,
-    so a task that is run again leaves the same files. Null content is empty. Names must be
-    relative and stay below the directory.
+    so a task that is run again leaves the same files. A folder takes one new name at a time, so
+    each task goes through the folders in an order of its own. Null content is empty. Names must
+    be relative and stay below the directory.
     """
     spark: SparkSession = files.sparkSession
     if spark.sparkContext.applicationId not in _REGISTERED:
@@ -91,11 +92,28 @@ def write_named_files(files: DataFrame, directory: str, part: str | None = None)
         _REGISTERED.add(spark.sparkContext.applicationId)
     bad = F.col("path").isNull() | F.col("path").rlike(r"^/|^$|/$|(^|/)\.\.?(/|$)")
     named = files.withColumn("path", F.when(bad, F.raise_error(F.concat(F.lit("not a name of a file below the folder: "), F.coalesce("path", F.lit("null"))))).otherwise(F.col("path")))
-    order = ["path"] if part is None else ["path", part]
-    dealt = named.repartition("path").sortWithinPartitions(*order).select("path", F.col("content").cast("binary").alias("content"))
+    order = ["_turn", "path"] if part is None else ["_turn", "path", part]
+    turn = F.xxhash64(F.regexp_extract("path", "^(.*)/", 1), F.spark_partition_id())
+    dealt = named.repartition("path").withColumn("_turn", turn).sortWithinPartitions(*order).select("path", F.col("content").cast("binary").alias("content"))
     dealt.write.format(FORMAT).mode("append").save(directory)
 
 
+def remove_folders(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Remove folders with all that lies in them, each by a task; a folder that is gone is passed over."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+                if store.get_file_info(path).type != fs.FileType.NotFound:
+                    store.delete_dir(path)
+            yield batch
+
+    spark.createDataFrame([(f,) for f in folders], "path string").repartition(len(folders)).mapInArrow(run, "path string").count()
+
+
 def write_one_file(file: str, pieces: Sequence[str | DataFrame]) -> None:
     """Write texts and frames (`content`), one after the other, as one file of any size; a frame's rows in its own order.
 
