@@ -192,6 +192,41 @@ def test_synthetic_draws_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin [_rank" in plan and "BroadcastHashJoin [_rank" not in plan
 
 
+def test_numbers_in_tasks_equal_those_of_columns(spark):
+    import pyarrow as pa
+
+    from tilewright.functions.draws import Ids
+    from tilewright.functions.hashing import hash_int
+
+    ids = ["7", "-12", "", "é", "x" * 60, "1234567", "b" * 50, "a" * 45]
+    keys = [(i, t, k, d) for i, t in enumerate(ids) for k in (0, 3, 11) for d in (1, 30, 999, 5_000_000_000)]
+    df = spark.createDataFrame(keys, "i int, id string, k bigint, d bigint").select("i", "k", "d", hash_int("12px", "id", "k", "d").alias("two"), hash_int("8x", "id", "d").alias("one"), hash_int(3, "id").alias("none"))
+    want = df.toPandas()
+    at, k, d = (want[c].to_numpy().astype(np.int64) for c in ("i", "k", "d"))
+    texts = Ids(pa.array(["before", *ids]).slice(1))
+    for got, name in ((texts.number("12px", at, k, d), "two"), (texts.number("8x", at, d), "one"), (texts.number("3", at), "none")):
+        assert got.tolist() == want[name].tolist()
+    assert len(texts.digest("12px", at[:0], k[:0], d[:0])[0]) == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_synthetic_labels_follow_from_the_picture(spark, monkeypatch, kind):
+    pics = spark.range(300).selectExpr(f"cast(case when id = 9 then null else id * 37 end as {kind}) as image_id", "cast(case when id = 5 then 0 when id = 6 then null else 100 + id end as bigint) as w", "200 as h")
+    frags = spark.range(70).selectExpr("id * 3 as frag_id", "cast(id + 5 as int) as fw", "300 - id * 2 as fh")
+    labels = pl.synth_labels(pics, frags, 3)
+    plan = labels._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # the pictures
+    got = sorted(map(tuple, labels.collect()))
+    monkeypatch.setattr(pl, "PACKED", 69)
+    joined = pl.synth_labels(pics, frags, 3)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert got == sorted(map(tuple, joined.collect())) and len(got) > 500
+    monkeypatch.undo()
+    assert pl.synth_labels(pics, frags.limit(0), 3).count() == 0
+    odd = frags.unionByName(spark.sql("select 1000L as frag_id, cast(null as int) as fw, 4L as fh"))
+    assert "Join" in pl.synth_labels(pics, odd, 3)._jdf.queryExecution().executedPlan().toString()
+
+
 def grid_mask(spark, h, w, on):
     return spark.createDataFrame([(1, y, x, on(y, x)) for y in range(h) for x in range(w)], "image_id bigint, y bigint, x bigint, mask boolean")
 

@@ -6,19 +6,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import boxes as fb
+from tilewright.functions.draws import KINDS, Ids
 from tilewright.functions.hashing import digest, hash_unit, hashrand
 from tilewright.operators import boxes as ob
 from tilewright.operators.datasets import pair_by_position, total_rows
 from tilewright.operators.masks import box_fits
 from tilewright.operators.ordered import hash_chunk, number_rows, top_per_group
-from tilewright.session import cut_lineage
+from tilewright.session import cut_lineage, parallelism, ship_package
 
 JITTER = 20  # fixed value: paddings vary by up to this many pixels
 CORNERS = ["x1", "y1", "x2", "y2"]
+PACKED = 1 << 23  # fragments whose sizes are broadcast; more of them meet the draws by a shuffle
 
 
 def _sizes(images: DataFrame) -> DataFrame:
@@ -232,6 +235,8 @@ def synth_boxes(images: DataFrame, frags: DataFrame, seed: int, max_total: int =
 
     `frags` has frag_id, fw, fh. Boxes are cut at the window and picture border.
     """
+    if merge:
+        return _merged_synthetic(images, frags, seed, max_total, max_clusters, max_per_cluster).drop("iw", "ih")
     # the sizes travel with the draws, which spares two joins with the images
     drawn = sample_multiset(frags, _sizes(images), max_total, seed, keep=["iw", "ih"])
     biggest = drawn.groupBy("image_id").agg(F.max("fw").alias("_mw"), F.max("fh").alias("_mh"), F.count("*").alias("_n"), F.max("iw").alias("iw"), F.max("ih").alias("ih"))
@@ -256,17 +261,147 @@ def synth_boxes(images: DataFrame, frags: DataFrame, seed: int, max_total: int =
     spots = ranked.withColumn("_right", right).withColumn("_low", low).filter((F.col("_right") > F.col("wx")) & (F.col("_low") > F.col("wy")))
     x = F.col("wx") + r("px", "_k", "draw", lo=F.lit(0), hi=F.col("_right") - F.col("wx") - 1)
     y = F.col("wy") + r("py", "_k", "draw", lo=F.lit(0), hi=F.col("_low") - F.col("wy") - 1)
-    boxes = spots.withColumn("x", x).withColumn("y", y).select(
+    return spots.withColumn("x", x).withColumn("y", y).select(
         "image_id", (F.col("_k") * (max_total + 1) + F.col("draw")).alias("ann_id"), "x", "y",
         F.least(F.col("fw"), F.col("_right") - F.col("x")).cast("bigint").alias("w"),
         F.least(F.col("fh"), F.col("_low") - F.col("y")).cast("bigint").alias("h"),
     )
-    return ob.merge_greedy(boxes) if merge else boxes
 
 
-def synth_labels(images: DataFrame, frags: DataFrame, seed: int, cls: int = 0, **limits) -> DataFrame:
+def _merged_synthetic(images: DataFrame, frags: DataFrame, seed: int, max_total: int, max_clusters: int, max_per_cluster: int) -> DataFrame:
+    """Merged boxes of `synth_boxes` with their picture's size (iw, ih).
+
+    A picture's boxes follow from its id, its size and the fragments' sizes. So where these fit into
+    a broadcast of bounded size, a task draws, places and merges the boxes of its pictures in numpy,
+    and only the pictures are shuffled. More fragments meet the draws by joins.
+    """
+    plain = images.schema["image_id"].dataType.simpleString() in KINDS and max_total * (max_clusters + 1) <= ob.GROUP_ROWS
+    packed = _packed_sizes(frags) if plain else None
+    if packed is None:
+        boxes = synth_boxes(images, frags, seed, max_total, max_clusters, max_per_cluster, merge=False)
+        return ob.merge_greedy(boxes).join(_sizes(images).hint("merge"), "image_id")
+    spark = images.sparkSession
+    whole = _sizes(images).filter("image_id is not null and iw > 0 and ih > 0").select("image_id", F.col("iw").cast("bigint"), F.col("ih").cast("bigint"))
+    # pictures are few bytes and much work, so their tasks are not coalesced by size
+    single = whole.repartition(2 * parallelism(spark), "image_id").groupBy("image_id").agg(F.max("iw").alias("iw"), F.max("ih").alias("ih"), F.count("*").alias("_c"))
+    sizes = spark.sparkContext.broadcast(packed)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows and len(sizes.value[0]):
+                at, columns, c = _paste(batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), sizes.value, seed, max_total, max_clusters, max_per_cluster)
+                at, columns = np.repeat(at, c), [np.repeat(v, c) for v in columns]
+                place = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), *map(pa.array, columns), batch.column(1).take(place), batch.column(2).take(place)], ["image_id", "ann_id", "x", "y", "w", "h", "iw", "ih"])
+
+    ship_package(spark)
+    kind = images.schema["image_id"].dataType.simpleString()
+    return single.mapInArrow(run, f"image_id {kind}, ann_id bigint, x bigint, y bigint, w bigint, h bigint, iw bigint, ih bigint")
+
+
+def _packed_sizes(frags: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Width and height of the fragments in order of their ids, as narrow numbers; None if there are more than PACKED or if one has no whole number.
+
+    Tasks hand on what they hold as bytes, so the driver sees at most 12 bytes a fragment.
+    """
+    if any(frags.schema[c].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint") for c in ("fw", "fh")):
+        return None
+    odd = F.count(F.when(F.col("fw").isNull() | F.col("fh").isNull() | (F.abs("fw") >= 1 << 31) | (F.abs("fh") >= 1 << 31), 1))
+    n, unfit = frags.agg(F.count("*"), odd).first()
+    if n > PACKED or unfit:
+        return None
+
+    def pack(batches):
+        for batch in batches:
+            parts = [batch.column(i).to_numpy() for i in range(3)]
+            kinds = [np.min_scalar_type(v.min(initial=0)) if v.min(initial=0) < 0 else np.min_scalar_type(v.max(initial=0)) for v in parts[1:]]
+            kinds = [np.dtype(np.int32) if k.kind == "i" else k for k in kinds]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([parts[0].astype(np.int32).tobytes()], pa.binary()), *[pa.array([v.astype(k).tobytes()], pa.binary()) for v, k in zip(parts[1:], kinds)], *[pa.array([k.str]) for k in kinds]], ["at", "fw", "fh", "kw", "kh"]
+            )
+
+    ranked = number_rows(frags.select("frag_id", F.col("fw").cast("bigint").alias("fw"), F.col("fh").cast("bigint").alias("fh")), [], ["frag_id"], "_rank")
+    rows = ranked.select((F.col("_rank") - 1).alias("at"), "fw", "fh").mapInArrow(pack, "at binary, fw binary, fh binary, kw string, kh string").collect()
+    out = []
+    for side, kind in (("fw", "kw"), ("fh", "kh")):
+        whole = np.zeros(n, np.result_type(np.uint8, *{r[kind] for r in rows}))
+        for r in rows:
+            whole[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r[side], r[kind])
+        out.append(whole)
+    return out[0], out[1]
+
+
+def _paste(ids: pa.Array, iw: np.ndarray, ih: np.ndarray, copies: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], seed: int, max_total: int, max_clusters: int, max_per_cluster: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """`synth_boxes` of some pictures: the picture of each merged box, its columns ann_id, x, y, w, h, and how often it comes.
+
+    A picture that comes several times (`copies`) meets itself when draws and sizes are joined, so
+    that a window takes fewer different boxes of it, as in SQL.
+    """
+    texts, every = Ids(ids), np.arange(len(ids))
+    many = texts.number(f"{seed}m", every) % (max_total + 1)
+    own = np.repeat(every, many)
+    draw = _count(many) + 1
+    pick = texts.number(f"{seed}f", own, draw) % len(sizes[0])
+    fw, fh = sizes[0][pick].astype(np.int64), sizes[1][pick].astype(np.int64)
+    has, start = np.flatnonzero(many), np.cumsum(many) - many
+    biggest = [np.zeros(len(ids), np.int64) for _ in range(2)]
+    for b, v in zip(biggest, (fw, fh)):
+        if len(has):
+            b[has] = np.maximum.reduceat(v, start[has])
+    # windows: 0 is the whole picture
+    clusters = 1 + texts.number(f"{seed}c", has) % (max_clusters + 1)
+    of, k = np.repeat(has, clusters), _count(clusters)
+    wx, wy, ww, wh, take = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), iw[of], ih[of], many[of]
+    inner = np.flatnonzero(k)
+    at, number = of[inner], k[inner]
+    wx[inner] = texts.number(f"{seed}wx", at, number) % (iw[at] + 1)
+    wy[inner] = texts.number(f"{seed}wy", at, number) % (ih[at] + 1)
+    ww[inner] = biggest[0][at] + 5 + texts.number(f"{seed}ww", at, number) % 96
+    wh[inner] = biggest[1][at] + 5 + texts.number(f"{seed}wh", at, number) % 96
+    take[inner] = -(-(texts.number(f"{seed}s", at, number) % (max_per_cluster + 1)) // copies[at] ** 2)
+    right, low = np.minimum(wx + ww, iw[of]), np.minimum(wy + wh, ih[of])
+    used = np.flatnonzero((right > wx) & (low > wy) & (take > 0))
+    of, k, wx, wy, take, right, low = (v[used] for v in (of, k, wx, wy, take, right, low))
+    # the draws of each window; a window that does not take all takes those of the least digests
+    window = np.repeat(np.arange(len(of)), many[of])
+    placed = start[of][window] + _count(many[of])
+    some = np.flatnonzero((take < many[of])[window])
+    if len(some):
+        words = texts.digest(f"{seed}o", of[window[some]], k[window[some]], draw[placed[some]]).astype(np.uint64)
+        high, rest = words[0] << np.uint64(32) | words[1], words[2] << np.uint64(32) | words[3]
+        order = np.lexsort((high, window[some]))
+        if ((high[order][1:] == high[order][:-1]) & (window[some][order][1:] == window[some][order][:-1])).any():
+            order = np.lexsort((rest, high, window[some]))
+        rank = np.empty(len(some), np.int64)
+        rank[order] = _count(np.bincount(window[some], minlength=len(of)))
+        keep = np.ones(len(window), bool)
+        keep[some[rank >= take[window[some]]]] = False
+        window, placed = window[keep], placed[keep]
+    at, number, drawn = of[window], k[window], draw[placed]
+    x = wx[window] + texts.number(f"{seed}px", at, number, drawn) % (right - wx)[window]
+    y = wy[window] + texts.number(f"{seed}py", at, number, drawn) % (low - wy)[window]
+    corners = np.stack([x, y, x + np.minimum(fw[placed], right[window] - x), y + np.minimum(fh[placed], low[window] - y)], 1)
+    if not len(at):
+        return at, [np.zeros(0, np.int64)] * 5, at
+    bounds = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
+    merged, first = ob.merge_many(corners, bounds)
+    at = at[first]
+    columns = [number[first] * (max_total + 1) + drawn[first], merged[:, 0], merged[:, 1], merged[:, 2] - merged[:, 0], merged[:, 3] - merged[:, 1]]
+    return at, columns, copies[at]
+
+
+def _count(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... for each of some groups that lie one behind the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def synth_labels(images: DataFrame, frags: DataFrame, seed: int, cls: int = 0, max_total: int = 30, max_clusters: int = 3, max_per_cluster: int = 20, merge: bool = True) -> DataFrame:
     """Merged synthetic boxes as normalised label rows."""
-    boxes = synth_boxes(images, frags, seed, **limits).join(_sizes(images).hint("merge"), "image_id")
+    if merge:
+        boxes = _merged_synthetic(images, frags, seed, max_total, max_clusters, max_per_cluster)
+    else:
+        boxes = synth_boxes(images, frags, seed, max_total, max_clusters, max_per_cluster, merge=False).join(_sizes(images).hint("merge"), "image_id")
     yolo = fb.box_convert(["x", "y", "w", "h"], "xywh", "yolo", "iw", "ih")
     return boxes.select("image_id", F.lit(cls).alias("cls"), *[F.round(c, 9).alias(n) for c, n in zip(yolo, ["xc", "yc", "bw", "bh"])], "x", "y", "w", "h")
 
