@@ -133,6 +133,26 @@ def test_negative_crops_are_free_and_maximal(spark, images):
     assert all(n <= len(images[i]) for i, n in per.items())
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_negative_crops_in_tasks_equal_joins(spark, monkeypatch, kind):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), *map(int, rng.integers(0, 150, 2)), *map(int, rng.integers(0, 60, 2))) for i in rng.integers(0, 40, 300) ** 2 // 40]
+    rows += [(50, 0, 0, 300, 300), (51, 10, 10, 0, 0), (52, None, 4, 5, 6), (None, 1, 1, 1, 1), (99, 1, 1, 1, 1)] + rows[:9]  # no room, no area, no place, no image
+    df = spark.createDataFrame(rows, "image_id bigint, x bigint, y bigint, w bigint, h bigint").withColumn("image_id", F.col("image_id").cast(kind))
+    pics = spark.createDataFrame([(i, 200 - i, 150 + i) for i in [*range(41), 50, 51, 52, 3, 60]] + [(None, 100, 100)], "image_id bigint, w bigint, h bigint").withColumn("image_id", F.col("image_id").cast(kind))
+    monkeypatch.setattr(pl, "HELD", 40)
+    monkeypatch.setattr(pl, "PAIRS", 64)
+    crops = pl.plan_negative_crops(df, pics, seed=4, ratio=3, max_size=90, attempts=20)
+    plan = crops._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    joined = pl._squares_by_joins(df, pics, 4, 3, 90, 20)
+    got = sorted(map(tuple, crops.collect()))
+    assert got == sorted(map(tuple, joined.collect())) and len(got) > 500
+    for limit in (12, 0):  # some images, and all of them, go by joins
+        monkeypatch.setattr(ob, "CELL", limit)
+        assert sorted(map(tuple, pl.plan_negative_crops(df, pics, seed=4, ratio=3, max_size=90, attempts=20).collect())) == got
+
+
 def test_positive_crops_hold_their_box(spark, images):
     crops = pl.plan_positive_crops(make(spark, images), sizes(spark, images), seed=4, max_pad=50).collect()
     for c in crops:

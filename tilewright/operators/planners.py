@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,13 @@ from tilewright.functions.hashing import digest, hash_unit, hashrand
 from tilewright.operators import boxes as ob
 from tilewright.operators.datasets import pair_by_position, total_rows
 from tilewright.operators.masks import box_fits
-from tilewright.operators.ordered import hash_chunk, number_rows, top_per_group
+from tilewright.operators.ordered import has_hot_group, hash_chunk, number_rows, top_per_group
 from tilewright.session import cut_lineage, parallelism, ship_package
 
 JITTER = 20  # fixed value: paddings vary by up to this many pixels
 CORNERS = ["x1", "y1", "x2", "y2"]
+HELD = 50_000  # rows of boxes and sizes that are planned side by side
+PAIRS = 1 << 20  # points, and pairs of points and boxes, side by side
 PACKED = 1 << 23  # fragments whose sizes are broadcast; more of them meet the draws by a shuffle
 
 
@@ -68,11 +71,115 @@ def plan_negative_crops(boxes: DataFrame, images: DataFrame, seed: int, ratio: i
     """`ratio` squares per box, free of all boxes, each the largest possible at its random point.
 
     The largest square at a point needs no search: a box that reaches right of and below
-    the point limits it to the larger of the two distances. Only boxes overlapping the
-    largest allowed square can matter, so points and boxes meet in the cells of the boxes.
-    `attempts` points are tried per wanted square, in rounds of 2, 4, 8, ... points; only
-    images that are still short of squares take part in the next round.
+    the point limits it to the larger of the two distances. `attempts` points are tried per
+    wanted square, in rounds of 2, 4, 8, ... points; only images that are still short of
+    squares take part in the next round. Images of up to CELL boxes are planned in the task
+    that their boxes are dealt to, larger ones by joins.
     """
+    whole = all(df.schema[c].dataType.simpleString() in KINDS[:-1] for df, cols in ((boxes, "xywh"), (images, "wh")) for c in cols)
+    plain = whole and all(df.schema["image_id"].dataType.simpleString() in KINDS for df in (boxes, images))
+    odd = F.coalesce(F.col("w") <= 0, F.lit(True)) | F.coalesce(F.col("h") <= 0, F.lit(True))
+    if not plain or not images.filter(F.col("image_id").isNotNull() & odd).isEmpty():
+        return _squares_by_joins(boxes, images, seed, ratio, max_size, attempts)
+    if not has_hot_group(boxes, ["image_id"], ob.CELL):
+        return _squares_in_tasks(boxes, images, seed, ratio, max_size, attempts)
+    large = boxes.groupBy("image_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > ob.CELL).select("image_id")
+    small = _squares_in_tasks(boxes.join(large, "image_id", "left_anti"), images, seed, ratio, max_size, attempts)
+    return small.unionByName(_squares_by_joins(boxes.join(large, "image_id", "left_semi"), images, seed, ratio, max_size, attempts))
+
+
+def _squares_in_tasks(boxes: DataFrame, images: DataFrame, seed: int, ratio: int, max_size: int, attempts: int) -> DataFrame:
+    """Squares of images that a task holds as a whole; boxes and sizes travel in one shuffle."""
+    number = lambda c: F.col(c).cast("bigint").alias(c)
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()
+    # a box without a place is wanted a square for, but limits none
+    placed = [F.when(known, F.col(c)).otherwise(v).cast("bigint").alias(c) for c, v in (("x", -1), ("y", -1), ("w", 0), ("h", 0))]
+    zero = F.lit(0).cast("bigint")
+    sizes = images.select("image_id", F.lit(False).alias("_box"), zero.alias("x"), zero.alias("y"), number("w"), number("h"))
+    rows = sizes.unionByName(boxes.select("image_id", F.lit(True).alias("_box"), *placed)).filter("image_id is not null")
+    names, kind = ["image_id", "n", "x", "y", "size"], rows.schema["image_id"].dataType.simpleString()
+
+    def plan(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        at, n, x, y, size = _largest_squares(batch.column(0).take(pa.array(starts)), starts, *[c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], seed, ratio, max_size, attempts)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts[at])), *map(pa.array, (n, x, y, size))], names)
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < HELD:
+                continue
+            batch, starts = _keys(held)
+            held = [batch.slice(starts[-1])]
+            rows = 0  # a key that goes on is looked at again after as many rows
+            if len(starts) > 1:
+                yield plan(batch.slice(0, starts[-1]), starts[:-1])
+        if sum(b.num_rows for b in held):
+            yield plan(*_keys(held))
+
+    ship_package(boxes.sparkSession)
+    return rows.repartition("image_id").sortWithinPartitions("image_id", "_box").mapInArrow(run, f"image_id {kind}, n bigint, x bigint, y bigint, size bigint")
+
+
+def _keys(batches: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Batches as one, and where the keys of its first column begin."""
+    whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    key = whole.column(0)
+    return whole, np.r_[0, 1 + np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False))]
+
+
+def _largest_squares(
+    ids: pa.Array, starts: np.ndarray, is_box: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, seed: int, ratio: int, max_size: int, attempts: int
+) -> tuple[np.ndarray, ...]:
+    """(image, n, x, y, size) of the squares of images whose rows begin at `starts`: first the size, as often as the image comes, then boxes."""
+    texts, count = Ids(ids), np.add.reduceat(is_box.astype(np.int64), starts)
+    copies = np.diff(np.r_[starts, len(x)]) - count
+    wanted, first = count * ratio, starts + copies  # the image's first box
+    iw, ih, right, low = w[starts], h[starts], x + w, y + h
+    need = -(-wanted // np.maximum(copies, 1))  # of different points; each comes as often as its image
+    have, found = np.zeros(len(starts), np.int64), []
+    begin, step = 0, 2
+    short = np.flatnonzero((count > 0) & (copies > 0) & (need > 0))
+    while begin < attempts and len(short):
+        end = min(attempts, begin + step)
+        for image in _slices(short, wanted[short] * (end - begin)):
+            at = np.repeat(image, wanted[image] * (end - begin))
+            draw = 1 + begin * wanted[at] + _count(wanted[image] * (end - begin))
+            px, py = texts.number(f"{seed}x", at, draw) % iw[at], texts.number(f"{seed}y", at, draw) % ih[at]
+            size = np.minimum(max_size, np.minimum(iw[at] - px, ih[at] - py))
+            for point in _slices(np.arange(len(at)), count[at]):
+                boxes = count[at[point]]
+                pair, box = np.repeat(point, boxes), np.repeat(first[at[point]], boxes) + _count(boxes)
+                limit = np.maximum(x[box] - px[pair], y[box] - py[pair])
+                limit[(px[pair] >= right[box]) | (py[pair] >= low[box])] = max_size
+                size[point] = np.minimum(size[point], np.minimum.reduceat(limit, np.cumsum(boxes) - boxes))
+            good = np.flatnonzero(size > 0)
+            per = np.bincount(at[good], minlength=len(starts))
+            n = have[at[good]] + 1 + _count(per[image])
+            good = good[n <= need[at[good]]]
+            have += per
+            found.append((at[good], px[good], py[good], size[good]))
+        short = short[have[short] < need[short]]
+        begin, step = end, 2 * step
+    if not found:
+        return (np.zeros(0, np.int64),) * 5
+    at, *columns = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(at, kind="stable")
+    order = np.repeat(order, copies[at[order]])
+    at = at[order]
+    n = 1 + _count(np.bincount(at, minlength=len(starts)))
+    kept = n <= wanted[at]
+    return at[kept], n[kept], *[c[order][kept] for c in columns]
+
+
+def _slices(rows: np.ndarray, work: np.ndarray) -> list[np.ndarray]:
+    """`rows` in slices of about PAIRS units of work, of one row at least."""
+    return np.split(rows, 1 + np.flatnonzero(np.diff(np.cumsum(work) // PAIRS)))
+
+
+def _squares_by_joins(boxes: DataFrame, images: DataFrame, seed: int, ratio: int, max_size: int, attempts: int) -> DataFrame:
+    """Only boxes overlapping the largest allowed square can matter, so points and boxes meet in the cells of the boxes."""
     missing = cut_lineage(boxes.groupBy("image_id").agg((F.count("*") * ratio).alias("wanted")).join(_sizes(images), "image_id").withColumn("have", F.lit(0).cast("bigint")))
     distinct = boxes.select("image_id", "x", "y", "w", "h").distinct()
     cells = ob.fit_cells(distinct)
