@@ -111,4 +111,4 @@ def test_a_listing_of_many_files_holds_a_part_of_them_at_once(spark, monkeypatch
     found = entry.queries()["list_files"](spark, "/root/testdata/sf0.001")
     cur = connect("/root/testdata/sf0.001").execute(entry.oracle_sql()["list_files"])
     assert compare(found.columns, found.collect(), [d[0] for d in cur.description], cur.fetchall()) is None
-    assert len(most) == 4 and max(most) < 250 and sum(most) == 533
+    assert len(most) == 3 and max(most) < 250 and 533 - 250 < sum(most) < 533  # the last tree stays

@@ -17,7 +17,7 @@ from tilewright.sources import annotations as ann
 from tilewright.sources import files
 from tilewright.sources.named_files import remove_folders, write_named_files, write_one_file
 
-TREE = 2_000_000  # files that lie there at once to be listed: each takes an inode and a block of the file system
+TREE = 4_000_000  # files that lie there at once to be listed: each takes an inode and a block of the file system
 SHARDS = 64  # folders below which they are dealt, since tasks that fill one folder wait for each other
 
 
@@ -42,7 +42,7 @@ def list_files(v):
         rows = named.filter(F.pmod(F.shiftright(h, 32), F.lit(trees)) == tree)
         write_named_files(rows.withColumn("path", F.concat_ws("/", shard.cast("string"), "path")), folder)
         listed = files.list_paths(v.spark, folder).select(F.regexp_extract(below(folder), "^[0-9]+/(.*)$", 1).alias("path"))
-        if trees > 1:
+        if tree < trees - 1:
             listed = cut_lineage(listed)
             remove_folders(v.spark, [f"{folder}/{k}" for k in range(SHARDS)])
         found = listed if found is None else found.unionByName(listed)
